@@ -98,10 +98,7 @@ def melt(
     df: DataFrame, keep: list[str], columns: list[str], name: str, value: str
 ) -> DataFrame:
     """Wide to long in one narrow step (no shuffle)."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value))
-            for c in columns
-        ]
-    )
-    return df.select(*keep, F.inline(cells))
+    cells = F.array(*[F.col(c).cast("double") for c in columns])
+    names = F.array(*[F.lit(c) for c in columns])
+    long = df.select(*keep, F.posexplode(cells).alias("_at", value))
+    return long.select(*keep, F.element_at(names, F.col("_at") + 1).alias(name), value)

@@ -14,12 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 64
+MOST_PIECES = 64
 
 
-def _levels(df: DataFrame) -> int:
-    """One split for small clusters, two (4,096 pieces per key) for large ones."""
-    return 1 if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= 256 else 2
+def _fan_and_levels(df: DataFrame) -> tuple[int, int]:
+    """Pieces per split and number of splits, following the cluster's shuffle width.
+
+    Twice the shuffle partitions up to 64 pieces; wide clusters split twice
+    (4,096 pieces per key).
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(4, min(MOST_PIECES, 2 * width)), 1 if width <= 4 * MOST_PIECES else 2
 
 
 def _piece(value: Column, cuts: Column, low: int, high: int) -> Column:
@@ -36,14 +41,15 @@ def split_by_value(df: DataFrame, keys: Sequence[str], value: str) -> tuple[Data
     """Add columns that cut every key into value-ordered pieces of similar size."""
     pieces: list[str] = []
     out = df
-    for level in range(_levels(df)):
+    fan, levels = _fan_and_levels(df)
+    for level in range(levels):
         group = [*keys, *pieces]
         cuts = out.groupBy(*group).agg(
-            F.percentile_approx(value, [i / FAN for i in range(1, FAN)], 2000).alias("_cuts")
+            F.percentile_approx(value, [i / fan for i in range(1, fan)], 2000).alias("_cuts")
         )
         name = f"_piece{level}"
         joined = out.join(F.broadcast(cuts), group) if group else out.crossJoin(F.broadcast(cuts))
-        out = joined.withColumn(name, _piece(F.col(value), F.col("_cuts"), 0, FAN - 1)).drop("_cuts")
+        out = joined.withColumn(name, _piece(F.col(value), F.col("_cuts"), 0, fan - 1)).drop("_cuts")
         pieces.append(name)
     return out, pieces
 

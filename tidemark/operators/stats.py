@@ -125,20 +125,26 @@ def sign_conditional_means(df: DataFrame, by: str, target: str) -> DataFrame:
 
 
 def pair_rows(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Long (feature, target, x, y) rows complete in both; a narrow step."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.lit(t).alias("target"),
-                F.col(f).cast("double").alias("x"),
-                F.col(t).cast("double").alias("y"),
-            )
-            for f in features
-            for t in targets
-        ]
+    """Long (feature, target, x, y) rows complete in both.
+
+    One row becomes features x targets rows, so the rows are first dealt out
+    evenly: a task then expands a small share instead of a whole input split.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(
+        *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
+        *[F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)],
+    ).repartition(width)
+    by_target = melt(dealt, [f"_x{i}" for i in range(len(features))], [f"_y{i}" for i in range(len(targets))], "_t", "y")
+    pairs = melt(by_target.filter(F.col("y").isNotNull()), ["_t", "y"], [f"_x{i}" for i in range(len(features))], "_f", "x")
+    feature_names = F.array(*[F.lit(f) for f in features])
+    target_names = F.array(*[F.lit(t) for t in targets])
+    return pairs.filter(F.col("x").isNotNull()).select(
+        F.element_at(feature_names, F.substring("_f", 3, 9).cast("int") + 1).alias("feature"),
+        F.element_at(target_names, F.substring("_t", 3, 9).cast("int") + 1).alias("target"),
+        "x",
+        "y",
     )
-    return df.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
 def pearson_table(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:

@@ -94,18 +94,30 @@ def latest_period_as_of(events: DataFrame, as_of: str) -> DataFrame:
 def states_as_of(events: DataFrame, dates: DataFrame, as_of: str = "as_of_date") -> DataFrame:
     """The history as known on each date of ``dates`` (columns series_name, as_of).
 
-    Every event is valid over an interval of dates; a date selects exactly one
-    event per reference period, so the result has one row per (date, period)
-    and no intermediate is larger.
+    Every event is valid over an interval of dates. Intervals and dates meet on
+    (series, month), so a date only sees the events valid in its month and the
+    work follows the size of the result: one row per (date, period).
     """
-    intervals = with_history(events).drop("previous_value", "first_vintage_date", "is_initial_release")
-    wanted = dates.select(F.col("series_name").alias("_series"), F.col(as_of).alias("as_of_date")).distinct()
-    return intervals.join(
-        wanted,
-        (F.col("series_name") == F.col("_series"))
-        & (F.col("vintage_date") <= F.col("as_of_date"))
-        & (F.col("known_until").isNull() | (F.col("as_of_date") < F.col("known_until"))),
-    ).drop("_series", "known_until")
+    wanted = dates.select("series_name", F.col(as_of).alias("as_of_date")).distinct()
+    last = wanted.agg(F.max("as_of_date").alias("_last"))
+    end = F.least(F.coalesce(F.date_sub("known_until", 1), F.col("_last")), F.col("_last"))
+    months = F.sequence(F.trunc("vintage_date", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    intervals = (
+        with_history(events)
+        .drop("previous_value", "first_vintage_date", "is_initial_release")
+        .crossJoin(F.broadcast(last))
+        .filter(F.col("vintage_date") <= end)
+        .withColumn("_month", F.explode(months))
+        .drop("_last")
+    )
+    return (
+        intervals.join(wanted.withColumn("_month", F.trunc("as_of_date", "month")), ["series_name", "_month"])
+        .filter(
+            (F.col("vintage_date") <= F.col("as_of_date"))
+            & (F.col("known_until").isNull() | (F.col("as_of_date") < F.col("known_until")))
+        )
+        .drop("_month", "known_until")
+    )
 
 
 def with_period_change(states: DataFrame) -> DataFrame:
