@@ -193,7 +193,8 @@ def p02_complete_curves(spark, d):
 def j01_curve_asof_bars(spark, d):
     bars = views.bars_daily(spark, d).select(*KEY, "close")
     features = curve.curve_features(views.yield_curve(spark, d)).select("curve_date", "yield_10y", *CURVE_FACTORS)
-    return rounded(asof.attach_curve(bars, features))
+    joined = asof.attach_curve(bars, features)
+    return rounded(joined.withColumn("treasury_data_age_days", F.col("treasury_data_age_days").cast("double")))
 
 
 def j01_curve_asof_bars_keyed(spark, d):
@@ -216,7 +217,8 @@ def v12_point_in_time_invariant(spark, d):
 
 
 def a18_data_age(spark, d):
-    return stats.age_histogram(panels.regimes(spark, d), "treasury_data_age_days")
+    aged = panels.regimes(spark, d).withColumn("treasury_data_age_days", F.col("treasury_data_age_days").cast("double"))
+    return stats.age_histogram(aged, "treasury_data_age_days")
 
 
 def a18_null_counts(spark, d):

@@ -611,7 +611,7 @@ ask("p02_complete_curves", f"select curve_date, {fl(*YIELDS)} from curve", "curv
 ask(
     "j01_curve_asof_bars",
     f"""select symbol, market_date, close, c.curve_date as treasury_observation_date, {fl("yield_10y", *_factors)},
-    cast(b.market_date - c.curve_date as int) as treasury_data_age_days from bars b asof left join curve_feat c on b.market_date >= c.curve_date""",
+    cast(b.market_date - c.curve_date as double) as treasury_data_age_days from bars b asof left join curve_feat c on b.market_date >= c.curve_date""",
     "bars",
     "curve_feat",
 )
@@ -629,7 +629,7 @@ ask(
     "count(*) filter (treasury_observation_date is null) as unmatched_rows from regimes",
     "regimes",
 )
-ask("a18_data_age", "select cast(treasury_data_age_days as int) as treasury_data_age_days, count(*) as observations from regimes group by 1", "regimes")
+ask("a18_data_age", "select cast(treasury_data_age_days as double) as treasury_data_age_days, count(*) as observations from regimes group by 1", "regimes")
 ask(
     "a18_null_counts",
     "select " + ", ".join(f"count(*) filter ({c} is null) as {c}" for c in ("yield_2y", "yield_10y", "return_10d", "rsi_14", "volatility_20d")) + " from panel_feat",
