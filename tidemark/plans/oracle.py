@@ -1055,3 +1055,166 @@ ask(
     from ({_status("2-HIGH")}) a join ({_status("3-MEDIUM")}) b using (forecast_origin)""",
     "forecasts",
 )
+
+# ------------------------------------------------------ intraday queries
+
+cte(
+    "ibars",
+    """select event_type as symbol, time_bucket(interval '5 minutes', ts) as bar_start, arg_min(value, (ts, event_id)) as open, max(value) as high,
+    min(value) as low, arg_max(value, (ts, event_id)) as close, cast(sum(cast(json_extract(props, '$.k') as bigint)) as double) as volume
+    from events group by 1, 2""",
+)
+# the ticks lie in January: New York is five hours behind throughout
+cte(
+    "sess",
+    """select *, cast(bar_start - interval 5 hours as date) as session_date,
+    cast(hour(bar_start - interval 5 hours) * 60 + minute(bar_start - interval 5 hours) as int) as minute_of_day,
+    cast(dayofweek(bar_start - interval 5 hours) as int) as day_of_week from ibars""",
+    "ibars",
+)
+ask("e01_five_minute_bars", "select * from ibars", "ibars")
+ask(
+    "e01_streaming_bars",
+    "select * from ibars where bar_start + interval 5 minutes <= (select max(ts) - interval 10 minutes from events)",
+    "ibars",
+)
+ask(
+    "e02_session_columns",
+    """select symbol, bar_start, session_date, minute_of_day, minute_of_day - 570 as minutes_from_open, 960 - minute_of_day as minutes_to_close, day_of_week,
+    case when minute_of_day between 570 and 959 and day_of_week between 1 and 5 then 1 else 0 end as is_regular_session,
+    case when minute_of_day between 570 and 599 then 1 else 0 end as opening_30m, case when minute_of_day between 900 and 959 then 1 else 0 end as power_hour from sess""",
+    "sess",
+)
+
+
+def _other(minutes: int) -> str:
+    return f"left join sess b{'p' if minutes > 0 else 'm'}{abs(minutes)} on b{'p' if minutes > 0 else 'm'}{abs(minutes)}.symbol = s.symbol and b{'p' if minutes > 0 else 'm'}{abs(minutes)}.session_date = s.session_date and b{'p' if minutes > 0 else 'm'}{abs(minutes)}.bar_start = s.bar_start + interval ({minutes}) minutes"
+
+
+_back, _ahead = (5, 15, 30, 60, 120), (15, 30, 60, 120)
+ask(
+    "e03_bar_returns",
+    "select s.symbol, s.bar_start, "
+    + ", ".join(f"round(ln(s.close / nullif(bm{m}.close, 0)), 6) + 0.0 as ret_{m}m" for m in _back)
+    + ", "
+    + ", ".join(f"round(bp{m}.close / nullif(s.close, 0) - 1, 6) + 0.0 as fwd_{m}m" for m in _ahead)
+    + ", "
+    + ", ".join(f"case when bp{m}.close is not null and s.close <> 0 then case when bp{m}.close / s.close - 1 > 0 then 1.0::double else 0.0 end end as dir_{m}m" for m in _ahead)
+    + " from sess s "
+    + " ".join(_other(-m) for m in _back)
+    + " "
+    + " ".join(_other(m) for m in _ahead),
+    "sess",
+)
+_S = "(partition by symbol, session_date order by bar_start rows unbounded preceding)"
+ask(
+    "e04_session_vwap",
+    f"""select symbol, bar_start, round(v, 6) + 0.0 as vwap, round(close / nullif(v, 0) - 1, 6) + 0.0 as vwap_distance from (
+    select *, sum(close * volume) over {_S} / nullif(sum(volume) over {_S}, 0) as v from sess)""",
+    "sess",
+)
+
+
+def _past_minutes(m: int) -> str:
+    return f"(partition by symbol, session_date order by bar_start range between interval {m - 5} minutes preceding and current row)"
+
+
+ask(
+    "e05_session_volume",
+    "select symbol, bar_start, "
+    + ", ".join(f"sum(volume) over {_past_minutes(m)} as volume_{m}m" for m in (15, 30, 60))
+    + ", round(volume / nullif(avg(volume) over (partition by symbol, minute_of_day order by session_date rows between unbounded preceding and 1 preceding), 0), 6) + 0.0 as relative_volume from sess",
+    "sess",
+)
+ask(
+    "e06_realized_volatility",
+    "select symbol, bar_start, "
+    + ", ".join(f"round(sqrt(sum(sq) over {_past_minutes(m)}), 6) + 0.0 as vol_{m}m" for m in (15, 30, 60))
+    + ", round((high - low) / nullif(close, 0), 6) + 0.0 as range_pct from (select s.*, power(ln(s.close / nullif(bm5.close, 0)), 2) as sq from sess s "
+    + _other(-5)
+    + ")",
+    "sess",
+)
+_PAST = "(partition by series_name order by event_date rows between unbounded preceding and 1 preceding)"
+ask(
+    "e07_macro_surprise",
+    f"""select series_name, event_date as event_release_date, round(x, 4) + 0.0 as macro_surprise_raw,
+    round(case when count(x) over {_PAST} >= 12 then x / nullif(stddev_samp(x) over {_PAST}, 0) end, 4) + 0.0 as macro_surprise_z,
+    case when x > 0 then 1 else 0 end as macro_positive_surprise, case when x < 0 then 1 else 0 end as macro_negative_surprise
+    from (select *, payroll_change_1m as x from event_feat)""",
+    "event_feat",
+)
+cte("sched", "select distinct event_type as symbol, date_trunc('minute', ts) as event_ts from events where value > 150")
+ask(
+    "e08_event_distance",
+    """select symbol, bar_start, close, round(since, 6) + 0.0 as minutes_since_event, round(until, 6) + 0.0 as minutes_until_event,
+    case when since <= 15 then 1 else 0 end as post_event_15m, case when since <= 30 then 1 else 0 end as post_event_30m,
+    case when since <= 60 then 1 else 0 end as post_event_60m, case when until <= 15 then 1 else 0 end as pre_event_15m,
+    case when since <= 60 or until <= 15 then 1 else 0 end as is_event_window from (
+    select b.symbol, b.bar_start, b.close, epoch(b.bar_start - a.event_ts) / 60.0::double as since, epoch(n.event_ts - b.bar_start) / 60.0::double as until
+    from ibars b asof left join sched a on a.symbol = b.symbol and b.bar_start >= a.event_ts
+    asof left join sched n on n.symbol = b.symbol and b.bar_start <= n.event_ts)""",
+    "ibars",
+    "sched",
+)
+_W4 = "(partition by symbol order by market_date rows between 3 preceding and current row)"
+ask(
+    "e09_quality_flags",
+    f"""select symbol, market_date, 0 as duplicate_timestamp, case when close > 0 then 0 else 1 end as invalid_price,
+    case when market_date - lag(market_date) over w > 3 then 1 else 0 end as missing_interval,
+    case when count(close) over {_W4} = 4 and max(close) over {_W4} = min(close) over {_W4} then 1 else 0 end as stale_value,
+    case when abs(close / nullif(lag(close) over w, 0) - 1) > 10 then 1 else 0 end as outlier_flag from bars
+    window w as (partition by symbol order by market_date)""",
+    "bars",
+)
+_SCALED = ["return_5d", "rsi_14", "volatility_20d", "relative_volume", "distance_from_20d_high", "yield_10y", "yield_30y",
+           "change_2y_5d_bp", "change_30y_5d_bp", "curve_10y_2y_bp", "curve_30y_2y_bp", "yield_30y_volatility_20d", "bear_flattening"]
+cte("train", "select * from tagged where role = 'train' and forward_return_5 is not null", "tagged")
+cte(
+    "scaling",
+    "select fold, feature, med as median, avg(coalesce(x, med)) as mean, stddev_pop(coalesce(x, med)) as deviation from "
+    "(select *, median(x) over (partition by fold, feature) as med from ("
+    + " union all ".join(f"select fold, '{f}' as feature, {f}::double as x from train" for f in _SCALED)
+    + ")) group by 1, 2, 3",
+    "train",
+)
+ask("e10_train_only_scaling", f"select fold, feature, {fl('median', 'mean', 'deviation')} from scaling", "scaling")
+ask(
+    "e11_inversion_spells",
+    """select min(curve_date) as first_date, max(curve_date) as last_date, count(*) as observations, round(min(x), 6) + 0.0 as deepest, round(avg(x), 6) + 0.0 as mean_spread
+    from (select curve_date, x, row_number() over (order by curve_date) - row_number() over (partition by x < 0 order by curve_date) as g
+    from (select curve_date, curve_slope_30y_3m_bp as x from curve_feat)) where x < 0 group by g""",
+    "curve_feat",
+)
+ask(
+    "e11_spread_percentile",
+    f"""with s as (select curve_date, round(curve_10y_2y_bp, 6) as x, row_number() over (order by curve_date) as n from ({sql("select * from curve_feat", "curve_feat")}))
+    select a.curve_date, a.x + 0.0 as curve_10y_2y_bp, round(case when a.n >= 52 then (select count(*) from s b where b.n between a.n - 51 and a.n and b.x <= a.x) / 52.0::double end, 6) as curve_10y_2y_bp_percentile from s a""",
+)
+ask(
+    "e11_growth_rates",
+    """select a.series_name, a.reference_date, round(a.value, 6) + 0.0 as value, round(a.value / nullif(y.value, 0) - 1, 6) + 0.0 as yoy,
+    round(power(a.value / nullif(q.value, 0), 4) - 1, 6) + 0.0 as annualized_3m from obs a
+    left join obs y on y.series_name = a.series_name and y.reference_date = a.reference_date - interval 12 months
+    left join obs q on q.series_name = a.series_name and q.reference_date = a.reference_date - interval 3 months""",
+    "obs",
+)
+ask(
+    "e13_quintile_spread",
+    f"""select model, round(avg(forward_return_5) filter (probability_bucket = 'Q5_highest') - avg(forward_return_5) filter (probability_bucket = 'Q1_lowest'), 6) + 0.0 as q5_minus_q1
+    from ({_quintiles("model")}) group by 1""",
+    "preds",
+)
+ask(
+    "e13_strong_forecasts",
+    """select model, count(*) filter (p > sd) as strong_forecasts, round(avg(case when forward_return_5 > 0 then 1.0::double else 0 end) filter (p > sd), 6) + 0.0 as hit_rate
+    from (select *, probability - 0.5 as p, stddev_samp(probability - 0.5) over (partition by model) as sd from preds) group by 1""",
+    "preds",
+)
+ask(
+    "e14_forecast_outcomes",
+    """select symbol, target_date, market_date as origin_date, close as origin_close, 0.01::double as forecast_return, next_close as realized_close,
+    round(next_close / nullif(close, 0) - 1, 6) + 0.0 as realized_return, round(next_close / nullif(close, 0) - 1 - 0.01::double, 6) + 0.0 as forecast_error
+    from (select *, lead(market_date, 5) over w as target_date, lead(close, 5) over w as next_close from bars window w as (partition by symbol order by market_date))""",
+    "bars",
+)

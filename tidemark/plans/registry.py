@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tidemark.plans import macro, market
+from tidemark.plans import intraday, macro, market
 
 
 def _in_utc(query):
@@ -16,4 +16,4 @@ def _in_utc(query):
     return run
 
 
-ALL = {name: _in_utc(query) for name, query in {**market.QUERIES, **macro.QUERIES}.items()}
+ALL = {name: _in_utc(query) for name, query in {**market.QUERIES, **macro.QUERIES, **intraday.QUERIES}.items()}
