@@ -1,10 +1,15 @@
 """Exact order statistics that never put a whole group into one task.
 
-Every function splits a group by value at sampled cut points, sums within the
-pieces, and adds the totals of the pieces before. The cut points only decide
-the balance of the pieces; results are exact whatever they are. ``keys`` are
-report dimensions (a score, a fold, a feature/target pair): their number is
-fixed by the call and not by the data, which bounds the broadcast cut table.
+Each key is cut into pieces at sampled quantiles of its values. A value that is
+itself a cut point gets a piece of its own: a value held by a large share of
+the rows always is one, and rows of such a piece share one rank, so they need
+no sorting and are spread over tasks. What lies between two cut points is small
+and is ordered in one window. Piece sizes come from a pre-aggregated count.
+
+Cut points only decide the balance; results are exact whatever they are.
+``keys`` are report dimensions (a score, a fold, a feature/target pair): their
+number is fixed by the call and not by the data, which bounds the broadcast
+tables at (keys x pieces) rows.
 """
 
 from __future__ import annotations
@@ -14,116 +19,130 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_PIECES = 64
+SALTS = 64
 
 
-def _fan_and_levels(df: DataFrame) -> tuple[int, int]:
-    """Pieces per split and number of splits, following the cluster's shuffle width.
+def pieces_per_key(df: DataFrame) -> int:
+    """A power of two of at least twice the shuffle width, between 8 and 4,096."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = 8
+    while pieces < 2 * width and pieces < 4096:
+        pieces *= 2
+    return pieces
+
+
+def _meet(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.join(F.broadcast(small), list(keys)) if keys else df.crossJoin(F.broadcast(small))
 
-    Twice the shuffle partitions up to 64 pieces; wide clusters split twice
-    (4,096 pieces per key).
+
+def _piece(value: Column, cuts: Column, pieces: int) -> Column:
+    """Even number: between two cut points; odd number: equal to a cut point.
+
+    Binary search over pieces − 1 sorted cut points.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(MOST_PIECES, 2 * width)), 1 if width <= 4 * MOST_PIECES else 2
+    steps, step = [], pieces // 2
+    while step:
+        steps.append(step)
+        step //= 2
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, s: F.when(F.get(cuts, at + s - 1) < value, at + s).otherwise(at),
+        lambda at: at * 2 + F.coalesce((F.get(cuts, at) == value).cast("int"), F.lit(0)),
+    )
 
 
-def _piece(value: Column, cuts: Column, low: int, high: int) -> Column:
-    """Binary search of ``value`` among sorted cut points, as codegen-friendly CASEs."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(value > cuts[middle], _piece(value, cuts, middle + 1, high)).otherwise(
-        _piece(value, cuts, low, middle)
+def with_pieces(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Add ``_piece_<value>`` for every value column (values must not be NULL)."""
+    pieces = pieces_per_key(df)
+    at = [i / pieces for i in range(1, pieces)]
+    cuts = df.groupBy(*keys).agg(
+        *[F.percentile_approx(v, at, max(1000, 8 * pieces)).alias(f"_cuts_{v}") for v in values]
     )
+    out = _meet(df, cuts, keys)
+    own = [_piece(F.col(v), F.col(f"_cuts_{v}"), pieces).alias(f"_piece_{v}") for v in values]
+    return out.select(*df.columns, *own)
 
 
-def split_by_value(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, list[str]]:
-    """Add columns that cut every key into value-ordered pieces of similar size."""
-    pieces: list[str] = []
-    out = df
-    fan, levels = _fan_and_levels(df)
-    for level in range(levels):
-        group = [*keys, *pieces]
-        cuts = out.groupBy(*group).agg(
-            F.percentile_approx(value, [i / fan for i in range(1, fan)], 2000).alias("_cuts")
-        )
-        name = f"_piece{level}"
-        joined = out.join(F.broadcast(cuts), group) if group else out.crossJoin(F.broadcast(cuts))
-        out = joined.withColumn(name, _piece(F.col(value), F.col("_cuts"), 0, fan - 1)).drop("_cuts")
-        pieces.append(name)
-    return out, pieces
+def _piece_sizes(split: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows in each piece and in all pieces before it."""
+    piece = f"_piece_{value}"
+    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        split.groupBy(*keys, piece)
+        .agg(F.count(F.lit(1)).alias("_in_piece"), F.min(value).alias("_least"))
+        .withColumn("_before_piece", F.coalesce(F.sum("_in_piece").over(earlier), F.lit(0)))
+    )
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, totals: dict[str, str]
-) -> DataFrame:
-    """Exclusive running sums in order of ``value``; (keys, value) must be unique.
+def with_ranks(df: DataFrame, keys: Sequence[str], ranks: dict[str, str], salt: str | None = None) -> DataFrame:
+    """Average 1-based rank of each row per value column: ``ranks`` maps value to output.
 
-    ``totals`` maps an output column to the summed input column.
+    ``salt`` names a column that differs between rows; it spreads rows that
+    share a frequent value. One shuffle of the rows per ranked column.
     """
     keys = list(keys)
-    split, pieces = split_by_value(df, keys, value)
-    group = [*keys, *pieces]
-    by_piece = split.groupBy(*group).agg(
-        *[F.sum(source).alias(f"_in_{out}") for out, source in totals.items()]
+    out = with_pieces(df, keys, list(ranks))
+    base = out
+    keep = list(df.columns)
+    for value, rank in ranks.items():
+        piece = f"_piece_{value}"
+        sizes = _piece_sizes(base, keys, value).drop("_least")
+        met = out.join(F.broadcast(sizes), [*keys, piece])
+        shared = F.col(piece) % 2 == 1
+        spread = F.pmod(F.xxhash64(salt or value), F.lit(SALTS))
+        w = Window.partitionBy(*keys, piece, "_salt").orderBy(value)
+        inside = F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2
+        placed = F.when(shared, (F.col("_in_piece") + 1) / 2).otherwise(inside)
+        keep.append(rank)
+        rest = [c for c in out.columns if c.startswith("_piece_") and c != piece]
+        out = met.withColumn("_salt", F.when(shared, spread).otherwise(F.lit(0))).withColumn(
+            rank, F.col("_before_piece") + placed
+        ).select(*keep, *rest)
+    return out.select(*keep)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per key: columns keys, ``q``, ``quantile``.
+
+    Only the rows of the pieces holding a wanted position are ordered.
+    """
+    keys = list(keys)
+    piece = f"_piece_{value}"
+    split = with_pieces(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    sizes = _piece_sizes(split, keys, value)
+    whole = Window.partitionBy(*keys)
+    spots = (
+        sizes.withColumn("_rows", F.sum("_in_piece").over(whole))
+        .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at])))
+        .withColumn("_spot", (F.col("_rows") - 1) * F.col("q"))
+        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("_at", F.when(F.col("_side") == 0, F.floor("_spot")).otherwise(F.ceil("_spot")))
+        .filter(
+            (F.col("_before_piece") <= F.col("_at"))
+            & (F.col("_at") < F.col("_before_piece") + F.col("_in_piece"))
+        )
+        .select(*keys, piece, "q", "_spot", "_side", (F.col("_at") - F.col("_before_piece") + 1).alias("_nth"), "_least")
     )
-    earlier = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_piece.select(
-        *group,
-        *[
-            F.coalesce(F.sum(f"_in_{out}").over(earlier), F.lit(0)).alias(f"_before_{out}")
-            for out in totals
-        ],
+    single = spots.filter((F.col(piece) % 2 == 1) | (F.col("_nth") == 1)).select(
+        *keys, "q", "_spot", "_side", F.col("_least").alias("_value")
     )
-    inside = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return split.join(offsets, group).select(
-        *df.columns,
-        *[
-            (F.col(f"_before_{out}") + F.coalesce(F.sum(source).over(inside), F.lit(0))).alias(out)
-            for out, source in totals.items()
-        ],
+    sought = spots.filter((F.col(piece) % 2 == 0) & (F.col("_nth") > 1)).drop("_least")
+    order = Window.partitionBy(*keys, piece).orderBy(value)
+    wanted = split.join(F.broadcast(sought.select(*keys, piece).distinct()), [*keys, piece])
+    found = (
+        wanted.withColumn("_nth", F.row_number().over(order))
+        .join(F.broadcast(sought), [*keys, piece, "_nth"])
+        .select(*keys, "q", "_spot", "_side", F.col(value).alias("_value"))
     )
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank") -> DataFrame:
-    """One row per distinct (keys, value): its 1-based rank, ties sharing the mean rank."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counted, keys, value, {"_below": "_n"})
-    return placed.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(rank))
-
-
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], weight: str | None = None
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: columns keys, ``q``, ``quantile``."""
-    keys = list(keys)
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("_n"))
-    placed = running_totals(counted, keys, value, {"_below": "_n"})
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    sized = placed.join(F.broadcast(sizes), keys) if keys else placed.crossJoin(F.broadcast(sizes))
-    spots = sized.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at]))).withColumn(
-        "_spot", (F.col("_size") - 1) * F.col("q")
+    ends = single.unionByName(found).groupBy(*keys, "q").agg(
+        F.max("_spot").alias("_spot"),
+        F.max(F.when(F.col("_side") == 0, F.col("_value"))).alias("_low"),
+        F.max(F.when(F.col("_side") == 1, F.col("_value"))).alias("_high"),
     )
-    low, high = F.floor("_spot"), F.ceil("_spot")
-    upto = F.col("_below") + F.col("_n")
-    has_low = (F.col("_below") <= low) & (low < upto)
-    has_high = (F.col("_below") <= high) & (high < upto)
-    return (
-        spots.filter(has_low | has_high)
-        .groupBy(*keys, "q")
-        .agg(
-            F.max(F.when(has_low, F.col(value))).alias("_low"),
-            F.max(F.when(has_high, F.col(value))).alias("_high"),
-            F.max("_spot").alias("_spot"),
-        )
-        .select(
-            *keys,
-            "q",
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_spot") - F.floor("_spot"))).alias(
-                "quantile"
-            ),
-        )
+    part = F.col("_spot") - F.floor("_spot")
+    return ends.select(
+        *keys, "q", (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias("quantile")
     )
 
 
@@ -136,24 +155,27 @@ def ordinals(
 ) -> DataFrame:
     """1-based position in the total order (value, tie_date, tie_key) within ``keys``.
 
-    A value shared by very many rows is spread by date; what is left in one
-    window are the ``tie_key`` rows of a single value and date.
+    Pieces of a single shared value are further cut by date, so the largest
+    window holds the ``tie_key`` rows of one value and date.
     """
     keys = list(keys)
-    by_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(by_value, keys, value, {"_below": "_n"}).drop("_n")
-    by_date = df.groupBy(*keys, value, tie_date).agg(F.count(F.lit(1)).alias("_m"))
-    days = (
-        Window.partitionBy(*keys, value).orderBy(tie_date).rowsBetween(Window.unboundedPreceding, -1)
+    piece = f"_piece_{value}"
+    split = with_pieces(df, keys, [value]).withColumn(
+        "_day", F.when(F.col(piece) % 2 == 1, F.col(tie_date))
     )
+    earlier = Window.partitionBy(*keys).orderBy(piece, "_day").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        by_date.withColumn("_earlier", F.coalesce(F.sum("_m").over(days), F.lit(0)))
-        .join(placed, [*keys, value])
-        .select(*keys, value, tie_date, (F.col("_below") + F.col("_earlier")).alias("_start"))
+        split.groupBy(*keys, piece, "_day")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, piece, F.col("_day").alias("_start_day"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
-    same_day = Window.partitionBy(*keys, value, tie_date).orderBy(tie_key)
+    order = Window.partitionBy(*keys, piece, "_day").orderBy(value, tie_date, tie_key)
+    right = starts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(piece).alias("_r_piece"), "_start_day", "_start")
+    match = F.col(piece) == F.col("_r_piece")
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_r_{k}"))
     return (
-        df.join(starts, [*keys, value, tie_date])
-        .withColumn(out, F.col("_start") + F.row_number().over(same_day))
-        .select(*df.columns, out)
+        split.withColumn("_at", F.row_number().over(order))
+        .join(right, match & F.col("_day").eqNullSafe(F.col("_start_day")))
+        .select(*df.columns, (F.col("_start") + F.col("_at")).alias(out))
     )

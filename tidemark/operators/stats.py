@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.catalog import HORIZONS
 from tidemark.functions.scalars import correlation, melt, ratio, share, two_sided_normal_p
 from tidemark.operators import panel
-from tidemark.operators.ordering import average_ranks, medians, ordinals, quantiles, running_totals
+from tidemark.operators.ordering import medians, ordinals, quantiles, with_ranks
 
 QUINTILE_LABELS = ("Q1_lowest", "Q2", "Q3", "Q4", "Q5_highest")
 
@@ -125,73 +125,79 @@ def sign_conditional_means(df: DataFrame, by: str, target: str) -> DataFrame:
 
 
 def pair_rows(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Long (feature, target, x, y) rows complete in both.
+    """Long (feature, target, x, y) rows complete in both, pairs named by position.
 
     One row becomes features x targets rows, so the rows are first dealt out
     evenly: a task then expands a small share instead of a whole input split.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(
-        *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
-        *[F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)],
-    ).repartition(width)
-    by_target = melt(dealt, [f"_x{i}" for i in range(len(features))], [f"_y{i}" for i in range(len(targets))], "_t", "y")
-    pairs = melt(by_target.filter(F.col("y").isNotNull()), ["_t", "y"], [f"_x{i}" for i in range(len(features))], "_f", "x")
-    feature_names = F.array(*[F.lit(f) for f in features])
-    target_names = F.array(*[F.lit(t) for t in targets])
-    return pairs.filter(F.col("x").isNotNull()).select(
-        F.element_at(feature_names, F.substring("_f", 3, 9).cast("int") + 1).alias("feature"),
-        F.element_at(target_names, F.substring("_t", 3, 9).cast("int") + 1).alias("target"),
-        "x",
-        "y",
+    xs = F.array(*[F.col(f).cast("double") for f in features])
+    ys = F.array(*[F.col(t).cast("double") for t in targets])
+    whole = F.xxhash64(*dict.fromkeys([*features, *targets]))
+    dealt = df.select(whole.alias("_row_hash"), xs.alias("_xs"), ys.alias("_ys")).repartition(width)
+    by_target = dealt.select("_row_hash", "_xs", F.posexplode("_ys").alias("target", "y"))
+    pairs = by_target.filter(F.col("y").isNotNull()).select(
+        "_row_hash", "target", "y", F.posexplode("_xs").alias("feature", "x")
+    )
+    return pairs.filter(F.col("x").isNotNull())
+
+
+def _named(table: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Positions back to names, on the aggregated table."""
+    f = F.array(*[F.lit(n) for n in features])
+    t = F.array(*[F.lit(n) for n in targets])
+    rest = [c for c in table.columns if c not in ("feature", "target")]
+    return table.select(
+        F.element_at(f, F.col("feature") + 1).alias("feature"),
+        F.element_at(t, F.col("target") + 1).alias("target"),
+        *rest,
     )
 
 
 def pearson_table(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    return (
+    table = (
         pair_rows(df, features, targets)
         .groupBy("feature", "target")
         .agg(F.count(F.lit(1)).alias("observations"), correlation("x", "y").alias("pearson"))
     )
+    return _named(table, features, targets)
 
 
-def spearman_table(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks, ranked inside each complete pair."""
+def _pair_correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Pearson on the values and Spearman on average ranks, ranked inside each complete pair."""
     pair = ["feature", "target"]
-    rows = pair_rows(df, features, targets)
-    ranked = rows.join(average_ranks(rows, pair, "x", "_rank_x"), [*pair, "x"]).join(
-        average_ranks(rows, pair, "y", "_rank_y"), [*pair, "y"]
+    ranked = with_ranks(pair_rows(df, features, targets), pair, {"x": "_rank_x", "y": "_rank_y"}, salt="_row_hash")
+    table = ranked.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("observations"),
+        correlation("x", "y").alias("pearson"),
+        correlation("_rank_x", "_rank_y").alias("spearman"),
     )
-    return ranked.groupBy(*pair).agg(correlation("_rank_x", "_rank_y").alias("spearman"))
+    return _named(table, features, targets)
 
 
 def relationships(df: DataFrame, features: Sequence[str], targets: Sequence[str], least: int = 3) -> DataFrame:
-    """Every feature against every target, pairs with fewer than ``least`` rows left out."""
-    pair = ["feature", "target"]
+    """Every feature against every target, pairs with fewer than ``least`` rows left out.
+
+    Several passes read ``df``: give it a table, not a long lineage.
+    """
     return (
-        pearson_table(df, features, targets)
+        _pair_correlations(df, features, targets)
         .filter(F.col("observations") >= least)
-        .join(spearman_table(df, features, targets), pair, "left")
-        .select(
-            *pair,
-            "observations",
-            "pearson",
-            "spearman",
-            F.abs("pearson").alias("abs_pearson"),
-            F.abs("spearman").alias("abs_spearman"),
-        )
+        .select("*", F.abs("pearson").alias("abs_pearson"), F.abs("spearman").alias("abs_spearman"))
     )
 
 
 def event_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Relationships with the number of distinct feature values."""
-    distinct = (
+    distinct = _named(
         pair_rows(df, features, [target])
-        .groupBy("feature", "x")
+        .groupBy("feature", "target", "x")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("unique_feature_values"))
-    )
+        .groupBy("feature", "target")
+        .agg(F.count(F.lit(1)).alias("unique_feature_values")),
+        features,
+        [target],
+    ).drop("target")
     return (
         relationships(df, features, [target], least=1)
         .join(distinct, "feature")
@@ -320,16 +326,13 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = ("fold", "m
 
 
 def roc_auc(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mann-Whitney AUC from exact counts per distinct probability."""
-    counted = predictions.groupBy(*keys, "probability").agg(
-        F.sum("actual_up").cast("double").alias("_up"),
-        F.sum(1 - F.col("actual_up")).cast("double").alias("_down"),
-    )
-    placed = running_totals(counted, keys, "probability", {"_down_below": "_down"})
-    wins = F.sum(F.col("_up") * (F.col("_down_below") + F.col("_down") / 2))
-    return placed.groupBy(*keys).agg(
-        F.try_divide(wins, F.sum("_up") * F.sum("_down")).alias("roc_auc")
-    )
+    """Mann-Whitney AUC from exact average ranks."""
+    salted = predictions.withColumn("_row_hash", F.xxhash64(*predictions.columns))
+    ranked = with_ranks(salted, keys, {"probability": "_rank"}, salt="_row_hash")
+    up = F.sum("actual_up").cast("double")
+    down = F.sum(1 - F.col("actual_up")).cast("double")
+    wins = F.sum(F.when(F.col("actual_up") == 1, F.col("_rank"))) - up * (up + 1) / 2
+    return ranked.groupBy(*keys).agg(F.try_divide(wins, up * down).alias("roc_auc"))
 
 
 def classification_metrics(predictions: DataFrame, keys: Sequence[str] = ("fold", "model")) -> DataFrame:

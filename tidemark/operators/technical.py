@@ -11,6 +11,7 @@ from tidemark.functions.catalog import HORIZONS
 from tidemark.functions.scalars import change, flag, ratio, sign_score
 from tidemark.operators import panel
 from tidemark.operators.recurrence import Smooth, rsi, smooth, span_alpha
+from tidemark.session import materialize
 
 FAST_SPAN, SLOW_SPAN = 9, 21
 RSI_LENGTH = 14
@@ -226,7 +227,8 @@ def signal_ledger(bars: DataFrame, size: float = 100.0) -> DataFrame:
         "fill_price",
         "fill_date",
     )
-    filled = panel.spread(panel.index_rows(edges.filter(F.col("fill_price").isNotNull())), back=1)
+    # the few edges are written once: the steps below read them several times
+    filled = panel.spread(panel.index_rows(materialize(edges.filter(F.col("fill_price").isNotNull()))), back=1)
     turns = panel.settle(filled.withColumn("_last", F.lag("side", 1).over(w))).filter(
         F.when(F.col("_last").isNull(), F.col("side") == "buy").otherwise(F.col("side") != F.col("_last"))
     )

@@ -63,56 +63,56 @@ def w00_bars_daily(spark, d):
 
 
 def w01_trailing_returns(spark, d):
-    out = technical.trailing_returns(views.bars_daily(spark, d))
+    out = technical.trailing_returns(views.bars_indexed(spark, d))
     return rounded(out.select(*KEY, *[f"return_{k}d" for k in (1, 3, 5, 10)]))
 
 
 def w02_momentum(spark, d):
-    bars = panel.spread(panel.index_rows(views.bars_daily(spark, d)), back=5)
+    bars = panel.spread(views.bars_indexed(spark, d), back=5)
     moved = F.col("close") - F.lag("close", 5).over(panel.window())
     return rounded(panel.settle(bars.withColumn("momentum", moved)).select(*KEY, "momentum"))
 
 
 def w03_ema(spark, d):
-    return rounded(technical.ema_features(views.bars_daily(spark, d)).select(*KEY, "ema_9", "ema_21"), 3)
+    return rounded(technical.ema_features(views.bars_indexed(spark, d)).select(*KEY, "ema_9", "ema_21"), 3)
 
 
 def w04_rsi(spark, d):
-    return rounded(technical.ema_features(views.bars_daily(spark, d)).select(*KEY, "rsi_14"))
+    return rounded(technical.ema_features(views.bars_indexed(spark, d)).select(*KEY, "rsi_14"))
 
 
 def w05_ema_distances(spark, d):
     columns = ["ema_spread_pct", "close_vs_ema9", "close_vs_ema21", "rsi_centered"]
-    return rounded(technical.ema_features(views.bars_daily(spark, d)).select(*KEY, *columns))
+    return rounded(technical.ema_features(views.bars_indexed(spark, d)).select(*KEY, *columns))
 
 
 def w06_volatility(spark, d):
-    return rounded(technical.rolling_features(views.bars_daily(spark, d)).select(*KEY, "volatility_5d", "volatility_20d"))
+    return rounded(technical.rolling_features(views.bars_indexed(spark, d)).select(*KEY, "volatility_5d", "volatility_20d"))
 
 
 def w07_volume(spark, d):
     columns = ["volume_avg_20", "relative_volume", "log_volume"]
-    return rounded(technical.rolling_features(views.bars_daily(spark, d)).select(*KEY, *columns))
+    return rounded(technical.rolling_features(views.bars_indexed(spark, d)).select(*KEY, *columns))
 
 
 def w08_price_extremes(spark, d):
     columns = ["rolling_high_20", "rolling_low_20", "distance_from_20d_high", "distance_from_20d_low", "range_pct"]
-    return rounded(technical.rolling_features(views.bars_daily(spark, d)).select(*KEY, *columns))
+    return rounded(technical.rolling_features(views.bars_indexed(spark, d)).select(*KEY, *columns))
 
 
 def w10_forward_returns(spark, d):
-    return rounded(technical.forward_returns(views.bars_daily(spark, d)).select(*KEY, *panels.TARGETS))
+    return rounded(technical.forward_returns(views.bars_indexed(spark, d)).select(*KEY, *panels.TARGETS))
 
 
 SCORES = ["trend_score", "vwap_score", "rsi_score", "momentum_score", "volume_score", "directional_score"]
 
 
 def w11_directional_score(spark, d):
-    return technical.directional_score(views.bars_daily(spark, d)).select(*KEY, *SCORES)
+    return technical.directional_score(views.bars_indexed(spark, d)).select(*KEY, *SCORES)
 
 
 def w12_strength_label(spark, d):
-    scored = technical.directional_score(views.bars_daily(spark, d))
+    scored = technical.directional_score(views.bars_indexed(spark, d))
     return (
         scored.withColumn("strength", technical.strength_label())
         .groupBy("symbol", "strength")
@@ -121,18 +121,18 @@ def w12_strength_label(spark, d):
 
 
 def w13_edge_signals(spark, d):
-    scored = technical.directional_score(views.bars_daily(spark, d), keep_row=True)
+    scored = technical.directional_score(views.bars_indexed(spark, d), keep_row=True)
     edges = technical.edge_signals(scored).filter("bullish_entry = 1 or bearish_exit = 1")
     return edges.select(*KEY, "bullish_entry", "bearish_exit")
 
 
 def w14_signal_ledger(spark, d):
-    return rounded(technical.signal_ledger(views.bars_daily(spark, d)))
+    return rounded(technical.signal_ledger(views.bars_indexed(spark, d)))
 
 
 def technical_features_all(spark, d):
     columns = [*RESEARCH_TECHNICAL_FEATURES, "volume_avg_20", "rolling_high_20", "rolling_low_20"]
-    return rounded(technical.technical_features(views.bars_daily(spark, d)).select(*KEY, *columns))
+    return rounded(technical.technical_features(views.bars_indexed(spark, d)).select(*KEY, *columns))
 
 
 def a01_score_summary(spark, d):

@@ -21,7 +21,7 @@ TARGETS = tuple(f"forward_return_{h}" for h in HORIZONS)
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
     """Technical features, forward returns and curve features per bar."""
-    bars = views.bars_daily(spark, folder)
+    bars = views.bars_indexed(spark, folder)
     technicals = technical.technical_features(bars)
     ahead = technical.forward_returns(bars).select("symbol", "market_date", *TARGETS)
     features = curve.all_curve_features(views.yield_curve(spark, folder))
@@ -32,15 +32,20 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder, "features", _features)
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return technical.forward_returns(
-        technical.directional_score(views.bars_daily(spark, folder), keep_row=True)
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    bars = views.bars_indexed(spark, folder)
+    return technical.forward_returns(technical.directional_score(bars, keep_row=True)).select(
+        "symbol", "market_date", "directional_score", *TARGETS
     )
 
 
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder, "scored", _scored)
+
+
 def _regimes(spark: SparkSession, folder: str) -> DataFrame:
     """Forward returns and curve regime per bar: the columns regime research reads."""
-    bars = views.bars_daily(spark, folder)
+    bars = views.bars_indexed(spark, folder)
     ahead = technical.forward_returns(bars).select("symbol", "market_date", *TARGETS)
     changes = curve.curve_features(views.yield_curve(spark, folder)).select(
         "curve_date", "change_2y_5d_bp", "change_30y_5d_bp"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import MATURITIES, YIELDS
+from tidemark.operators import panel
 from tidemark.session import materialize, materialized
 
 
@@ -38,6 +39,15 @@ def bars_daily(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder, "bars_daily", _bars_daily)
 
 
+def _bars_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return panel.index_rows(bars_daily(spark, folder))
+
+
+def bars_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars with their row position, indexed once for all windowed features."""
+    return _kept(spark, folder, "bars_indexed", _bars_indexed)
+
+
 def curve_long(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (week, slot): slots play the ten maturities."""
     return (
