@@ -83,13 +83,14 @@ def fold_scalings(tagged: DataFrame, features: Sequence[str], target: str) -> di
         F.count(F.lit(1)).alias("rows"), F.avg(target).alias("mean"), F.stddev_pop(target).alias("deviation")
     )
     out = {r["fold"]: FoldScaling(r["rows"], r["mean"], r["deviation"]) for r in targets.collect()}
-    long = melt(train, ["fold"], list(features), "feature", "value").filter(F.col("value").isNotNull())
+    cells = F.array(*[F.col(f).cast("double") for f in features])
+    long = train.select("fold", F.posexplode(cells).alias("feature", "value")).filter(F.col("value").isNotNull())
     group = ["fold", "feature"]
     known = long.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")
     )
     for r in known.join(medians(long, group, "value"), group).collect():
-        fold, f, n, middle = out[r["fold"]], r["feature"], r["n"], r["median"]
+        fold, f, n, middle = out[r["fold"]], features[r["feature"]], r["n"], r["median"]
         gaps = fold.rows - n
         mean = (n * r["mean"] + gaps * middle) / fold.rows
         variance = (n * (r["variance"] + (r["mean"] - mean) ** 2) + gaps * (middle - mean) ** 2) / fold.rows

@@ -19,9 +19,10 @@ QUINTILE_LABELS = ("Q1_lowest", "Q2", "Q3", "Q4", "Q5_highest")
 
 
 def _horizon_long(df: DataFrame, keys: Sequence[str], horizons: Sequence[int]) -> DataFrame:
-    columns = [f"forward_return_{h}" for h in horizons]
-    long = melt(df, list(keys), columns, "_target", "_ret")
-    return long.select(*keys, F.substring_index("_target", "_", -1).cast("int").alias("horizon"), "_ret")
+    returns = F.array(*[F.col(f"forward_return_{h}").cast("double") for h in horizons])
+    numbers = F.array(*[F.lit(h) for h in horizons])
+    long = df.select(*keys, F.posexplode(returns).alias("_at", "_ret"))
+    return long.select(*keys, F.element_at(numbers, F.col("_at") + 1).alias("horizon"), "_ret")
 
 
 def outcome_statistics(df: DataFrame, keys: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:

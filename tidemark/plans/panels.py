@@ -20,12 +20,13 @@ TARGETS = tuple(f"forward_return_{h}" for h in HORIZONS)
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
-    """Technical features, forward returns and curve features per bar."""
+    """Technical features, forward returns with their target end, and curve features per bar."""
     bars = views.bars_indexed(spark, folder)
     technicals = technical.technical_features(bars)
     ahead = technical.forward_returns(bars).select("symbol", "market_date", *TARGETS)
-    features = curve.all_curve_features(views.yield_curve(spark, folder))
-    return asof.attach_curve(technicals.join(ahead, ["symbol", "market_date"]), features)
+    ends = folds.with_target_end(ahead, 5)
+    curves = curve.all_curve_features(views.yield_curve(spark, folder))
+    return asof.attach_curve(technicals.join(ends, ["symbol", "market_date"]), curves)
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +63,7 @@ def development(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = models.with_targets(folds.with_target_end(features(spark, folder), 5))
+    rows = models.with_targets(features(spark, folder))
     return folds.assign_folds(rows, FOLDS)
 
 
