@@ -14,6 +14,11 @@ EVENT = ["series_name", "reference_date", "vintage_date"]
 AS_OF = "1998-06-15"
 
 
+def _as_double(df, column):
+    """Nullable counts compare as doubles, whatever the client makes of NULL integers."""
+    return df.withColumn(column, F.col(column).cast("double"))
+
+
 def s06_vintage_payload(spark, d):
     """Vintages folded into the wide JSON form of the data service, then parsed back."""
     cells = F.map_from_entries(
@@ -213,7 +218,8 @@ def j04_events_to_market(spark, d):
         "symbol", "market_date", "event_release_date", "reference_date", "payroll_level", "payroll_revision_total",
         "days_since_payroll_release", "payroll_release_day",
     ]
-    return rounded(panels.event_market(spark, d).select(*columns), 2)
+    out = panels.event_market(spark, d).select(*columns)
+    return rounded(_as_double(out, "days_since_payroll_release"), 2)
 
 
 def _prepared(spark, d):
@@ -223,7 +229,7 @@ def _prepared(spark, d):
 def j02_macro_series_asof(spark, d):
     bars = views.bars_daily(spark, d).select("symbol", "market_date", "close")
     one = _prepared(spark, d).filter(F.col("series_name") == panels.EVENT_SERIES)
-    return rounded(asof.attach_macro_series(bars, one, "urgent"))
+    return rounded(_as_double(asof.attach_macro_series(bars, one, "urgent"), "urgent_data_age_days"))
 
 
 def j03_macro_family_asof(spark, d):
@@ -235,7 +241,7 @@ def j03_macro_family_asof(spark, d):
         picked += [
             F.col(f"`{series}`").alias(short),
             F.col(f"`{series}_reference_date`").alias(f"{short}_reference_date"),
-            F.col(f"`{series}_data_age_days`").alias(f"{short}_data_age_days"),
+            F.col(f"`{series}_data_age_days`").cast("double").alias(f"{short}_data_age_days"),
         ]
     return rounded(out.select("symbol", "market_date", *picked))
 

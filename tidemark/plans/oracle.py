@@ -910,7 +910,7 @@ ask(
 ask(
     "j04_events_to_market",
     f"select symbol, market_date, event_release_date, reference_date, {fl('payroll_level', 'payroll_revision_total', digits=2)}, "
-    "cast(days_since_payroll_release as int) as days_since_payroll_release, payroll_release_day from event_market",
+    "cast(days_since_payroll_release as double) as days_since_payroll_release, payroll_release_day from event_market",
     "event_market",
 )
 
@@ -926,7 +926,7 @@ ask(
     f"""select symbol, market_date, close, u.release_date as urgent_market_date_available, round(u.value, 6) + 0.0 as urgent,
     u.reference_date as urgent_reference_date, u.release_date as urgent_release_date,
     case when u.release_date is not null then '08:30' end as urgent_release_time, case when u.release_date is not null then 'America/New_York' end as urgent_release_timezone,
-    cast(market_date - u.release_date as int) as urgent_data_age_days from bars b {_macro_asof("1-URGENT", "u")}""",
+    cast(market_date - u.release_date as double) as urgent_data_age_days from bars b {_macro_asof("1-URGENT", "u")}""",
     "bars",
     "obs",
     "cal",
@@ -935,7 +935,7 @@ ask(
     "j03_macro_family_asof",
     "select symbol, market_date, "
     + ", ".join(
-        f"round({p}.value, 6) + 0.0 as {n}, {p}.reference_date as {n}_reference_date, cast(market_date - {p}.release_date as int) as {n}_data_age_days"
+        f"round({p}.value, 6) + 0.0 as {n}, {p}.reference_date as {n}_reference_date, cast(market_date - {p}.release_date as double) as {n}_data_age_days"
         for n, p in (("urgent", "u"), ("high", "h"), ("medium", "m"))
     )
     + " from bars b "
