@@ -13,8 +13,8 @@ from tidemark.sources import readers, sinks
 def test_bars_from_csv(spark, tmp_path):
     path = tmp_path / "bars.csv"
     path.write_text(" Date ,Open,High,Low,Close,Volume\n2026-01-05,1,2,0.5,1.5,100\n2026-01-02,1,2,0.5,1.4,90\n2026-01-02,9,9,9,9,9\n")
-    got = pandas_sorted(readers.read_bars_csv(spark, str(path), "TMF"), "market_date")
-    assert got.close.tolist() == [1.4, 1.5] and got.symbol.tolist() == ["TMF", "TMF"]
+    got = pandas_sorted(readers.read_bars_csv(spark, str(path), "ETF"), "market_date")
+    assert got.close.tolist() == [1.4, 1.5] and got.symbol.tolist() == ["ETF", "ETF"]
     assert got.market_date.tolist() == [day("2026-01-02"), day("2026-01-05")]
 
 
@@ -81,7 +81,7 @@ def test_report_sinks(spark, tmp_path):
         sinks.write_json_once(one, str(tmp_path / "j"))
 
 
-FORECAST = {"model": "V3_FINAL", "forecast_origin": "2026-07-10", "forecast_target_date": "2026-07-17", "issued_at_utc": "2026-07-10T21:00:00Z",
+FORECAST = {"model": "final_model", "forecast_origin": "2026-07-10", "forecast_target_date": "2026-07-17", "issued_at_utc": "2026-07-10T21:00:00Z",
             "horizon_trading_days": 5, "probability_positive_return": 0.55, "tmf_close": 33.0, "training_base_rate": 0.5}
 
 
@@ -92,7 +92,7 @@ def test_forecast_scan_and_latest_file(spark, tmp_path):
     newest = readers.latest_file(spark, str(tmp_path), "F_*.json")
     assert newest.endswith("F_20260710.json")
     got = readers.read_forecasts(spark, newest)
-    assert assessment.forecast_violations(got, "V3_FINAL", "issued_text").isEmpty()
+    assert assessment.forecast_violations(got, "final_model", "issued_text").isEmpty()
     assert got.first().probability_positive_return == 0.55
     sha = readers.fingerprints(spark, newest).first().sha256
     assert sha == hashlib.sha256((tmp_path / "F_20260710.json").read_bytes()).hexdigest()
@@ -110,7 +110,7 @@ def test_forecast_scan_and_latest_file(spark, tmp_path):
 )
 def test_forecast_contract(spark, tmp_path, change, rule):
     (tmp_path / "f.json").write_text(json.dumps({**FORECAST, **change}))
-    found = assessment.forecast_violations(readers.read_forecasts(spark, str(tmp_path / "f.json")), "V3_FINAL", "issued_text")
+    found = assessment.forecast_violations(readers.read_forecasts(spark, str(tmp_path / "f.json")), "final_model", "issued_text")
     assert [r.check for r in found.collect()] == [rule]
 
 

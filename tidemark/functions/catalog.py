@@ -88,8 +88,8 @@ PAYROLL_FEATURES = (
     "payroll_revision_total", "payroll_revision_z", "days_since_payroll_release",
 )
 PAYROLL_CANDIDATES = {
-    "payems_a": ("payroll_change_1m", "payroll_revision_total", "payroll_broad_revision_event"),
-    "payems_b": ("payroll_change_1m", "payroll_revision_2m", "payroll_broad_revision_event"),
+    "PAYEMS-A": ("payroll_change_1m", "payroll_revision_total", "payroll_broad_revision_event"),
+    "PAYEMS-B": ("payroll_change_1m", "payroll_revision_2m", "payroll_broad_revision_event"),
 }
 PAYROLL_RESEARCH_ONLY = (
     "payroll_change_z", "payroll_revision_z", "payroll_revision_1m", "payroll_revised_periods",

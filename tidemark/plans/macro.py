@@ -320,7 +320,7 @@ def _forecasts(spark, d):
         (F.col("symbol") == panels.EVENT_SERIES) & F.col("target_end_date").isNotNull()
     )
     return rows.select(
-        F.lit("V3_FINAL").alias("model"),
+        F.lit("final_model").alias("model"),
         F.col("market_date").alias("forecast_origin"),
         F.col("target_end_date").alias("forecast_target_date"),
         F.lit(5).alias("horizon_trading_days"),
@@ -329,7 +329,7 @@ def _forecasts(spark, d):
 
 
 def s11_forecast_contract(spark, d):
-    return assessment.forecast_violations(_forecasts(spark, d), "V3_FINAL")
+    return assessment.forecast_violations(_forecasts(spark, d), "final_model")
 
 
 def _daily_report(spark, d, symbol):

@@ -1031,7 +1031,7 @@ cte(
 )
 ask(
     "s11_forecast_contract",
-    "select 'probability' as check, forecast_origin, 'V3_FINAL' as model from forecasts where p > 1",
+    "select 'probability' as check, forecast_origin, 'final_model' as model from forecasts where p > 1",
     "forecasts",
 )
 

@@ -120,6 +120,7 @@ def vintage_events(payload: DataFrame, text: str = "payload", name: str = "serie
     )
 
 
+# Field names of recorded forecasts.
 FORECAST_SCHEMA = (
     "model string, forecast_origin string, forecast_target_date string, issued_at_utc string, "
     "horizon_trading_days int, probability_positive_return double, tmf_close double, training_base_rate double"
