@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, mixing
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +20,14 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the mix takes, against its source's target."""
+    mixed = mixing.taken(_documents(spark, folder))
+    return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op9_mixing": op9_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
