@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, mixing
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again with the public 50k vocabulary."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode_decode(_documents(spark, folder), ranks, public_tokenizers.PATTERN)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "n_chars", "ids_sha256", "decoded_sha256")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, winner and size of every document's exact-copy group."""
     groups = exact_dedup.exact_groups(_documents(spark, folder))
@@ -27,6 +35,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
     "op9_mixing": op9_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
