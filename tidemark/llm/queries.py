@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, mixing, quality
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", "n_chars", "ids_sha256", "decoded_sha256")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    judged = quality.judge(_documents(spark, folder))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "distance")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, winner and size of every document's exact-copy group."""
     groups = exact_dedup.exact_groups(_documents(spark, folder))
@@ -37,6 +44,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op5_quality": op5_quality,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
