@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, quality
+from tidemark.llm import bpe, exact_dedup, language, mixing, quality
+from tidemark.llm.common import fold_of
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows outside fold 2 of 4."""
+    docs = _documents(spark, folder)
+    fold = fold_of(F.col("doc_id"), 4)
+    dictionaries = language.learn(docs, fold != 2)
+    found = language.identify(docs, dictionaries)
+    return found.select(F.col("id").alias("doc_id"), (fold_of(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted", "margin")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again with the public 50k vocabulary."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -42,6 +52,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op4_byte_bpe": op4_byte_bpe,
     "op9_mixing": op9_mixing,
     "op5_quality": op5_quality,
