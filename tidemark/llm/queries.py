@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language, mixing, quality
+from tidemark.llm import bpe, exact_dedup, language, mixing, quality, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -37,6 +37,16 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "distance")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows outside fold 1 of 3."""
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(fold_of(F.col("doc_id"), 3) != 1)
+    scored = toxicity.judge(docs, *toxicity.learn(docs, labels))
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold_of(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_clauses"
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, winner and size of every document's exact-copy group."""
     groups = exact_dedup.exact_groups(_documents(spark, folder))
@@ -56,6 +66,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op9_mixing": op9_mixing,
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
