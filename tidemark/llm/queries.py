@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language, mixing, quality, toxicity
+from tidemark.llm import bpe, exact_dedup, language, mixing, pseudonyms, quality, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -23,6 +23,16 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold_of(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted", "margin")
 
 
+#: A fixed key makes the query's results comparable; a user passes a secret one.
+PSEUDONYM_KEY = b"fixed key of the registered query"
+
+
+def op3_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    made = pseudonyms.pseudonymise(_documents(spark, folder), PSEUDONYM_KEY)
+    return made.select(F.col("id").alias("doc_id"), "text", "n_values", "spans")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again with the public 50k vocabulary."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -63,6 +73,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_byte_bpe": op4_byte_bpe,
     "op9_mixing": op9_mixing,
     "op5_quality": op5_quality,
