@@ -9,6 +9,8 @@ eight bytes a word.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -147,12 +149,53 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0)
 
 
-def blocks_of(docs: DataFrame, key: str, text: str, total: int) -> DataFrame:
-    """(block, id, text): documents dealt over blocks of about ``BLOCK_BYTES`` by a hash of id.
+def blocks_of(docs: DataFrame, key: str, text: str, total: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, id, text): documents dealt over blocks of about ``block_bytes`` by a hash of id.
 
     Each block is small enough for one Python call. The number of blocks grows
     with the text; their content is the same in every evaluation.
     """
-    n = max(1, -(-total // BLOCK_BYTES))
+    n = max(1, -(-total // block_bytes))
     row = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return row.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one binary value."""
+    return pickle.dumps(arrays, 5)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(data)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
+def split_keys(keys: np.ndarray, buckets: int):
+    """(bucket, positions in ``keys``, rest of the key) for each bucket; bucket and rest make up the key."""
+    of = keys % np.uint64(buckets)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
+    for bucket in range(buckets):
+        at = order[edges[bucket] : edges[bucket + 1]]
+        if len(at):
+            yield bucket, at, keys[at] // np.uint64(buckets)
+
+
+def short(keys: np.ndarray, size: int = 6) -> np.ndarray:
+    """The low ``size`` bytes of every key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def long(keys: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(keys), 8), np.uint8)
+    whole[:, : keys.shape[1]] = keys
+    return whole.view("<u8").reshape(-1)
+
+
+def free_shuffles(spark) -> None:
+    """Let Spark delete a finished query's shuffle files at once instead of with the driver's garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language, mixing, pseudonyms, quality, toxicity
+from tidemark.llm import bpe, exact_dedup, language, mixing, pseudonyms, quality, scoring, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -71,7 +71,16 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+def op10_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learned from the rows outside fold 0 of 10."""
+    docs = _documents(spark, folder)
+    fold = fold_of(F.col("doc_id"), 10)
+    scored = scoring.score(docs, F.when(fold == 0, 0).when(fold == 1, 2).otherwise(1))
+    return scored.select(F.col("id").alias("doc_id"), (fold_of(F.col("id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
+    "op10_scoring": op10_scoring,
     "op2_language": op2_language,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_byte_bpe": op4_byte_bpe,
