@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language, mixing, pseudonyms, quality, scoring, toxicity
+from tidemark.llm import bpe, exact_dedup, jaccard, language, mixing, pseudonyms, quality, scoring, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -14,6 +14,12 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    found = jaccard.near_duplicates(_documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows outside fold 2 of 4."""
     docs = _documents(spark, folder)
@@ -80,6 +86,7 @@ def op10_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op10_scoring": op10_scoring,
     "op2_language": op2_language,
     "op3_pseudonyms": op3_pseudonyms,
