@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, jaccard, language, mixing, pseudonyms, quality, scoring, toxicity
+from tidemark.llm import bpe, exact_dedup, jaccard, language, mixing, pseudonyms, quality, scoring, substrings, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -63,6 +63,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that repeat a passage of an earlier one, and what is kept."""
+    found = substrings.remove_repeats(_documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, winner and size of every document's exact-copy group."""
     groups = exact_dedup.exact_groups(_documents(spark, folder))
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_substrings": op7_substrings,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
