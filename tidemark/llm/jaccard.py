@@ -316,7 +316,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, with its columns: the document of smallest id of each component."""
+    """Rows of ``docs`` that stay, with its columns: the document of smallest id of each component.
+
+    Rows that share an id stay together if one of them stays.
+    """
     found = near_duplicates(docs, key, text)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"))
+    stays = F.max(F.col("id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("id").agg(stays.alias("stays")).where(~F.col("stays")).select(F.col("id").alias("__id"))
     return docs.join(gone, F.col(key).eqNullSafe(F.col("__id")), "left_anti")

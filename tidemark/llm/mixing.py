@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import SPACE, WORD
 from tidemark.session import materialize
 
 #: A source is used this many times over at most.
@@ -93,7 +93,7 @@ def shuffled(sized: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def schedule(goal: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, source, rank, first, words): which words of its source's stream each slot takes.
+    """(slot, source, rank, turn, first, words): which words of its source's stream each slot takes.
 
     A source's last slot is cut so that its slots add up to its target, rounded
     down to whole words and never above ``MOST_USES`` times its words. The sequence
@@ -136,14 +136,15 @@ def schedule(goal: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     # words taken by all earlier ranks of the source
     done = F.floor(F.col("rank") / per_pass) * F.col("source_size") + place
     words = F.least(width, F.col("quota") - done)
-    return ranked.select(F.col("id").alias("slot"), "source", "rank", place.alias("first"), words.alias("words")).where("words > 0")
+    turn = F.floor(F.col("rank") / per_pass)
+    return ranked.select(F.col("id").alias("slot"), "source", "rank", turn.alias("turn"), place.alias("first"), words.alias("words")).where("words > 0")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """The mix and its documents.
 
-    First (slot, id, begin, words): the words of document ``id`` that slot ``slot``
-    takes, counted from its word ``begin``. Second (id, source, size, source_size,
+    First (slot, turn, id, begin, words): the words of document ``id`` that slot ``slot``
+    takes in pass ``turn`` over its source, counted from the document's word ``begin``. Second (id, source, size, source_size,
     target). Empty and null texts take no part in the mix. Equal ids are told apart
     only by their size: rows repeated in full hold words of their own but share the
     id. A null source is a source. An empty table gives two empty results.
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     met = slots.join(pieces, F.col("source").eqNullSafe(F.col("own")) & (F.col("slot_block") == F.col("block")))
     start = F.greatest(F.col("first"), F.col("begin"))
     end = F.least(F.col("first") + F.col("words"), F.col("begin") + F.col("size"))
-    rows = met.select("slot", "id", (start - F.col("begin")).alias("begin"), (end - start).alias("words")).where("words > 0")
+    rows = met.select("slot", "turn", "id", (start - F.col("begin")).alias("begin"), (end - start).alias("words")).where("words > 0")
     facts = sized.join(goal.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     return rows, facts
 
@@ -168,3 +169,27 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     counts = rows.groupBy(F.col("id").alias("of")).agg(F.sum("words").alias("taken"))
     met = facts.join(counts, F.col("id").eqNullSafe(F.col("of")), "left")
     return met.select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix in the columns of ``docs``: a row for each pass over a source that takes words of the document.
+
+    A pass that takes all words leaves the text as it is; one that takes some leaves
+    these words, in order, joined by single spaces. A document of no words has no
+    part in the mix. Rows that share an id must be one document.
+    """
+    rows, facts = mix(docs, key, text, source, block)
+    passes = rows.groupBy("id", "turn").agg(
+        F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("parts")
+    )
+    size = facts.where("size > 0").groupBy(F.col("id").alias("of")).agg(F.max("size").alias("size"))
+    met = passes.join(size, F.col("id").eqNullSafe(F.col("of")))
+    taken_by = met.select(F.col("id").alias("__id"), F.when(F.col("n") < F.col("size"), F.col("parts")).alias("__parts"))
+    words = F.filter(F.split(F.col(text), SPACE + "+"), lambda w: w != "")
+    some = F.element_at(
+        F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(F.col("__parts"), lambda p: F.slice(w, p["begin"].cast("int") + 1, p["words"].cast("int")))), " ")), 1
+    )
+    met = docs.join(taken_by, F.col(key).eqNullSafe(F.col("__id")))
+    cut = F.when(F.col("__parts").isNull(), F.col(text)).otherwise(some)
+    kept = [F.col(name) if name != text else cut.alias(text) for name in docs.columns]
+    return met.select(*kept)

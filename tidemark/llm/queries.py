@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def op10_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_jaccard": op1_jaccard,
     "op10_scoring": op10_scoring,
     "op2_language": op2_language,
