@@ -103,8 +103,8 @@ class SuffixAutomaton:
             at = self.link[at]
         return clone
 
-    def origins(self, words: list[int], window: int) -> list[int]:
-        """For each window of ``words``, the first document known to hold it, or -1."""
+    def origins(self, words: list[int], window: int) -> list[int | None]:
+        """For each window of ``words``, the first document known to hold it, or None."""
         length, link, first, one, to, more = self.length, self.link, self.first, self.word, self.to, self.more
         out, state, matched = [], 0, 0
         for i, word in enumerate(words):
@@ -124,7 +124,7 @@ class SuffixAutomaton:
             if matched > length[state]:
                 matched = length[state]
             if i >= window - 1:
-                out.append(first[state] if matched >= window else -1)
+                out.append(first[state] if matched >= window else None)
         return out
 
 
@@ -268,11 +268,11 @@ def _answer_fragments(key: tuple, rows: pa.Table) -> pa.Table:
         origin = automaton.origins(words, WINDOW)
         at, n = 0, len(origin)
         while at < n:  # what is new extends the automaton
-            if origin[at] >= 0:
+            if origin[at] is not None:
                 at += 1
                 continue
             end = at
-            while end < n and origin[end] < 0:
+            while end < n and origin[end] is None:
                 origin[end] = document
                 end += 1
             automaton.add(words[at : end + WINDOW - 1], document)
