@@ -9,6 +9,8 @@ added up.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 import regex
 import zstandard
@@ -41,14 +43,16 @@ def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("language"), F.col(key)).alias("draw"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.lit(SAMPLE_ROWS) / F.col("n")
+    rows_of = {row["lang"]: row["n"] for row in counts.collect()}  # one row a language
+    if not rows_of:
+        return {}
     # the hash is even over its range: a share of the range is about that share of the rows
-    drawn = rows.join(counts, "lang").where(F.col("draw").cast("double") / F.lit(2.0**64) + 0.5 <= share)
+    share = reduce(lambda so_far, name: so_far.when(F.col("lang") == name, F.lit(SAMPLE_ROWS / rows_of[name])), rows_of, F.when(F.lit(False), F.lit(0.0)))
+    drawn = rows.where(F.col("draw").cast("double") / F.lit(2.0**64) + 0.5 <= share)
     sample: dict[str, list[tuple[int, str]]] = {}
     for row in drawn.select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
         sample.setdefault(row["lang"], []).append((row["draw"], row["text"]))
     made = {}
-    rows_of = {row["lang"]: row["n"] for row in counts.collect()}  # one row a language
     for name in sorted(sample):
         content = "\n".join(text.lower() for _, text in sorted(sample[name])).encode("utf-8", "replace")
         made[name] = rows_of[name], content[-DICT_BYTES:]
