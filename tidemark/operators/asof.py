@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import panel
+
 HIT = "_hit"
 
 
 def _latest_per_date(right: DataFrame, by: list[str], right_on: str, payload: list[str], tie: str | None) -> DataFrame:
-    """One right row per (by, date): the one with the greatest ``tie``."""
+    """One right row per (by, date): the one with the greatest ``tie``, then the greatest payload."""
     packed = F.struct(F.col(right_on), *[F.col(c) for c in payload if c != right_on])
-    return right.groupBy(*by, right_on).agg(F.max_by(packed, F.col(tie or right_on)).alias(HIT))
+    return right.groupBy(*by, right_on).agg(F.max_by(packed, F.struct(F.col(tie or right_on), packed)).alias(HIT))
 
 
 def dates_asof(
@@ -82,12 +84,13 @@ def join_by_key(
 
     Rows meet inside (key, time bucket); the last right row of the buckets
     before is carried in from a table with one row per (key, bucket). A hot key
-    is spread over its buckets.
+    is spread over its buckets. Left rows with a NULL key or time stay, unmatched.
     """
     by = list(by)
     names = [right_on, *[c for c in payload if c != right_on]]
     bucket = "_bucket"
-    latest = _latest_per_date(right.filter(F.col(right_on).isNotNull()), by, right_on, list(payload), tie)
+    dated = right.filter(F.col(right_on).isNotNull()).dropna(subset=by)
+    latest = _latest_per_date(dated, by, right_on, list(payload), tie)
     latest = latest.withColumn(bucket, F.date_trunc(unit, F.col(right_on)))
     none = F.lit(None).cast(latest.schema[HIT].dataType)
     row = F.struct(*[F.col(c) for c in left.columns])
@@ -123,7 +126,7 @@ def join_by_key(
     )
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, bucket, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    found = local.join(carried, [*by, bucket]).withColumn(HIT, F.coalesce(HIT, "_carried"))
+    found = panel.join_null_safe(local, carried, [*by, bucket]).withColumn(HIT, F.coalesce(HIT, "_carried"))
     return found.select("_left.*", *[F.col(f"{HIT}.{c}").alias(c) for c in names])
 
 

@@ -6,7 +6,8 @@ the rows always is one, and rows of such a piece share one rank, so they need
 no sorting and are spread over tasks. What lies between two cut points is small
 and is ordered in one window. Piece sizes come from a pre-aggregated count.
 
-Cut points only decide the balance; results are exact whatever they are.
+Cut points only decide the balance, but all branches of a plan must see the same
+ones: they are evaluated once and written before they are used.
 ``keys`` are report dimensions (a score, a fold, a feature/target pair): their
 number is fixed by the call and not by the data, which bounds the broadcast
 tables at (keys x pieces) rows.
@@ -19,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 SALTS = 64
 
 
@@ -59,7 +62,8 @@ def with_pieces(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     cuts = df.groupBy(*keys).agg(
         *[F.percentile_approx(v, at, max(1000, 8 * pieces)).alias(f"_cuts_{v}") for v in values]
     )
-    out = _meet(df, cuts, keys)
+    # a sketch merges in any order: one evaluation serves sizes and rows alike (keys x pieces values)
+    out = _meet(df, materialize(cuts), keys)
     own = [_piece(F.col(v), F.col(f"_cuts_{v}"), pieces).alias(f"_piece_{v}") for v in values]
     return out.select(*df.columns, *own)
 
@@ -87,8 +91,8 @@ def with_ranks(df: DataFrame, keys: Sequence[str], ranks: dict[str, str], salt:
     keep = list(df.columns)
     for value, rank in ranks.items():
         piece = f"_piece_{value}"
-        sizes = _piece_sizes(base, keys, value).drop("_least")
-        met = out.join(F.broadcast(sizes), [*keys, piece])
+        sizes = materialize(_piece_sizes(base, keys, value).drop("_least"))
+        met = out.join(sizes, [*keys, piece])
         shared = F.col(piece) % 2 == 1
         spread = F.pmod(F.xxhash64(salt or value), F.lit(SALTS))
         w = Window.partitionBy(*keys, piece, "_salt").orderBy(value)

@@ -26,7 +26,8 @@ def index_rows(
 
     Positions come from counts per (key, calendar span) plus the position inside
     the span, so no task sorts more than one span of one key. Choose a finer
-    ``span`` for intraday data.
+    ``span`` for intraday data. Rows with a NULL key form a key of their own; rows
+    with a NULL time come first in theirs.
     """
     by = list(by)
     spanned = df.withColumn("_span", F.date_trunc(span, F.col(order)))
@@ -34,17 +35,23 @@ def index_rows(
     starts = (
         spanned.groupBy(*by, "_span")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*by, "_span", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     )
     inside = Window.partitionBy(*by, "_span").orderBy(order)
     return (
-        spanned.withColumn("_place", F.row_number().over(inside))
-        .join(starts, [*by, "_span"])
+        join_null_safe(spanned.withColumn("_place", F.row_number().over(inside)), starts.drop("_size"), [*by, "_span"])
         .withColumn(ROW, F.col("_start") + F.col("_place") - 1)
         .drop("_span", "_place", "_start")
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL; key columns are those of the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def home_block(rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(ROW) / F.lit(rows))
 
@@ -103,7 +110,7 @@ def running_sum(
         )
     )
     upto = window(by).rowsBetween(Window.unboundedPreceding, 0)
-    return homed.join(before, [*by, BLOCK]).select(
+    return join_null_safe(homed, before, [*by, BLOCK]).select(
         *df.columns,
         *[(F.col(f"_before_{out}") + F.sum(column).over(upto)).alias(out) for out, column in sums.items()],
     )

@@ -1,9 +1,9 @@
 """Exponential smoothing y_t = r·y_(t−1) + (1−r)·x_t as native window sums.
 
-Inside a block the recurrence is a running sum of x·r^(−position) scaled back
-by r^position; whole blocks are linked by their end states, a table with one
-row per block. Three earlier states are carried: the next one would enter with
-weight r^(3·1024), below 1e-98 for every smoothing used here.
+Blocks are cut into parts short enough for r^(−part) to stay finite. Inside a part
+the recurrence is a running sum of x·r^(−position) scaled back by r^position; parts
+are linked by their end states, a table with one row per part. A part takes over
+all earlier states that still weigh anything in double precision.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.operators import panel
 
 
+#: Natural logarithm of the largest scale used: products with prices stay finite, smaller weights are nothing.
+_RANGE = 460.0
+
+
 @dataclass(frozen=True)
 class Smooth:
     """``out`` = exponential mean of ``source`` with weight ``alpha``, seeded at row ``seed``."""
@@ -36,13 +40,26 @@ def _power(base: float, exponent: Column) -> Column:
     return F.exp(exponent * F.lit(math.log(base)))
 
 
+def part_rows(alphas: Sequence[float], rows: int) -> int:
+    """Longest divisor of ``rows`` over which no smoothing's r^(−n) leaves the range of doubles."""
+    least = min(1 - a for a in alphas)
+    most = rows if least <= 0 else int(_RANGE / max(-math.log(least), _RANGE / rows))
+    return max(n for n in range(1, rows + 1) if rows % n == 0 and n <= max(1, most))
+
+
 def smooth(
     frame: DataFrame, specs: Sequence[Smooth], by: Sequence[str] = ("symbol",), rows: int = panel.BLOCK_ROWS
 ) -> DataFrame:
-    """Add smoothed columns to a frame made by ``panel.spread`` (NULL on copied rows)."""
+    """Add smoothed columns to a frame made by ``panel.spread`` (NULL on copied rows).
+
+    ``alpha`` lies above 0 and up to 1 (1: the source itself).
+    """
     by = list(by)
-    place = F.col(panel.ROW) - F.col(panel.BLOCK) * F.lit(rows)
     home = panel.is_home(rows)
+    slow = [s for s in specs if s.alpha < 1]
+    n = part_rows([s.alpha for s in slow], rows) if slow else rows
+    cut = frame.withColumn("_part", F.floor(F.col(panel.ROW) / n))
+    place = F.col(panel.ROW) - F.col("_part") * F.lit(n)
 
     def weighted(spec: Smooth) -> Column:
         weight = (
@@ -52,40 +69,38 @@ def smooth(
         )
         return F.when(home, F.coalesce(weight * F.col(spec.source), F.lit(0.0)))
 
-    ends = frame.filter(home).groupBy(*by, panel.BLOCK).agg(
-        *[
-            F.sum(weighted(s) * _power(1 - s.alpha, F.lit(rows - 1) - place)).alias(f"_end_{s.out}")
-            for s in specs
-        ]
+    own = [
+        F.when(home & (F.col(panel.ROW) >= s.seed), F.coalesce(F.col(s.source), F.lit(0.0))).alias(s.out) for s in specs if s.alpha >= 1
+    ]
+    if not slow:
+        return cut.select(*frame.columns, *own)
+    ends = cut.filter(home).groupBy(*by, "_part").agg(
+        *[F.sum(weighted(s) * _power(1 - s.alpha, F.lit(n - 1) - place)).alias(f"_end_{s.out}") for s in slow]
     )
-    chain = Window.partitionBy(*by).orderBy(panel.BLOCK)
+    chain = Window.partitionBy(*by).orderBy("_part")
 
     def carried(spec: Smooth) -> Column:
-        decay = (1 - spec.alpha) ** rows
-        end = f"_end_{spec.out}"
-        parts = [
-            F.coalesce(F.lag(end, k + 1).over(chain), F.lit(0.0)) * F.lit(decay**k) for k in range(3)
-        ]
-        return parts[0] + parts[1] + parts[2]
-
-    states = ends.select(*by, panel.BLOCK, *[carried(s).alias(f"_carry_{s.out}") for s in specs])
-    upto = panel.window(by).rowsBetween(Window.unboundedPreceding, 0)
-    local = frame.select(
+        """End state of the part before: every end still felt, the oldest first."""
+        reach = math.ceil(_RANGE / (-math.log(1 - spec.alpha) * n))
+        felt = F.collect_list(f"_end_{spec.out}").over(chain.rowsBetween(-min(reach, 2**31 - 1), -1))
+        return F.aggregate(felt, F.lit(0.0), lambda state, end: state * F.lit((1 - spec.alpha) ** n) + end)
+
+    states = ends.select(*by, "_part", *[carried(s).alias(f"_carry_{s.out}") for s in slow])
+    upto = Window.partitionBy(*by, panel.BLOCK, "_part").orderBy(panel.ROW).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select(
         "*",
-        *[F.sum(weighted(s) * _power(1 - s.alpha, -place)).over(upto).alias(f"_sum_{s.out}") for s in specs],
-    )
-    joined = local.join(states, [*by, panel.BLOCK], "left")
-    return joined.select(
-        *frame.columns,
-        *[
-            F.when(
-                home & (F.col(panel.ROW) >= s.seed),
-                F.col(f"_sum_{s.out}") * _power(1 - s.alpha, place)
-                + F.col(f"_carry_{s.out}") * _power(1 - s.alpha, place + 1),
-            ).alias(s.out)
-            for s in specs
-        ],
+        *[F.sum(weighted(s) * _power(1 - s.alpha, -place)).over(upto).alias(f"_sum_{s.out}") for s in slow],
     )
+    joined = panel.join_null_safe(local, states, [*by, "_part"], "left")
+    made = {
+        s.out: F.when(
+            home & (F.col(panel.ROW) >= s.seed),
+            F.col(f"_sum_{s.out}") * _power(1 - s.alpha, place) + F.col(f"_carry_{s.out}") * _power(1 - s.alpha, place + 1),
+        )
+        for s in slow
+    }
+    fast = dict(zip([s.out for s in specs if s.alpha >= 1], own))
+    return joined.select(*frame.columns, *[made[s.out].alias(s.out) if s.out in made else fast[s.out] for s in specs])
 
 
 def rsi(gain: str, loss: str) -> Column:

@@ -248,16 +248,22 @@ def with_quintile(
     date: str = "market_date",
     name: str = "symbol",
 ) -> DataFrame:
-    """Equal-count fifths by position; ties in probability go by date, then name."""
+    """Equal-count fifths by position; ties in probability go by date, then name.
+
+    A row without a probability has no bucket and doesn't count.
+    """
     keys = list(keys)
-    placed = ordinals(predictions, keys, probability, date, name, "_at")
-    sizes = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    missing = predictions.filter(F.col(probability).isNull()).withColumn("probability_bucket", F.lit(None).cast("string"))
+    known = predictions.filter(F.col(probability).isNotNull())
+    placed = ordinals(known, keys, probability, date, name, "_at")
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     number = F.ceil(F.col("_at") * 5 / F.col("_size")).cast("int")
     label = F.element_at(F.array(*[F.lit(q) for q in QUINTILE_LABELS]), number)
     return (
         placed.join(F.broadcast(sizes), keys)
         .withColumn("probability_bucket", label)
         .drop("_at", "_size")
+        .unionByName(missing)
     )
 
 
@@ -328,7 +334,8 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = ("fold", "m
 
 def roc_auc(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mann-Whitney AUC from exact average ranks."""
-    salted = predictions.withColumn("_row_hash", F.xxhash64(*predictions.columns))
+    known = predictions.filter(F.col("probability").isNotNull() & F.col("actual_up").isNotNull())
+    salted = known.withColumn("_row_hash", F.xxhash64(*known.columns))
     ranked = with_ranks(salted, keys, {"probability": "_rank"}, salt="_row_hash")
     up = F.sum("actual_up").cast("double")
     down = F.sum(1 - F.col("actual_up")).cast("double")

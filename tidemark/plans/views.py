@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import MATURITIES, YIELDS
 from tidemark.operators import panel
-from tidemark.session import materialize, materialized
+from tidemark.session import materialize, materialized, state_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _kept(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     """A derived panel is written once per application: several plan branches read it."""
-    key = f"{folder}#{name}"
+    key = f"{folder}#{state_of(spark, folder)}#{name}"
     known = materialized(spark, key)
     return known if known is not None else materialize(build(spark, folder), key)
 

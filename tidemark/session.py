@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,11 +30,17 @@ def local_session(cpus: int | str = 8, name: str = "tidemark") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach; a private one only where none is configured."""
+    """Folder all executors reach.
+
+    A private one is made only for a local session without a configured folder, as in
+    tests; on a cluster an unset ``spark.checkpoint.dir`` is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -67,6 +75,19 @@ def materialize(df: DataFrame, key: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def state_of(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files below ``folder``: changes when its data are replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return ""
+    listing, seen = files.listFiles(path, True), []
+    while listing.hasNext():
+        one = listing.next()
+        seen.append(f"{one.getPath()}:{one.getLen()}:{one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def materialized(spark: SparkSession, key: str) -> DataFrame | None:
     """The table written earlier under ``key`` by this application, if any."""
     known = _written.get((spark.sparkContext.applicationId, key))

@@ -83,9 +83,14 @@ def normalize_observations(raw: DataFrame, date: str, value: str) -> DataFrame:
 
 
 def stamp_registry(observations: DataFrame, registry: DataFrame) -> DataFrame:
-    """Observations (series_name, reference_date, value) with their registry columns, in fixed order."""
+    """Observations (series_name, reference_date, value) with their registry columns, in fixed order.
+
+    A series the registry does not know is an error.
+    """
     facts = registry.select("series_name", "series_id", "category", "source", "frequency", "units")
-    return observations.join(F.broadcast(facts), "series_name").select(
+    unknown = observations.select("series_name").distinct().join(facts, "series_name", "left_anti")
+    checks.enforce(unknown, "series absent from the registry")
+    return observations.join(facts, "series_name").select(
         "reference_date", "value", "series_name", "series_id", "category", "source", "frequency", "units"
     )
 
