@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks
-from tidemark.operators.asof import HIT, dates_asof
+from tidemark.operators.asof import HIT, dates_asof, join_by_key
 
 HORIZON_ROWS = 5
 TRADING_STATUS = "NOT_AUTHORIZED_READ_ONLY"
 
 
-def forecast_violations(forecasts: DataFrame, model: str, zoned: str | None = None) -> DataFrame:
+def forecast_violations(forecasts: DataFrame, model: str, zoned: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Contract of a recorded forecast. ``zoned`` names the raw issue-time text to check for an offset."""
     p = F.col("probability_positive_return")
     rules = {
@@ -25,30 +25,39 @@ def forecast_violations(forecasts: DataFrame, model: str, zoned: str | None = No
     }
     if zoned is not None:
         rules["issue_time_zone"] = ~F.coalesce(F.col(zoned).rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
-    return checks.row_violations(forecasts, rules, ["forecast_origin", "model"])
+    return checks.row_violations(forecasts, rules, [*by, "forecast_origin", "model"])
 
 
-def report_status(forecasts: DataFrame, report: DataFrame, schema_ok: bool = True, available: bool = True) -> DataFrame:
-    """Per forecast origin: does the report hold exactly one row of that day?
+def report_status(
+    forecasts: DataFrame, report: DataFrame, schema_ok: bool = True, available: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per forecast origin (and ``by``, a key of forecasts and report): does the report hold exactly one row of that day?
 
     A stale row is never substituted; the newest earlier date is only named.
     ``report`` has ``market_date`` and any state columns, returned in ``data``.
     """
-    origins = forecasts.select(F.col("forecast_origin").alias("as_of")).distinct()
+    by = list(by)
+    origins = forecasts.select(*by, F.col("forecast_origin").alias("as_of")).distinct()
     if not available or not schema_ok:
         word = "unavailable" if not available else "invalid_schema"
         return origins.select(
+            *by,
             "as_of",
             F.lit(word).alias("status"),
             F.lit(None).cast("date").alias("latest_available_as_of"),
             F.lit(None).cast("string").alias("data"),
         )
-    fields = [c for c in report.columns if c != "market_date"]
-    per_day = report.groupBy("market_date").agg(
+    fields = [c for c in report.columns if c not in {"market_date", *by}]
+    per_day = report.groupBy(*by, "market_date").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(F.to_json(F.struct(*[F.col(c) for c in fields]) if fields else F.struct(F.lit(1)))).alias("_data"),
     )
-    found = dates_asof(origins, "as_of", per_day, "market_date", ["_rows", "_data"])
+    facts = ["_rows", "_data"]
+    if by:
+        keyed = join_by_key(origins, per_day, by, "as_of", "market_date", facts, unit="year")
+        found = keyed.select(*by, "as_of", F.struct("market_date", *facts).alias(HIT))
+    else:
+        found = dates_asof(origins, "as_of", per_day, "market_date", facts)
     bad = report.agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("market_date").isNull()).alias("_undated"))
     same = F.col(f"{HIT}.market_date") == F.col("as_of")
     status = (
@@ -62,6 +71,7 @@ def report_status(forecasts: DataFrame, report: DataFrame, schema_ok: bool = Tru
         found.crossJoin(F.broadcast(bad))
         .withColumn("status", status)
         .select(
+            *by,
             "as_of",
             "status",
             F.when(F.col("status") == "date_mismatch", F.col(f"{HIT}.market_date")).alias("latest_available_as_of"),
@@ -70,16 +80,17 @@ def report_status(forecasts: DataFrame, report: DataFrame, schema_ok: bool = Tru
     )
 
 
-def assess(forecasts: DataFrame, reports: Mapping[str, DataFrame]) -> DataFrame:
+def assess(forecasts: DataFrame, reports: Mapping[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Forecast rows with the status of each report and the all-aligned flag."""
     out = forecasts
     aligned = F.lit(True)
     for name, report in reports.items():
-        status = report_status(forecasts, report).select(
+        status = report_status(forecasts, report, by=by).select(
+            *by,
             F.col("as_of").alias("forecast_origin"),
             F.struct("status", "latest_available_as_of", "data").alias(name),
         )
-        out = out.join(status, "forecast_origin", "left")
+        out = out.join(status, [*by, "forecast_origin"], "left")
         aligned = aligned & (F.col(f"{name}.status") == "matched")
     return out.select(
         "*",

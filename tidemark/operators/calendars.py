@@ -64,10 +64,11 @@ def series_calendar(calendars: DataFrame, series_name: str) -> DataFrame:
     return prepare_calendar(rows, "series_name", series_name)
 
 
-def expand_event_calendar(events: DataFrame, series: Sequence[str]) -> DataFrame:
-    """One calendar row per (event, series published with it); a narrow step."""
+def expand_event_calendar(events: DataFrame, series: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One calendar row per (event, series published with it); a narrow step. ``by`` tells event calendars apart."""
     names = F.array(*[F.lit(s) for s in series])
     return events.select(
+        *by,
         F.explode(names).alias("series_name"),
         "reference_date",
         "release_date",
@@ -76,8 +77,8 @@ def expand_event_calendar(events: DataFrame, series: Sequence[str]) -> DataFrame
     )
 
 
-def add_late_release(calendars: DataFrame, series: Sequence[str] = ESTABLISHMENT_SERIES) -> DataFrame:
-    """Append the documented late release to the series it concerns."""
+def add_late_release(calendars: DataFrame, series: Sequence[str] = ESTABLISHMENT_SERIES, by: Sequence[str] = ()) -> DataFrame:
+    """Append the documented late release to the series it concerns, in each calendar of ``by``."""
     reference, release, time, zone = LATE_RELEASE
     rows = calendars.sparkSession.createDataFrame(
         [(s, reference, release, time, zone) for s in series],
@@ -89,9 +90,9 @@ def add_late_release(calendars: DataFrame, series: Sequence[str] = ESTABLISHMENT
         "release_time",
         "release_timezone",
     )
-    present = calendars.select("series_name").distinct()
-    extra = rows.join(present, "series_name", "left_semi").select(*CALENDAR_COLUMNS)
-    return calendars.select(*CALENDAR_COLUMNS).unionByName(extra)
+    columns = [*by, *CALENDAR_COLUMNS]
+    extra = rows.join(calendars.select(*by, "series_name").distinct(), "series_name").select(columns)
+    return calendars.select(columns).unionByName(extra)
 
 
 def employment_calendars(events: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def w22_state_changes(spark, d):
     dates = _event_dates(spark, d).withColumnRenamed("event_date", "as_of_date")
     states = vintage.with_period_change(vintage.states_as_of(views.vintages(spark, d), dates))
     return rounded(
-        states.filter(F.year("as_of_date") == 1998).select(
+        states.select(
             "series_name", "as_of_date", "reference_date", "payroll_level", "payroll_change_1m"
         ),
         2,
@@ -235,7 +235,7 @@ def j02_macro_series_asof(spark, d):
 def j03_macro_family_asof(spark, d):
     bars = views.bars_daily(spark, d).select("symbol", "market_date", "close")
     out = asof.attach_macro_family(bars, _prepared(spark, d), panels.MACRO_SERIES)
-    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium"}
+    names = dict(zip(panels.MACRO_SERIES, ("urgent", "high", "medium", "unspecified", "low")))
     picked = []
     for series, short in names.items():
         picked += [
@@ -258,14 +258,17 @@ def p15_informative_observations(spark, d):
     return rounded(asof.macro_columns("macro", panels.observations(spark, d)))
 
 
+def _events_by_report(spark, d):
+    return views.event_calendar(spark, d).withColumnRenamed("series_name", "report")
+
+
 def j11_calendar_expansion(spark, d):
-    events = views.event_calendar(spark, d).filter(F.col("series_name") == panels.EVENT_SERIES).drop("series_name")
-    return calendars.expand_event_calendar(events, EMPLOYMENT_SERIES)
+    return calendars.expand_event_calendar(_events_by_report(spark, d), EMPLOYMENT_SERIES, ["report"])
 
 
 def u02_late_release(spark, d):
-    events = views.event_calendar(spark, d).filter(F.col("series_name") == panels.EVENT_SERIES).drop("series_name")
-    return calendars.add_late_release(calendars.expand_event_calendar(events, EMPLOYMENT_SERIES))
+    full = calendars.expand_event_calendar(_events_by_report(spark, d), EMPLOYMENT_SERIES, ["report"])
+    return calendars.add_late_release(full, by=["report"])
 
 
 def release_instants(spark, d):
@@ -315,11 +318,10 @@ def t04_largest_revisions(spark, d):
 
 
 def _forecasts(spark, d):
-    """One recorded forecast per trading day of one symbol."""
-    rows = folds.with_target_end(views.bars_daily(spark, d), 5).filter(
-        (F.col("symbol") == panels.EVENT_SERIES) & F.col("target_end_date").isNotNull()
-    )
+    """One recorded forecast per symbol and trading day."""
+    rows = folds.with_target_end(views.bars_daily(spark, d), 5).filter(F.col("target_end_date").isNotNull())
     return rows.select(
+        "symbol",
         F.lit("final_model").alias("model"),
         F.col("market_date").alias("forecast_origin"),
         F.col("target_end_date").alias("forecast_target_date"),
@@ -329,28 +331,34 @@ def _forecasts(spark, d):
 
 
 def s11_forecast_contract(spark, d):
-    return assessment.forecast_violations(_forecasts(spark, d), "final_model")
+    return assessment.forecast_violations(_forecasts(spark, d), "final_model", by=["symbol"])
 
 
-def _daily_report(spark, d, symbol):
-    """Orders of one symbol as report rows: several per day make the day ambiguous."""
-    return (
-        views.table(spark, d, "orders")
-        .filter(F.col("o_orderpriority") == symbol)
-        .select(F.to_date("o_orderdate").alias("market_date"), F.col("o_orderstatus").alias("state"))
+def _daily_report(spark, d, ahead):
+    """Orders as report rows: those of the symbol ``ahead`` places further on report on a symbol.
+
+    Several per day make the day ambiguous.
+    """
+    names = panels.MACRO_SERIES
+    symbol = F.coalesce(
+        *[F.when(F.col("o_orderpriority") == names[(i + ahead) % len(names)], F.lit(name)) for i, name in enumerate(names)]
+    )
+    return views.table(spark, d, "orders").select(
+        symbol.alias("symbol"), F.to_date("o_orderdate").alias("market_date"), F.col("o_orderstatus").alias("state")
     )
 
 
 def v18_report_status(spark, d):
-    return assessment.report_status(_forecasts(spark, d), _daily_report(spark, d, "2-HIGH")).select(
-        "as_of", "status", "latest_available_as_of", F.get_json_object("data", "$.state").alias("state")
+    return assessment.report_status(_forecasts(spark, d), _daily_report(spark, d, 1), by=["symbol"]).select(
+        "symbol", "as_of", "status", "latest_available_as_of", F.get_json_object("data", "$.state").alias("state")
     )
 
 
 def j12_assessments(spark, d):
-    reports = {"opportunity": _daily_report(spark, d, "2-HIGH"), "risk": _daily_report(spark, d, "3-MEDIUM")}
-    out = assessment.assess(_forecasts(spark, d), reports)
+    reports = {"opportunity": _daily_report(spark, d, 1), "risk": _daily_report(spark, d, 2)}
+    out = assessment.assess(_forecasts(spark, d), reports, by=["symbol"])
     return out.select(
+        "symbol",
         "forecast_origin",
         F.col("opportunity.status").alias("opportunity_status"),
         F.col("risk.status").alias("risk_status"),

@@ -855,7 +855,7 @@ ask(
 ask(
     "w22_state_changes",
     "select series_name, as_of_date, reference_date, round(value_as_known, 2) + 0.0 as payroll_level, round(change, 2) + 0.0 as payroll_change_1m "
-    "from state_changes where year(as_of_date) = 1998",
+    "from state_changes",
     "state_changes",
 )
 ask(
@@ -936,10 +936,10 @@ ask(
     "select symbol, market_date, "
     + ", ".join(
         f"round({p}.value, 6) + 0.0 as {n}, {p}.reference_date as {n}_reference_date, cast(market_date - {p}.release_date as double) as {n}_data_age_days"
-        for n, p in (("urgent", "u"), ("high", "h"), ("medium", "m"))
+        for n, p in (("urgent", "u"), ("high", "h"), ("medium", "m"), ("unspecified", "n"), ("low", "l"))
     )
     + " from bars b "
-    + " ".join(_macro_asof(s, p) for s, p in (("1-URGENT", "u"), ("2-HIGH", "h"), ("3-MEDIUM", "m"))),
+    + " ".join(_macro_asof(s, p) for s, p in (("1-URGENT", "u"), ("2-HIGH", "h"), ("3-MEDIUM", "m"), ("4-NOT SPECIFIED", "n"), ("5-LOW", "l"))),
     "bars",
     "obs",
     "cal",
@@ -952,13 +952,13 @@ ask(
 )
 ask("p12_market_observed", f"select series_name, reference_date, {fl('value')}, reference_date as market_date_available from obs", "obs")
 ask("p15_informative_observations", "select round(value, 6) + 0.0 as macro, reference_date as macro_reference_date from obs where value is not null", "obs")
-_EXPANDED = f"""select s.series_name, reference_date, release_date, release_time, release_timezone
-    from (select * exclude (series_name) from events_cal where series_name = '1-URGENT') cross join (values {", ".join(f"('{s}')" for s in EMPLOYMENT_SERIES)}) s(series_name)"""
+_EXPANDED = f"""select report, s.series_name, reference_date, release_date, release_time, release_timezone
+    from (select * rename (series_name as report) from events_cal) cross join (values {", ".join(f"('{s}')" for s in EMPLOYMENT_SERIES)}) s(series_name)"""
 ask("j11_calendar_expansion", _EXPANDED, "events_cal")
 ask(
     "u02_late_release",
-    f"{_EXPANDED} union all select series_name, date '{LATE_RELEASE[0]}', date '{LATE_RELEASE[1]}', '{LATE_RELEASE[2]}', '{LATE_RELEASE[3]}' "
-    f"from (values {', '.join(f"('{s}')" for s in ESTABLISHMENT_SERIES)}) t(series_name)",
+    f"{_EXPANDED} union all select distinct e.series_name, t.series_name, date '{LATE_RELEASE[0]}', date '{LATE_RELEASE[1]}', '{LATE_RELEASE[2]}', '{LATE_RELEASE[3]}' "
+    f"from events_cal e cross join (values {', '.join(f"('{s}')" for s in ESTABLISHMENT_SERIES)}) t(series_name)",
     "events_cal",
 )
 
@@ -1026,33 +1026,37 @@ ask(
 cte(
     "forecasts",
     """select * from (select symbol, market_date as forecast_origin, lead(market_date, 5) over (partition by symbol order by market_date) as target,
-    (close % 125) / 100 as p from bars) where symbol = '1-URGENT' and target is not null""",
+    (close % 125) / 100 as p from bars) where target is not null""",
     "bars",
 )
 ask(
     "s11_forecast_contract",
-    "select 'probability' as check, forecast_origin, 'final_model' as model from forecasts where p > 1",
+    "select 'probability' as check, symbol, forecast_origin, 'final_model' as model from forecasts where p > 1",
     "forecasts",
 )
 
 
-def _status(symbol: str) -> str:
-    return f"""select f.forecast_origin, case when r.n > 1 then 'ambiguous_duplicate_date' when r.n = 1 then 'matched' else 'date_mismatch' end as status, r.state,
-    case when r.n is null then (select max(cast(o_orderdate as date)) from orders where o_orderpriority = '{symbol}' and cast(o_orderdate as date) < f.forecast_origin) end as latest
-    from forecasts f left join (select cast(o_orderdate as date) as day, count(*) as n, min(o_orderstatus) as state from orders
-    where o_orderpriority = '{symbol}' group by 1) r on r.day = f.forecast_origin"""
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _status(ahead: int) -> str:
+    whose = " ".join(f"when '{_PRIORITIES[(i + ahead) % 5]}' then '{s}'" for i, s in enumerate(_PRIORITIES))
+    return f"""select f.symbol, f.forecast_origin, r.state, case when r.day < f.forecast_origin then r.day end as latest,
+    case when r.day = f.forecast_origin and r.n > 1 then 'ambiguous_duplicate_date' when r.day = f.forecast_origin then 'matched' else 'date_mismatch' end as status
+    from forecasts f asof left join (select case o_orderpriority {whose} end as symbol, cast(o_orderdate as date) as day, count(*) as n,
+    min(o_orderstatus) as state from orders group by 1, 2) r on f.symbol = r.symbol and f.forecast_origin >= r.day"""
 
 
 ask(
     "v18_report_status",
-    f"select forecast_origin as as_of, status, latest as latest_available_as_of, case when status = 'matched' then state end as state from ({_status('2-HIGH')})",
+    f"select symbol, forecast_origin as as_of, status, latest as latest_available_as_of, case when status = 'matched' then state end as state from ({_status(1)})",
     "forecasts",
 )
 ask(
     "j12_assessments",
-    f"""select a.forecast_origin, a.status as opportunity_status, b.status as risk_status,
+    f"""select a.symbol, a.forecast_origin, a.status as opportunity_status, b.status as risk_status,
     case when a.status = 'matched' and b.status = 'matched' then 1 else 0 end as aligned, 'NOT_AUTHORIZED_READ_ONLY' as trading_status
-    from ({_status("2-HIGH")}) a join ({_status("3-MEDIUM")}) b using (forecast_origin)""",
+    from ({_status(1)}) a join ({_status(2)}) b using (symbol, forecast_origin)""",
     "forecasts",
 )
 

@@ -15,7 +15,7 @@ FOLDS = folds.yearly_folds("1995-01-01", (1998, 1999, 2000))
 DEVELOPMENT_END = "2000-12-31"
 LOCKED_YEAR = 2001
 EVENT_SERIES = "1-URGENT"
-MACRO_SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+MACRO_SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 TARGETS = tuple(f"forward_return_{h}" for h in HORIZONS)
 
 
