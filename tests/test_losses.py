@@ -84,3 +84,14 @@ def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_tail_probabilities_keep_relative_precision(spark):
+    import math
+
+    from tidemark.functions.scalars import two_sided_normal_p
+
+    at = [0.0, 0.5, 1.96, 2.999, 3.0, 5.0, 8.0, 12.0, 30.0, -9.0]
+    rows = spark.createDataFrame([(x,) for x in [*at, None]], "t double").select("t", two_sided_normal_p(F.col("t")).alias("p")).collect()
+    for row in rows:
+        assert (row.p is None) if row.t is None else row.p == pytest.approx(math.erfc(abs(row.t) / math.sqrt(2)), rel=1e-9)

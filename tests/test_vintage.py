@@ -14,13 +14,13 @@ PAY = "nonfarm_payrolls"
 SCHEMA = "series_name string, series_id string, reference_date date, vintage_date date, value_as_known double"
 # three months: the first is revised twice, the second once
 STORY = [
-    ("2021-09-01", "2021-10-08", 147553.0), ("2021-09-01", "2021-11-05", 147788.0), ("2021-09-01", "2021-12-03", 147855.0),
-    ("2021-10-01", "2021-11-05", 148319.0), ("2021-10-01", "2021-12-03", 148401.0), ("2021-11-01", "2021-12-03", 148611.0),
+    ("2013-02-01", "2013-03-07", 50210.0), ("2013-02-01", "2013-04-11", 50340.0), ("2013-02-01", "2013-05-09", 50290.0),
+    ("2013-03-01", "2013-04-11", 50500.0), ("2013-03-01", "2013-05-09", 50460.0), ("2013-04-01", "2013-05-09", 50720.0),
 ]
 # a month whose first value arrives together with the next one
 SHUTDOWN = [
-    ("2025-09-01", "2025-11-20", 159626.0), ("2025-09-01", "2025-12-16", 159578.0),
-    ("2025-10-01", "2025-12-16", 159473.0), ("2025-11-01", "2025-12-16", 159552.0),
+    ("2013-09-01", "2013-10-30", 61000.0), ("2013-09-01", "2013-12-18", 60970.0),
+    ("2013-10-01", "2013-12-18", 61110.0), ("2013-11-01", "2013-12-18", 61240.0),
 ]
 CALENDAR = "series_name string, event_name string, reference_date date, release_date date, release_time string, release_timezone string"
 
@@ -41,20 +41,20 @@ def known(spark, as_of):
 
 
 def test_reconstruction_never_sees_later_revisions(spark):
-    assert known(spark, "2021-10-07") == []
-    assert known(spark, "2021-10-08") == [147553.0]
-    assert known(spark, "2021-11-05") == [147788.0, 148319.0]
-    assert known(spark, "2021-12-02") == [147788.0, 148319.0]
-    assert known(spark, "2022-06-01") == [147855.0, 148401.0, 148611.0]
+    assert known(spark, "2013-03-06") == []
+    assert known(spark, "2013-03-07") == [50210.0]
+    assert known(spark, "2013-04-11") == [50340.0, 50500.0]
+    assert known(spark, "2013-05-08") == [50340.0, 50500.0]
+    assert known(spark, "2013-11-30") == [50290.0, 50460.0, 50720.0]
 
 
 def test_latest_period(spark):
-    row = vintage.latest_period_as_of(events(spark, STORY), "2021-11-30").first()
-    assert (row.reference_date, row.value_as_known) == (day("2021-10-01"), 148319.0)
+    row = vintage.latest_period_as_of(events(spark, STORY), "2013-05-01").first()
+    assert (row.reference_date, row.value_as_known) == (day("2013-03-01"), 50500.0)
 
 
 def test_states_for_many_dates_equal_one_by_one(spark):
-    dates = ["2021-10-01", "2021-10-08", "2021-11-20", "2021-12-03", "2023-01-01"]
+    dates = ["2013-02-20", "2013-03-07", "2013-04-25", "2013-05-09", "2014-06-01"]
     frame = spark.createDataFrame([(PAY, day(d)) for d in dates], "series_name string, as_of_date date")
     got = vintage.states_as_of(events(spark, STORY), frame).toPandas()
     for d in dates:
@@ -65,27 +65,27 @@ def test_states_for_many_dates_equal_one_by_one(spark):
 def test_history_columns(spark):
     got = pandas_sorted(vintage.with_history(events(spark, STORY)), "reference_date", "vintage_date")
     assert got.is_initial_release.tolist() == [True, False, False, True, False, True]
-    assert got.previous_value[1] == 147553.0 and got.known_until[0] == day("2021-11-05")
+    assert got.previous_value[1] == 50210.0 and got.known_until[0] == day("2013-04-11")
 
 
 def test_event_features_of_the_story(spark):
     data = events(spark, STORY)
-    dates = spark.createDataFrame([(PAY, day(d)) for d in ("2021-10-08", "2021-11-05", "2021-12-03", "2021-12-20")], "series_name string, event_date date")
+    dates = spark.createDataFrame([(PAY, day(d)) for d in ("2013-03-07", "2013-04-11", "2013-05-09", "2013-06-01")], "series_name string, event_date date")
     got = pandas_sorted(payroll.event_features(data, dates), "event_date")
-    assert got.payroll_level.tolist() == [147553, 148319, 148611, 148611]
-    assert got.payroll_change_1m.fillna(-1).tolist() == [-1, 148319 - 147788, 148611 - 148401, 148611 - 148401]
-    assert got.payroll_revision_1m.tolist() == [0, 235, 82, 0]
-    assert got.payroll_revision_2m.tolist() == [0, 0, 67, 0]
-    assert got.payroll_revision_total.tolist() == [0, 235, 149, 0]
+    assert got.payroll_level.tolist() == [50210, 50500, 50720, 50720]
+    assert got.payroll_change_1m.fillna(-1).tolist() == [-1, 50500 - 50340, 50720 - 50460, 50720 - 50460]
+    assert got.payroll_revision_1m.tolist() == [0, 130, -40, 0]
+    assert got.payroll_revision_2m.tolist() == [0, 0, -50, 0]
+    assert got.payroll_revision_total.tolist() == [0, 130, -90, 0]
     assert got.payroll_initial_periods.tolist() == [1, 1, 1, 0]
     assert got.payroll_revised_periods.tolist() == [0, 1, 2, 0]
 
 
 def test_two_initial_periods_in_one_event(spark):
-    dates = spark.createDataFrame([(PAY, day("2025-12-16"))], "series_name string, event_date date")
+    dates = spark.createDataFrame([(PAY, day("2013-12-18"))], "series_name string, event_date date")
     row = payroll.event_features(events(spark, SHUTDOWN), dates).first()
-    assert row.reference_date == day("2025-11-01") and row.payroll_change_1m == 159552 - 159473
-    assert (row.payroll_revision_1m, row.payroll_revision_2m) == (-48, 0)
+    assert row.reference_date == day("2013-11-01") and row.payroll_change_1m == 61240 - 61110
+    assert (row.payroll_revision_1m, row.payroll_revision_2m) == (-30, 0)
     assert (row.payroll_initial_periods, row.payroll_revised_periods, row.payroll_broad_revision_event) == (2, 1, 0)
 
 
@@ -140,32 +140,32 @@ def test_prior_only_zscores(spark):
 
 
 def test_event_history_is_fail_closed(spark):
-    dates = [("2021-09-01", "2021-10-08"), ("2021-10-01", "2021-11-05"), ("2021-11-01", "2021-12-03")]
+    dates = [("2013-02-01", "2013-03-07"), ("2013-03-01", "2013-04-11"), ("2013-04-01", "2013-05-09")]
     got = pandas_sorted(payroll.event_history(events(spark, STORY), calendar(spark, dates)), "event_release_date")
     assert len(got) == 3 and got.event_reference_date.tolist() == [day(r) for r, _ in dates]
     with pytest.raises(checks.DataCheckError, match="without any known history"):
-        payroll.event_history(events(spark, STORY), calendar(spark, [("2021-08-01", "2021-09-03")]))
+        payroll.event_history(events(spark, STORY), calendar(spark, [("2013-01-01", "2013-02-07")]))
     with pytest.raises(checks.DataCheckError, match="duplicate"):
         payroll.event_history(events(spark, STORY), calendar(spark, dates[:1] * 2))
     assert payroll.event_history(events(spark, STORY), calendar(spark, [])).count() == 0
 
 
 def test_canonical_events(spark):
-    cal = calendar(spark, [("2021-09-01", "2021-10-08"), ("2021-10-01", "2021-11-05"), ("2021-11-01", "2021-12-03")])
+    cal = calendar(spark, [("2013-02-01", "2013-03-07"), ("2013-03-01", "2013-04-11"), ("2013-04-01", "2013-05-09")])
     got = pandas_sorted(vintage.attach_release_calendar(events(spark, STORY), cal), "reference_date", "vintage_date")
     assert got.release_time.notna().tolist() == [True, False, False, True, False, True]
     assert got.market_date_available.tolist() == got.vintage_date.tolist()
     timed = pandas_sorted(vintage.attach_event_timing(vintage.attach_release_calendar(events(spark, STORY), cal), cal.drop("series_name")), "reference_date", "vintage_date")
-    assert timed.event_reference_date[1] == day("2021-10-01") and timed.event_release_time.notna().all()
+    assert timed.event_reference_date[1] == day("2013-03-01") and timed.event_release_time.notna().all()
 
 
 def test_canonical_rules(spark):
     with pytest.raises(checks.DataCheckError, match="initial_without_calendar"):
-        vintage.attach_release_calendar(events(spark, STORY), calendar(spark, [("2021-09-01", "2021-10-08")]))
-    late = calendar(spark, [("2021-09-01", "2021-10-09"), ("2021-10-01", "2021-11-05"), ("2021-11-01", "2021-12-03")])
+        vintage.attach_release_calendar(events(spark, STORY), calendar(spark, [("2013-02-01", "2013-03-07")]))
+    late = calendar(spark, [("2013-02-01", "2013-03-08"), ("2013-03-01", "2013-04-11"), ("2013-04-01", "2013-05-09")])
     with pytest.raises(checks.DataCheckError, match="initial_before_release"):
         vintage.attach_release_calendar(events(spark, STORY), late)
-    twice = calendar(spark, [("2021-09-01", "2021-10-08")] * 2)
+    twice = calendar(spark, [("2013-02-01", "2013-03-07")] * 2)
     with pytest.raises(checks.DataCheckError, match="duplicate"):
         vintage.attach_release_calendar(events(spark, STORY), twice)
 
@@ -173,8 +173,8 @@ def test_canonical_rules(spark):
 @pytest.mark.parametrize(
     "story, message",
     [
-        ([("2021-09-01", "2021-08-01", 1.0)], "vintage_before_reference"),
-        ([("2021-09-01", "2021-10-01", 1.0)] * 2, "duplicate_event"),
+        ([("2013-02-01", "2013-01-01", 1.0)], "vintage_before_reference"),
+        ([("2013-02-01", "2013-03-01", 1.0)] * 2, "duplicate_event"),
         ([], "empty"),
     ],
 )
@@ -186,7 +186,7 @@ def test_broken_vintages_are_refused(spark, story, message):
 
 
 def test_unreadable_values_become_null(spark):
-    raw = events(spark, STORY).withColumn("value_as_known", F.when(F.col("value_as_known") > 148000, ".").otherwise(F.col("value_as_known").cast("string")))
+    raw = events(spark, STORY).withColumn("value_as_known", F.when(F.col("value_as_known") > 50400, ".").otherwise(F.col("value_as_known").cast("string")))
     got = vintage.prepare_vintages(raw)
     assert got.filter("value_as_known is null").count() == 3
     with pytest.raises(checks.DataCheckError, match="empty"):
@@ -196,7 +196,7 @@ def test_unreadable_values_become_null(spark):
 def test_profile(spark):
     row = vintage.vintage_profile(events(spark, STORY)).first()
     assert (row.vintage_rows, row.reference_periods, row.revised_periods) == (6, 3, 2)
-    assert (row.first_vintage, row.last_vintage) == (day("2021-10-08"), day("2021-12-03"))
+    assert (row.first_vintage, row.last_vintage) == (day("2013-03-07"), day("2013-05-09"))
 
 
 # --------------------------------------------------------------- calendars
@@ -237,7 +237,7 @@ def test_broken_calendars_are_refused(spark, change, rule):
 
 
 def test_series_calendar_refuses_market_series(spark):
-    cal = calendar(spark, [("2021-09-01", "2021-10-08")])
+    cal = calendar(spark, [("2013-02-01", "2013-03-07")])
     assert calendars.series_calendar(cal, PAY).count() == 1
     with pytest.raises(checks.DataCheckError, match="does not require"):
         calendars.series_calendar(cal, "breakeven_5y")
@@ -248,8 +248,8 @@ def test_series_calendar_refuses_market_series(spark):
 
 
 def test_release_attachment_and_audits(spark):
-    obs = spark.createDataFrame([(PAY, day("2021-09-01"), 1.0), (PAY, day("2021-10-01"), 2.0), (PAY, day("2021-11-01"), None)], "series_name string, reference_date date, value double")
-    cal = calendar(spark, [("2021-09-01", "2021-10-08")])
+    obs = spark.createDataFrame([(PAY, day("2013-02-01"), 1.0), (PAY, day("2013-03-01"), 2.0), (PAY, day("2013-04-01"), None)], "series_name string, reference_date date, value double")
+    cal = calendar(spark, [("2013-02-01", "2013-03-07")])
     with pytest.raises(checks.DataCheckError, match="without release"):
         calendars.attach_releases(obs, cal, enforce=True)
     aligned = calendars.attach_releases(obs, cal)
@@ -259,7 +259,7 @@ def test_release_attachment_and_audits(spark):
     assert (audit.observations, audit.valid_availability, audit.invalid_availability) == (2, 1, 1)
     own = calendars.market_observed(obs).toPandas()
     assert (own.market_date_available == own.reference_date).all()
-    assert checks.reference_window(aligned, "2021-09-01", "2021-10-01").count() == 2
+    assert checks.reference_window(aligned, "2013-02-01", "2013-03-01").count() == 2
 
 
 def test_release_instant_follows_daylight_saving(spark):

@@ -34,9 +34,11 @@ TECHNICAL_FEATURES = (
     "volatility_20d", "range_pct", "relative_volume", "log_volume", "distance_from_20d_high",
     "distance_from_20d_low",
 )
-_RESEARCH_CUT = TECHNICAL_FEATURES.index("rsi_14") + 1
 RESEARCH_TECHNICAL_FEATURES = (
-    TECHNICAL_FEATURES[:_RESEARCH_CUT] + ("rsi_centered",) + TECHNICAL_FEATURES[_RESEARCH_CUT:]
+    "return_1d", "return_3d", "return_5d", "return_10d", "ema_spread_pct", "close_vs_ema9",
+    "close_vs_ema21", "rsi_14", "rsi_centered", "momentum_5d_pct", "momentum_10d_pct",
+    "volatility_5d", "volatility_20d", "range_pct", "relative_volume", "log_volume",
+    "distance_from_20d_high", "distance_from_20d_low",
 )
 _KEY_MATURITIES = ("2y", "5y", "10y", "30y")
 _SLOPES = ("curve_10y_2y_bp", "curve_30y_2y_bp", "curve_30y_5y_bp", "curve_30y_10y_bp")

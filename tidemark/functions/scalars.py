@@ -56,30 +56,31 @@ def share(condition: Column, among: Column) -> Column:
 
 
 def two_sided_normal_p(t: Column, terms: int = 200) -> Column:
-    """2·(1−Φ(|t|)) by the all-positive series of erf; meant for report rows.
+    """2·(1−Φ(|t|)); meant for report rows.
 
-    erf(z) = exp(−z²) · Σ z^(2n+1) / Γ(n+3/2); |t| above 8 is below 1e-15.
+    Below 3 by the all-positive series erf(z) = exp(−z²) · Σ z^(2n+1) / Γ(n+3/2); from
+    there on by the continued fraction of erfc, which keeps its relative precision
+    in the tail.
     """
-    z = F.least(F.abs(t), F.lit(8.0)) / F.lit(math.sqrt(2.0))
+    z = F.abs(t) / F.lit(math.sqrt(2.0))
+    small = F.least(z, F.lit(3.0))
     seed = F.struct(
-        (z * F.lit(2.0 / math.sqrt(math.pi))).alias("term"),
+        (small * F.lit(2.0 / math.sqrt(math.pi))).alias("term"),
         F.lit(0.0).alias("total"),
     )
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
         seed,
         lambda acc, n: F.struct(
-            (acc["term"] * z * z / (n + F.lit(0.5))).alias("term"),
+            (acc["term"] * small * small / (n + F.lit(0.5))).alias("term"),
             (acc["total"] + acc["term"]).alias("total"),
         ),
         lambda acc: acc["total"],
     )
-    return F.when(
-        t.isNotNull(),
-        F.when(F.abs(t) >= 8.0, F.lit(0.0)).otherwise(
-            F.greatest(F.lit(0.0), F.lit(1.0) - F.exp(-z * z) * series)
-        ),
-    )
+    large = F.greatest(z, F.lit(2.0))
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(1)), large, lambda below, n: large + n / F.lit(2.0) / below)
+    tail = F.exp(-large * large) / F.lit(math.sqrt(math.pi)) / fraction
+    return F.when(t.isNotNull(), F.when(F.abs(t) < 3.0, F.greatest(F.lit(0.0), F.lit(1.0) - F.exp(-small * small) * series)).otherwise(tail))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -152,7 +152,7 @@ cte(
 cte(
     "curve_long",
     """select cast(date_trunc('week', l_shipdate) as date) as curve_date, cast(l_suppkey % 10 as int) as slot,
-    avg(l_discount) * 100 as value from lineitem group by 1, 2""",
+    cast(sum(cast(round(l_discount * 100) as bigint)) as double) / count(*) as value from lineitem group by 1, 2""",
 )
 cte(
     "curve",
