@@ -67,7 +67,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that repeat a passage of an earlier one, and what is kept."""
     found = substrings.remove_repeats(_documents(spark, folder))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +107,37 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_jaccard": r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+  from texts),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select s.a, s.b from shared s join sizes x on x.doc_id = s.a join sizes y on y.doc_id = s.b where 100 * s.n >= 75 * (x.n + y.n - s.n)),
+edges as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, e.b from reach r join edges e on e.a = r.other)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(d.other) as component_id
+from reach d left join sizes s on s.doc_id = d.doc_id group by d.doc_id
+""",
+    "op7_substrings": r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from texts)),
+origin as (select g, min(doc_id) as m from windows group by 1),
+gone as (select distinct doc_id, i + k as p from (
+  select x.doc_id, x.i, unnest(range(0, 13)) as k from windows x join origin o on o.g = x.g where o.m < x.doc_id)),
+words as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from texts)),
+kept as (select x.doc_id, string_agg(x.word, ' ' order by x.p) as kept from words x left join gone g on g.doc_id = x.doc_id and g.p = x.p where g.p is null group by 1),
+removed as (select doc_id, count(*) as n from gone group by 1)
+select t.doc_id, len(t.w) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from texts t left join removed r on r.doc_id = t.doc_id left join kept k on k.doc_id = t.doc_id
+""",
     "op8_exact_dedup": r"""
 with base as (
   select doc_id, length(coalesce(text, '')) as n,
