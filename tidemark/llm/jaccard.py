@@ -12,7 +12,9 @@
    similar sets must share one. Lists are cut into blocks with the bounds of their
    sizes and positions; blocks that can't reach the required overlap, or that hold
    only sets of the probing set's component, are skipped whole.
-5. Remaining pairs are compared in full; linked components are merged.
+5. Pairs found are compared in full and linked components are merged. First the lists
+   are probed with a few sets of each component only, which joins the parts of
+   large groups at the price of few pairs; the last probe takes all sets.
 
 No pair within a component is emitted, and no link between components is lost.
 """
@@ -36,7 +38,10 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 #: Nodes compared in one group of step 3; larger groups are split by a hash.
 GROUP = 256
-ROUNDS = 2
+ROUNDS = 3
+#: Probes with ``PICKS`` sets of each component in a list before the one with all sets.
+SPARSE_ROUNDS = 2
+PICKS = 3
 #: Entries of an index list skipped together.
 LIST_BLOCK = 64
 #: Postings a list bucket aims at.
@@ -231,7 +236,26 @@ def list_pairs(size: np.ndarray, place: np.ndarray, root: np.ndarray) -> list[tu
     return found
 
 
-def _probe(key: tuple, rows: pa.Table) -> pa.Table:
+def _picked(token: np.ndarray, who: np.ndarray, root: np.ndarray, turn: int) -> np.ndarray:
+    """Places of at most ``PICKS`` entries of each component in each list, others in every list and turn."""
+    with np.errstate(over="ignore"):
+        draw = c.mix(token * np.uint64(0x9E3779B97F4A7C15) + who.astype(np.uint64) + np.uint64(turn << 40))
+    order = np.lexsort((draw, root, token))
+    new = np.append(True, (token[order][1:] != token[order][:-1]) | (root[order][1:] != root[order][:-1]))
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return np.sort(order[np.arange(len(order)) - begin < PICKS])
+
+
+def _probe(turn: int | None):
+    """Pairs of a bucket of lists; ``turn`` numbers a sparse probe, None is the probe with all sets."""
+
+    def probe(key: tuple, rows: pa.Table) -> pa.Table:
+        return _probe_lists(rows, turn)
+
+    return probe
+
+
+def _probe_lists(rows: pa.Table, turn: int | None) -> pa.Table:
     parts = [c.unpack(p) for p in rows["payload"].to_pylist()]
     base = np.cumsum([0] + [len(p[4]) for p in parts])
     token = np.concatenate([p[0] for p in parts])
@@ -239,6 +263,9 @@ def _probe(key: tuple, rows: pa.Table) -> pa.Table:
     place = np.concatenate([p[2] for p in parts])
     sizes, marks, roots = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
     _, root = np.unique(roots, return_inverse=True)
+    if turn is not None:
+        some = _picked(token, who, root[who], turn)
+        token, who, place = token[some], who[some], place[some]
     order = np.argsort(token, kind="stable")
     token, who, place = token[order], who[order], place[order]
     edges = np.append(np.append(0, np.flatnonzero(np.diff(token)) + 1), len(token))
@@ -259,13 +286,13 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in same], pa.binary()), pa.array([b[i] for i in same], pa.binary())], ["a", "b"])
 
 
-def cross_links(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): similar nodes of different components."""
+def cross_links(nodes: DataFrame, roots: DataFrame, turn: int | None = None) -> DataFrame:
+    """(a, b): similar nodes of different components; with ``turn`` only some of them."""
     postings = int(nodes.agg(F.sum(F.octet_length("shared")).alias("n")).first()["n"] or 0) // 8 // 4
     buckets = max(16, -(-postings // BUCKET_POSTINGS))
     rows = nodes.join(roots, "node").select("node", "n", "shared", "root")
     lists = rows.mapInArrow(_post(buckets), "bucket int, payload binary")
-    pairs = lists.groupBy("bucket").applyInArrow(_probe, "a binary, b binary").distinct()
+    pairs = lists.groupBy("bucket").applyInArrow(_probe(turn), "a binary, b binary").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     return full.mapInArrow(_verify, "a binary, b binary")
@@ -290,6 +317,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after linked components became one."""
+    end = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    found = components(edges).select(F.col("node").alias("root"), "component")
+    return materialize(roots.join(found, "root", "left").select("node", F.coalesce("component", "root").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -304,11 +339,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = materialize(some.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("shared").alias("shared")))
     few = nodes.select("node", "n", "shared")
     roots = leaders(few)
-    links = cross_links(few, roots)
-    end = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
-    merged = components(edges).select(F.col("node").alias("root"), "component")
-    owned = materialize(roots.join(merged, "root", "left").select("node", F.coalesce("component", "root").alias("component")))
+    for turn in [*range(SPARSE_ROUNDS), None]:
+        roots = merged(roots, cross_links(few, roots, turn))
+    owned = roots.withColumnRenamed("root", "component")
     least = owned.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = owned.join(least, "component").select("node", "component_id")
     out = sets.select("id", "n", "node").join(of_node, "node", "left")
