@@ -135,6 +135,11 @@ def e12_variance_inflation(spark, d):
     return rounded(spark.createDataFrame(rows, "feature string, vif double"))
 
 
+def e12_variance_inflation_yields(spark, d):
+    rows = research.variance_inflation(views.yield_curve(spark, d), ["yield_2y", "yield_10y", "yield_30y"])
+    return rounded(spark.createDataFrame(rows, "feature string, vif double"))
+
+
 def e13_quintile_spread(spark, d):
     return rounded(research.quintile_spread(stats.quintile_summary(panels.rule_predictions(spark, d))))
 

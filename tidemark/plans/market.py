@@ -337,6 +337,13 @@ def m04_ridge_walk_forward(spark, d):
     return rounded(stats.regression_metrics(panels.ridge_predictions(spark, d)))
 
 
+def m04_single_ridge_walk_forward(spark, d):
+    """Walk-forward ridge of one feature each, with the train rows each fit saw."""
+    rows = panels.tagged(spark, d).filter("role = 'train' and forward_return_5 is not null")
+    train = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("train_rows"), F.avg("target_up_5d").alias("train_up_rate"))
+    return rounded(stats.regression_metrics(panels.single_ridge_predictions(spark, d)).join(train, "fold"))
+
+
 def m05_logistic_predictions(spark, d):
     return rounded(panels.logistic_predictions(spark, d), 4)
 

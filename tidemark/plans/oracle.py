@@ -1182,6 +1182,42 @@ cte(
     + ")) group by 1, 2, 3",
     "train",
 )
+# one scaled feature z with mean 0 over the train rows: weight = sum(z y) / (sum(z z) + 1), intercept = mean of y
+_SINGLE = {"oscillator_ridge": "rsi_14", "slope_ridge": "curve_10y_2y_bp"}
+cte(
+    "single_ridge",
+    "with cells as ("
+    + " union all ".join(
+        f"select t.fold, t.role, t.symbol, t.market_date, t.forward_return_5 as y, '{m}' as model, (coalesce({f}::double, s.median) - s.mean) / s.deviation as z "
+        f"from tagged t join scaling s on s.fold = t.fold and s.feature = '{f}' where t.forward_return_5 is not null"
+        for m, f in _SINGLE.items()
+    )
+    + """), fit as (select fold, model, avg(y) as level, sum(z * y) / (sum(z * z) + 1) as weight from cells where role = 'train' group by 1, 2)
+    select c.fold, c.model, c.y, f.level + f.weight * c.z as p from cells c join fit f using (fold, model) where c.role = 'validation'
+    union all select c.fold, 'naive_mean', c.y, f.level from cells c join fit f using (fold, model) where c.role = 'validation' and c.model = 'slope_ridge'
+    union all select fold, 'zero_return', y, 0.0 from cells where role = 'validation' and model = 'slope_ridge'""",
+    "tagged",
+    "scaling",
+)
+ask(
+    "m04_single_ridge_walk_forward",
+    """select fold, model, validation_rows, train_rows, round(train_up_rate, 6) + 0.0 as train_up_rate, round(mae, 6) + 0.0 as mae, round(rmse, 6) + 0.0 as rmse,
+    round(r2, 6) + 0.0 as r2, round(directional_accuracy, 6) + 0.0 as directional_accuracy from (
+    select fold, model, count(*) as validation_rows, avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse, 1 - avg((y - p) * (y - p)) / var_pop(y) as r2,
+    case when max(abs(p)) > 0 then avg(case when sign(y) = sign(p) then 1.0 else 0.0 end) end as directional_accuracy from single_ridge group by 1, 2)
+    join (select fold, count(*) as train_rows, avg(case when forward_return_5 > 0 then 1.0 else 0.0 end) as train_up_rate from train group by 1) using (fold)""",
+    "single_ridge",
+    "train",
+)
+# three columns: 1 / (1 - R2) with R2 from the three correlations
+ask(
+    "e12_variance_inflation_yields",
+    """select feature, round(1 / (1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)), 6) + 0.0 as vif from (
+    select 'yield_2y' as feature, corr(yield_2y, yield_10y) as a, corr(yield_2y, yield_30y) as b, corr(yield_10y, yield_30y) as c from curve
+    union all select 'yield_10y', corr(yield_2y, yield_10y), corr(yield_10y, yield_30y), corr(yield_2y, yield_30y) from curve
+    union all select 'yield_30y', corr(yield_2y, yield_30y), corr(yield_10y, yield_30y), corr(yield_2y, yield_10y) from curve)""",
+    "curve",
+)
 ask("e10_train_only_scaling", f"select fold, feature, {fl('median', 'mean', 'deviation')} from scaling", "scaling")
 ask(
     "e11_inversion_spells",

@@ -155,6 +155,16 @@ def ridge_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder, "ridge_predictions", _ridge)
 
 
+#: Ridge models of one feature each: their solution has a closed form.
+SINGLE_RIDGE = {"oscillator_ridge": ("rsi_14",), "slope_ridge": ("curve_10y_2y_bp",)}
+
+
+def single_ridge_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tagged(spark, folder)
+    scalings = models.fold_scalings(rows, models.all_features(SINGLE_RIDGE), "forward_return_5")
+    return models.ridge_predictions(rows, models.fit_ridge(rows, SINGLE_RIDGE, scalings), scalings, SINGLE_RIDGE)
+
+
 def _logistic(spark: SparkSession, folder: str) -> DataFrame:
     rows = tagged(spark, folder)
     scalings = models.fold_scalings(rows, models.all_features(LOGISTIC_MODELS), "target_up_5d")
