@@ -21,7 +21,7 @@ from tidemark.functions.catalog import (
     TERMS,
     YIELDS,
 )
-from tidemark.functions.scalars import flag, melt, utc_date
+from tidemark.functions.scalars import flag, utc_date
 from tidemark.operators import panel
 
 SLOPE_LEGS = (("10y", "2y"), ("30y", "2y"), ("30y", "5y"), ("30y", "10y"))
@@ -204,7 +204,3 @@ def regime_episodes(
 
 def episode_starts(df: DataFrame, by: Sequence[str] = ("symbol",), order: str = "market_date") -> DataFrame:
     return regime_episodes(df, by, order).filter("regime_episode_start")
-
-
-def curve_long_form(curve: DataFrame, date: str) -> DataFrame:
-    return melt(curve, [date], list(YIELDS), "maturity", "value")

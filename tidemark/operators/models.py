@@ -202,11 +202,3 @@ def long_predictions(wide: DataFrame, models: Mapping[str, Sequence[str]]) -> Da
     keep = ["symbol", "market_date", "fold", "actual_up", "forward_return_5"]
     renamed = wide.select(*keep, *[F.col(c).alias(m) for m, c in named.items()])
     return melt(renamed, keep, list(named), "model", "probability")
-
-
-def train_facts(scalings: Mapping[str, FoldScaling], spark) -> DataFrame:
-    """Train row count and target mean per fold."""
-    return spark.createDataFrame(
-        [(fold, s.rows, s.target_mean) for fold, s in scalings.items()],
-        "fold string, train_rows long, train_target_mean double",
-    )

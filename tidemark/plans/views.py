@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.catalog import MATURITIES, YIELDS
+from tidemark.functions.catalog import YIELDS
 from tidemark.operators import panel
 from tidemark.session import materialize, materialized, state_of
 
@@ -145,6 +145,3 @@ def event_calendar(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("America/New_York").alias("release_timezone"),
         )
     )
-
-
-MATURITY_SLOTS = dict(enumerate(MATURITIES))
