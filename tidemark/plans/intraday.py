@@ -136,7 +136,7 @@ def e12_variance_inflation(spark, d):
 
 
 def e12_variance_inflation_yields(spark, d):
-    rows = research.variance_inflation(views.yield_curve(spark, d), ["yield_2y", "yield_10y", "yield_30y"])
+    rows = research.variance_inflation(curve.complete_curves(views.yield_curve(spark, d)), ["yield_2y", "yield_10y", "yield_30y"])
     return rounded(spark.createDataFrame(rows, "feature string, vif double"))
 
 
