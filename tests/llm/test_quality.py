@@ -78,6 +78,49 @@ def test_estimate_ignores_a_fifth_of_outliers(spark):
         assert max(abs(fit[f"m{i}"]) for i in range(5)) < 0.15
 
 
+def outliers():
+    """A text for each statistic that passes the base rule and is far off in that one alone."""
+    draw = random.Random(77)
+    word = lambda: draw.choice(WORDS) + draw.choice(WORDS)[:2]
+    lines = lambda words: "\n".join(" ".join(words[i : i + 12]).capitalize() + "." for i in range(0, len(words), 12))
+    few = [WORDS[i] + WORDS[-i][:2] for i in range(20)]
+    menu = "\n".join(w.capitalize() if i % 12 == 0 else w for i, w in enumerate(few[draw.randrange(20)] for _ in range(300)))
+    again, fresh = [word() for _ in range(70)], [word() for _ in range(170)]
+    return {
+        2000: lines([word() + word() for _ in range(120)]),
+        2001: lines([word() + ("&" if i % 2 else "") for i in range(120)]),
+        2002: menu,
+        2003: lines(again + fresh[:85] + again + fresh[85:]),
+        2004: lines([word() for _ in range(120)]).upper(),
+    }
+
+
+def test_each_statistic_alone_rejects(spark):
+    rows = [(k, clean(k)) for k in range(400)] + list(outliers().items())
+    # one repeated line of few is no fault
+    rows += [(3000 + k, clean(500 + k) + "\n" + clean(500 + k).split("\n")[0]) for k in range(20)]
+    got = {r["id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    for k in outliers():
+        assert not got[k]["base_failed"] and not got[k]["kept"], k
+    assert all(r["kept"] for k, r in got.items() if k not in outliers())
+    assert got[2002]["n_dup_lines"] > 0.85 * 300 and got[2003]["n_dup_lines"] == 0 < 0.3 * got[2003]["n_words"] < got[2003]["n_repeat_words"]
+
+
+def test_noise_is_added_to_the_covariance(spark):
+    """Distance of every row against numpy, with the fitted estimates."""
+    rows = [(k, clean(k)) for k in range(100)] + list(outliers().items())
+    docs = table(spark, rows)
+    counted = quality.with_counts(docs)
+    fit = quality.estimates(counted.select("lang", "source", *quality._vector())).where("group like '%\"level\":0%'").first()
+    k = range(5)
+    factor = np.array([[fit[f"l{i}{j}"] if j <= i else 0.0 for j in k] for i in k])
+    got = {r["id"]: r["distance"] for r in quality.judge(docs).collect()}
+    for row in counted.select("doc_id", "n_words", "n_lines", *quality._vector()).collect():
+        off = np.array([row[f"x{i}"] / quality.UNIT - fit[f"m{i}"] for i in k])
+        noise = np.diag([0, 0, 1 / (4 * row["n_lines"]), quality.LEAST_COVER / (4 * row["n_words"]), 0])
+        assert np.isclose(got[row["doc_id"]], off @ np.linalg.solve(fit["scale"] * factor @ factor.T + noise, off))
+
+
 def test_empty(spark):
     assert quality.judge(table(spark, [])).count() == 0
     assert quality.keep_good(table(spark, [(1, None), (2, "short")])).count() == 0

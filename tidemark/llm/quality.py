@@ -4,8 +4,10 @@ Every text gets counts, and from them a vector of transformed statistics. For ea
 language and source the minimum-covariance-determinant estimate of centre and
 spread is found by concentration steps: from medians and median deviations on,
 each step keeps the ``SUPPORT`` share of rows nearest to the present centre and
-takes their mean and covariance. Rows whose Mahalanobis distance from their group
-is beyond ``CUT`` are rejected. Sums are taken over whole numbers and quantiles over
+takes their mean and covariance. To that covariance every text adds what its own
+shares of lines and words may vary by, as a share of few is uncertain. Rows whose
+Mahalanobis distance from their group is beyond ``CUT`` are rejected; each
+statistic suffices for it. Sums are taken over whole numbers and quantiles over
 a fixed grid, so no result depends on the order of rows, and no group meets in one
 task: each step is a partial aggregate of one small row a text.
 """
@@ -28,9 +30,11 @@ STEPS = 3
 #: Groups with fewer rows are judged by their language, and languages by all rows.
 LEAST_ROWS = 60
 #: Least standard deviation of each statistic: differences below it are no fault.
-FLOORS = (0.08, 0.05, 0.20, 0.20, 0.06)
-#: Squared distance beyond which a row is rejected (five statistics).
-CUT = 30.0
+FLOORS = (0.08, 0.05, 0.08, 0.07, 0.06)
+#: Words that one repetition covers at least (two windows of three): repeated words come in such units.
+LEAST_COVER = 6
+#: Squared distance beyond which a row is rejected: the 0.9999 quantile of chi-square with five degrees of freedom.
+CUT = 25.7448
 #: Median of chi-square with five degrees of freedom.
 MEDIAN_CHI2 = 4.3515
 UNIT = 10_000
@@ -201,11 +205,30 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return materialize(fit.join(scaled, fit["group"] == scaled["of"]).drop("of"))
 
 
+def _inverse_column(s: int) -> list[Column]:
+    """Column ``s`` of the inverse of a fit's Cholesky factor."""
+    out: list[Column] = []
+    for i in range(len(_STATS)):
+        rest = F.lit(1.0 if i == s else 0.0)
+        for j in range(s, i):
+            rest = rest - F.col(f"l{i}{j}") * out[j]
+        out.append(rest / F.col(f"l{i}{i}"))
+    return out
+
+
+def _noise_terms(fits: DataFrame) -> DataFrame:
+    """``fits`` with a* and b*, columns 2 and 3 of the inverse factor, and their products aa, ab and bb."""
+    k = range(len(_STATS))
+    some = fits.select("*", *[x.alias(f"a{i}") for i, x in enumerate(_inverse_column(2))], *[x.alias(f"b{i}") for i, x in enumerate(_inverse_column(3))])
+    dot = lambda x, y: reduce(lambda a, b: a + b, [F.col(f"{x}{i}") * F.col(f"{y}{i}") for i in k]).alias(x + y)
+    return some.select("*", dot("a", "a"), dot("a", "b"), dot("b", "b"))
+
+
 def _judged(counted: DataFrame, p: str, lang: str, source: str) -> DataFrame:
     """``counted`` with {p}base_failed, {p}distance and {p}kept."""
     failed = counted.withColumn(f"{p}base_failed", base_failed(p))
     good = failed.where(~F.col(f"{p}base_failed"))
-    fits = estimates(good.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *_vector(p)))
+    fits = materialize(_noise_terms(estimates(good.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *_vector(p)))))
     level = F.get_json_object("group", "$.level")
     table = {}
     for n in range(3):
@@ -229,10 +252,19 @@ def _judged(counted: DataFrame, p: str, lang: str, source: str) -> DataFrame:
         name = f"{p}y{i}"
         out = out.withColumn(name, rest / F.col(f"{p}fit.l{i}{i}"))
         y.append(F.col(name))
-    squared = reduce(lambda a, b: a + b, [v * v for v in y]) / F.col(f"{p}fit.scale")
-    out = out.withColumn(f"{p}distance", squared)
+    scale = F.col(f"{p}fit.scale")
+    plain = reduce(lambda a, b: a + b, [v * v for v in y]) / scale
+    # a square root or arc sine of a share of n has variance 1 / 4n: added to the covariance by Woodbury's formula
+    for name, of in (("u", "a"), ("w", "b")):
+        out = out.withColumn(f"{p}{name}", reduce(lambda a, b: a + b, [F.col(f"{p}fit.{of}{i}") * v for i, v in enumerate(y)]) / scale)
+    u, w = F.col(f"{p}u"), F.col(f"{p}w")
+    out = out.withColumn(f"{p}uu", 4.0 * F.col(f"{p}n_lines") + F.col(f"{p}fit.aa") / scale)
+    out = out.withColumn(f"{p}ww", 4.0 / LEAST_COVER * F.col(f"{p}n_words") + F.col(f"{p}fit.bb") / scale)
+    uu, uw, ww = F.col(f"{p}uu"), F.col(f"{p}fit.ab") / scale, F.col(f"{p}ww")
+    noise = (ww * u * u - 2.0 * uw * u * w + uu * w * w) / (uu * ww - uw * uw)
+    out = out.withColumn(f"{p}distance", F.when(~F.col(f"{p}base_failed"), plain - noise))
     out = out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.coalesce(F.col(f"{p}distance"), F.lit(0.0)) <= CUT))
-    helpers = [c for c in out.columns if c.startswith(p) and c[len(p):].rstrip("0123456789") in {"lang", "source", "fit", "v", "y"} and c not in counted.columns]
+    helpers = [c for c in out.columns if c.startswith(p) and c[len(p):].rstrip("0123456789") in {"lang", "source", "fit", "v", "y", "u", "w", "uu", "ww"} and c not in counted.columns]
     return out.drop(*helpers)
 
 
