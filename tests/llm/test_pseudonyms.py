@@ -54,6 +54,38 @@ def test_left_alone(text):
     assert NAMES.rewrite(text) == (text, [])
 
 
+FOLLOWED = [
+    ("4111 1111 1111 1111", " 12/26"), ("4111111111111111", " 123"), ("4111 1111 1111 1111", "-123"), ("BE68 5390 0754 7034", " EUR"), ("AT61 1904 3002 3457 3201", " BIC"),
+    ("BE68539007547034", " EURO PAID 17"), ("5500005555555559", " 12"),
+]
+
+
+@pytest.mark.parametrize("value,rest", FOLLOWED)
+def test_what_follows_a_value_does_not_hide_it(value, rest):
+    text = f"x {value}{rest}, y"
+    other, spans = NAMES.rewrite(text)
+    assert [(s, n) for _, s, n in spans] == [(2, len(value))] and value not in other and other.endswith(f"{rest}, y")
+    assert other[2 : 2 + len(value)] == NAMES.rewrite(value)[0]
+    assert BACK.rewrite(other)[0] == text
+
+
+def test_values_in_a_row():
+    text = "BE68 5390 0754 7034 EUR 4111 1111 1111 1111 5500 0055 5555 5559 GB83 WEST 1234 5698 7654 32 4111111111111111 123"
+    other, spans = NAMES.rewrite(text)
+    assert [k for k, _, _ in spans] == ["iban", "card", "card", "card"] and BACK.rewrite(other)[0] == text
+
+
+@given(st.integers(10**14, 10**15 - 1), st.integers(0, 999))
+@settings(max_examples=300, deadline=None)
+def test_followed_cards_and_long_ones_are_invertible(body, code):
+    card = str(body) + luhn_digit(str(body))
+    grouped = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    long = f"{body:015d}{code:03d}"
+    long += luhn_digit(long)
+    for text in (f"{grouped} {code:03d}", f"{card}-{code}", " ".join([*(long[i : i + 4] for i in range(0, 16, 4)), long[16:]])):
+        assert BACK.rewrite(NAMES.rewrite(text)[0])[0] == text
+
+
 @given(st.integers(10**14, 10**15 - 1))
 @settings(max_examples=100, deadline=None)
 def test_cards_stay_valid(body):

@@ -21,6 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Account lengths by country (fixed values of the IBAN registry).
+LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -81,6 +92,30 @@ def _mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in turned)) % 97
 
 
+def _card_ok(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _account_ok(flat: str) -> bool:
+    return 15 <= len(flat) <= 34 and _mod97(flat) == 1
+
+
+def _ends(kind: str, text: str) -> list[int]:
+    """Places where a value that begins ``text`` may end, shortest first; a pattern also takes what follows a value.
+
+    Cards and accounts end before a separator. Where the country's length is one
+    of the ends, it is the only one.
+    """
+    if kind not in ("card", "iban"):
+        return [len(text)]
+    ends = [i for i, ch in enumerate(text) if ch in " -"] + [len(text)]
+    flat = {end: sum(ch not in " -" for ch in text[:end]) for end in ends}
+    if kind == "card":
+        return [end for end in ends if flat[end] >= 13]
+    of_country = [end for end in ends if flat[end] == LENGTHS.get(text[:2])]
+    return of_country or [end for end in ends if flat[end] >= 15] or ends[-1:]
+
+
 class Pseudonyms:
     """Finds and replaces values in a text; ``inverse`` restores them."""
 
@@ -148,19 +183,25 @@ class Pseudonyms:
             return self._string(text, "secret")
         digits = _digits(text)
         if kind == "card":
-            if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+            if not _card_ok(digits):
                 return None
-            body = self._number(digits[:-1], "card")
-            while len(set(body + luhn_digit(body))) == 1:  # stay among valid numbers
+            body = digits[:-1]
+            while True:  # stay among valid numbers that end here
                 body = self._number(body, "card")
-            return _refill(text, body + luhn_digit(body))
+                made = _refill(text, body + luhn_digit(body))
+                if _card_ok(_digits(made)) and not any(_card_ok(_digits(made[:end])) for end in _ends(kind, text)[:-1]):
+                    return made
         if kind == "iban":
             flat = text.replace(" ", "")
-            if not 15 <= len(flat) <= 34 or _mod97(flat) != 1:
+            if not _account_ok(flat):
                 return None
-            body = self._string(flat[4:], "iban")
-            made = iter(flat[:2] + f"{98 - _mod97(flat[:2] + '00' + body):02d}" + body)
-            return "".join(c if c == " " else next(made) for c in text)
+            body = flat[4:]
+            while True:
+                body = self._shaped(body, "iban", False)  # digits stay digits
+                rest = iter(flat[:2] + f"{98 - _mod97(flat[:2] + '00' + body):02d}" + body)
+                made = "".join(c if c == " " else next(rest) for c in text)
+                if not any(_account_ok(made[:end].replace(" ", "")) for end in _ends(kind, text)[:-1]):
+                    return made
         if kind == "date":
             return self._date(text)
         if kind == "ip":
@@ -226,24 +267,31 @@ class Pseudonyms:
         """(text with pseudonyms, spans (kind, start, length) in the original text)."""
         if not text or not regex.search(r"[0-9@=:]", text):
             return text, []
-        spans = []
-
-        def one(match):
-            kind = match.lastgroup
-            other = self.replace(kind, match.group())
-            if other is None:
-                return match.group()
-            spans.append((kind.replace("unicode_", ""), match.start(), match.end() - match.start()))
-            return other
-
-        return self.PATTERN.sub(one, text), spans
+        spans, out, at, copied = [], [], 0, 0
+        while match := self.PATTERN.search(text, at):
+            kind, whole, start = match.lastgroup, match.group(), match.start()
+            ends = _ends(kind, whole)
+            at = match.end()
+            for end in ends:
+                other = self.replace(kind, whole[:end])
+                if other is not None:
+                    spans.append((kind.replace("unicode_", ""), start, end))
+                    out += [text[copied:start], other]
+                    at = copied = start + end
+                    break
+            else:
+                if kind == "iban" and len(ends) == 1:  # what follows the account isn't part of it
+                    at = start + ends[0]
+        return "".join([*out, text[copied:]]), spans
 
 
 def pseudonymise(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, n_values, spans) of every row: the rewritten whole text and what was replaced.
 
     Null stays null, texts without values stay as they are, repeated rows are
-    rewritten alike. A value that fails its format's check is left alone.
+    rewritten alike. Of a card or account followed by more digits or capitals the
+    shortest valid part that ends before a separator is the value. A value that
+    fails its format's check is left alone.
     """
 
     def run(batches):
