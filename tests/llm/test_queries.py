@@ -28,6 +28,7 @@ COLUMNS = {
     "op7": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op8": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     "op9": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
     "op10": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,6 +27,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
 #: Bytes of text a block of documents aims at.
 BLOCK_BYTES = 8 << 20
+#: Rows of a range-sorted part: as many parts as the session's shuffles have, within these bounds.
+LEAST_PART, MOST_PART = 1 << 14, 1 << 20
 
 _random = np.random.default_rng(20240229)
 _LETTERS = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,6 +164,20 @@ def blocks_of(docs: DataFrame, key: str, text: str, total: int, block_bytes: int
     return row.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text")
 
 
+def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` in one global order, written, with ``part`` and ``place``: the sorted part and the row's place in it.
+
+    Give ``order`` a last column that tells rows apart: then equal rows spread over parts too.
+    """
+    n = rows.count()
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(max(shuffles, -(-n // MOST_PART)), -(-n // LEAST_PART)))
+    number = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__number", number)
+    low = F.lit((1 << 33) - 1)
+    return materialize(placed.select(*rows.columns, F.shiftright("__number", 33).alias("part"), F.col("__number").bitwiseAND(low).alias("place")))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one binary value."""
     return pickle.dumps(arrays, 5)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, jaccard, language, mixing, pseudonyms, quality, scoring, substrings, toxicity
+from tidemark.llm import bpe, exact_dedup, jaccard, language, manifest, mixing, pseudonyms, quality, scoring, substrings, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -92,10 +92,23 @@ def op10_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold_of(F.col("id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle proof of every document, and whether its leaf, tampered with in every seventh, still leads to the root."""
+    docs = _documents(spark, folder)
+    fields = {name: F.col(name) for name in manifest.FIELDS}
+    tampered = manifest.leaf(list({**fields, "n_chars": F.col("n_chars") + 1}.values()))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = manifest.manifest(docs, carried={"tampered": F.when(hit, tampered)})
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    shown = made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_jaccard": op1_jaccard,
     "op10_scoring": op10_scoring,
+    "op11_manifest": op11_manifest,
     "op2_language": op2_language,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_byte_bpe": op4_byte_bpe,
@@ -125,6 +138,53 @@ reach as (
   select r.doc_id, e.b from reach r join edges e on e.a = r.other)
 select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(d.other) as component_id
 from reach d left join sizes s on s.doc_id = d.doc_id group by d.doc_id
+""",
+    "op11_manifest": r"""
+with recursive fields as (
+  select doc_id, lang, n_chars, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+         coalesce(strlen(text) || ':' || text, '-') as tail,
+         xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint),
+             lambda h, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda v, i: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, xor(h, b)),
+             4294967295::bigint), 4294967295::bigint) % 7 = 0 as hit
+  from documents),
+leaves as (
+  select doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+         sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) as altered, hit
+  from fields),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaves),
+nodes as (
+  select lang, 0 as level, i, n, leaf as h from placed
+  union all
+  select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from nodes where n > 1 group by lang, level, i // 2, n),
+subroots as (select lang, level as height, h as subroot, row_number() over (order by lang nulls first) - 1 as t, count(*) over () as n from nodes where n = 1),
+top as (
+  select 0 as level, t as i, n, subroot as h from subroots
+  union all
+  select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from top where n > 1 group by level, i // 2, n),
+crown as (select level as height, h as root from top where n = 1),
+steps as (
+  select p.doc_id, p.leaf, p.i, s.lang, l.level as step, (p.i >> l.level) % 2 as own, x.h
+  from placed p join subroots s on s.lang is not distinct from p.lang
+  cross join (select unnest(range(0, 64)) as level) l
+  left join nodes x on x.lang is not distinct from p.lang and x.level = l.level and x.i = xor(p.i >> l.level, 1) and x.n > 1
+  where l.level < s.height
+  union all
+  select p.doc_id, p.leaf, p.i, s.lang, s.height + l.level, (s.t >> l.level) % 2, x.h
+  from placed p join subroots s on s.lang is not distinct from p.lang
+  cross join (select unnest(range(0, 64)) as level) l cross join crown c
+  left join top x on x.level = l.level and x.i = xor(s.t >> l.level, 1) and x.n > 1
+  where l.level < c.height),
+paths as (select lang, i, list(struct_pack(own := own, h := coalesce(h, '')) order by step) as path, string_agg(coalesce(h, ''), '' order by step) as joined from steps group by lang, i),
+folds as (
+  select lang, i, case when hit then altered else leaf end as h, 1 as step from placed
+  union all
+  select f.lang, f.i, sha256(case when p.path[f.step].own = 1 then p.path[f.step].h || f.h else f.h || p.path[f.step].h end), f.step + 1
+  from folds f join paths p on p.lang is not distinct from f.lang and p.i = f.i where f.step <= len(p.path)),
+ends as (select lang, i, arg_max(h, step) as folded from folds group by lang, i)
+select p.doc_id, p.leaf, s.subroot, c.root, sha256(coalesce(q.joined, '')) as proof_sha256, e.folded as folded_root, e.folded = c.root as verified
+from placed p join subroots s on s.lang is not distinct from p.lang cross join crown c
+join ends e on e.lang is not distinct from p.lang and e.i = p.i
+left join paths q on q.lang is not distinct from p.lang and q.i = p.i
 """,
     "op7_substrings": r"""
 with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
