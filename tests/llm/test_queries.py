@@ -29,6 +29,7 @@ COLUMNS = {
     "op8": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     "op9": {"doc_id", "size", "source_size", "target", "taken"},
     "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     "op10": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, jaccard, language, manifest, mixing, pseudonyms, quality, scoring, substrings, toxicity
+from tidemark.llm import alignment, bpe, exact_dedup, jaccard, language, manifest, mixing, pseudonyms, quality, scoring, substrings, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -104,11 +106,22 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's groups and links between byte-level tokens and pieces, and how common its links are."""
+    open_a = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"))
+    open_b = partial(alignment.pieces, public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.align(_documents(spark, folder), open_a, open_b)
+    return found.select(
+        F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_jaccard": op1_jaccard,
     "op10_scoring": op10_scoring,
     "op11_manifest": op11_manifest,
+    "op12_alignment": op12_alignment,
     "op2_language": op2_language,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_byte_bpe": op4_byte_bpe,
