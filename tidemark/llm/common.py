@@ -164,16 +164,21 @@ def blocks_of(docs: DataFrame, key: str, text: str, total: int, block_bytes: int
     return row.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text")
 
 
-def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` in one global order, written, with ``part`` and ``place``: the sorted part and the row's place in it.
+def range_sorted(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` dealt over parts of bounded size in one global order and sorted within them.
 
-    Give ``order`` a last column that tells rows apart: then equal rows spread over parts too.
+    Give ``order`` a last column that tells rows apart: then equal rows spread over parts
+    too. ``rows`` are counted and read twice, so they should be a written table.
     """
     n = rows.count()
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(max(shuffles, -(-n // MOST_PART)), -(-n // LEAST_PART)))
-    number = F.monotonically_increasing_id()
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__number", number)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` range-sorted and written, with ``part`` and ``place``: the sorted part and the row's place in it."""
+    placed = range_sorted(rows, order).withColumn("__number", F.monotonically_increasing_id())
     low = F.lit((1 << 33) - 1)
     return materialize(placed.select(*rows.columns, F.shiftright("__number", 33).alias("part"), F.col("__number").bitwiseAND(low).alias("place")))
 

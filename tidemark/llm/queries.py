@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, bpe, exact_dedup, jaccard, language, manifest, mixing, pseudonyms, quality, scoring, substrings, toxicity
+from tidemark.llm import alignment, bpe, exact_dedup, jaccard, language, manifest, mixing, packing, pseudonyms, quality, scoring, substrings, toxicity
 from tidemark.llm.common import fold_of
 
 
@@ -116,12 +116,19 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens, neighbours on a Hilbert curve together."""
+    packed = packing.pack(_documents(spark, folder), partial(packing.word_coder, public_tokenizers.path("word_bpe_49k.json")))
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_jaccard": op1_jaccard,
     "op10_scoring": op10_scoring,
     "op11_manifest": op11_manifest,
     "op12_alignment": op12_alignment,
+    "op13_packing": op13_packing,
     "op2_language": op2_language,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_byte_bpe": op4_byte_bpe,
