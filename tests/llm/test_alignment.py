@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import alignment
 
-OPEN_A = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"))
+OPEN_A = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 OPEN_B = partial(alignment.pieces, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -91,15 +91,16 @@ def test_copies_are_neighbours(spark, monkeypatch):
 def test_words_give_the_library_s_ids(text):
     coder = OPEN()
     for _ in range(2):  # the second time from memory
-        assert np.frombuffer(coder.ids([text.encode()])[0], "<u4").tolist() == library(text)
+        assert np.frombuffer(coder.ids([text.encode()])[0], coder.kind).tolist() == library(text)
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 10)
+    monkeypatch.setattr(packing, "CALL_WORDS", 7)
     coder = OPEN()
     for k in range(6):
         texts = [prose(30, k), "<|endoftext|>x " + "long" * 40, prose(30, 0)]
-        assert [np.frombuffer(b, "<u4").tolist() for b in coder.ids([t.encode() for t in texts])] == [library(t) for t in texts]
+        assert [np.frombuffer(b, coder.kind).tolist() for b in coder.ids([t.encode() for t in texts])] == [library(t) for t in texts]
         assert len(coder.known) <= 10 + 70 and all(len(w) <= packing.KNOWN_BYTES for w in coder.known)
 
 

@@ -15,9 +15,10 @@ blocks, and each block gets the sums of its own pairs back. Texts are encoded on
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,25 +50,33 @@ def byte_characters() -> dict[str, int]:
 
 
 class Coder:
-    """A tokenizer as a function from text to ids, and the bytes of each id."""
+    """A tokenizer as a function from texts to ids, and the bytes of each id.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
-        self.encode, self.tokens = encode, tokens
+    ``lossless`` says that the ids' bytes are a space and the text whatever the text.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], tokens: list[bytes], lossless: bool = False):
+        self.encode, self.tokens, self.lossless = encode, tokens, lossless
         self.length = np.array([len(t) for t in tokens], np.int64)
 
 
-def byte_level(path: str) -> Coder:
-    """Byte-level BPE of a ``tokenizers`` file; special tokens are plain text; encodes a space and the text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def byte_level(path: str, pattern: str) -> Coder:
+    """Byte-level BPE of a ``tokenizers`` file; special tokens are plain text; encodes a space and the text.
+
+    The file's merges make ids in ascending order, so the ids are ranks and the faster
+    library for ranks gives the same ids; ``pattern`` is the one byte-level files split by.
+    """
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
     of = byte_characters()
-    tokens = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
-    for token, number in tokenizer.get_vocab(with_added_tokens=True).items():
-        tokens[number] = bytes(of[ch] for ch in token) if all(ch in of for ch in token) else token.encode()
-    return Coder(lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], tokens)
+    ranks = {bytes(of[ch] for ch in token): number for token, number in model["vocab"].items()}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])) or sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError(f"the merges of {path} don't make ids in ascending order")
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Coder(lambda texts: [coder.encode_ordinary(" " + t) for t in texts], sorted(ranks, key=ranks.get), lossless=True)
 
 
 def pieces(path: str) -> Coder:
@@ -162,7 +171,7 @@ class Aligner:
                 continue
             text, a, b = next(both)
             want = b" " + text.encode()
-            same = b"".join(map(self.a.tokens.__getitem__, a)) == want and b"".join(map(self.b.tokens.__getitem__, b)) == want
+            same = all(coder.lossless or b"".join(map(coder.tokens.__getitem__, ids)) == want for coder, ids in ((self.a, a), (self.b, b)))
             out.append((a, b) if same else ([], []))
         return out
 
@@ -170,8 +179,7 @@ class Aligner:
         """Numbers and group digests of every text, and all links as (text, A id, B id)."""
         both = self.tokens(texts)
         sizes = np.array([(len(a), len(b)) for a, b in both], np.int64).reshape(-1, 2)
-        ids_a = np.fromiter((i for a, _ in both for i in a), np.int64, int(sizes[:, 0].sum()))
-        ids_b = np.fromiter((i for _, b in both for i in b), np.int64, int(sizes[:, 1].sum()))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x[k] for x in both), np.int64, int(sizes[:, k].sum())) for k in (0, 1))
         row_a, row_b = (np.repeat(np.arange(len(texts)), sizes[:, k]) for k in (0, 1))
         end_a, end_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
         if not len(ids_a):

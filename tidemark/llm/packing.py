@@ -5,19 +5,20 @@ dimensions; the cell it falls in has a place on a Hilbert curve. Documents are
 range-sorted by that place, so that neighbours on the curve, which share many tokens,
 follow each other, and the stream of their tokens is cut into sequences of equal
 length. The rest at the end is cut into sequences whose lengths are powers of two:
-nothing is padded. Documents need no task for themselves and no part waits for
-another: running sums within the sorted parts and one sum a part place every token.
+nothing is padded. No part of the sorted documents waits for another: running sums
+within the parts and one sum a part place every token.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as c
@@ -33,6 +34,10 @@ BUCKETS = 1024
 BATCH_BYTES = 4 << 20
 #: Words whose tokens a task remembers, and the longest word it does so for.
 KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 64
+#: Words encoded as one text.
+CALL_WORDS = 1024
+#: Pieces whose ids are widened at once.
+SLICE_ROWS = 1024
 _UNIT = 1 << 12
 
 
@@ -40,26 +45,45 @@ class WordCoder:
     """Ids of texts by a tokenizer that never joins across white space.
 
     Words are cut at ASCII white space and each distinct one is encoded once: the
-    vocabulary's own normaliser and patterns look at no character beyond it.
+    vocabulary's own normaliser and patterns look at no character beyond it. ``encode``
+    gives, for each text, its ids and the character each of them begins at.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], size: int, end: int):
-        self.encode, self.size, self.end = encode, size, np.array([end], "<u4").tobytes()
+    def __init__(self, encode: Callable[[list[str]], list[tuple[list[int], list[int]]]], size: int, end: int):
+        self.encode, self.size = encode, size
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.end = np.array([end], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
 
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word; many words are encoded as one text and told apart by where the ids begin."""
+        found = {}
+        groups = [new[i : i + CALL_WORDS] for i in range(0, len(new), CALL_WORDS)]
+        texts = [[w.decode() for w in group] for group in groups]
+        for group, words, (ids, begins) in zip(groups, texts, self.encode([" ".join(words) for words in texts])):
+            starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
+            cuts = np.searchsorted(begins, starts[1:]) * np.dtype(self.kind).itemsize
+            raw = np.array(ids, self.kind).tobytes()
+            found.update(zip(group, (raw[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raw)]))))
+        return found
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with the end id behind."""
+        """Little-endian ids of each text (of type ``kind``), with the end id behind."""
         split = [t.split() for t in texts]
-        new = sorted({w for words in split for w in words}.difference(self.known))
-        coded = self.encode([w.decode() for w in new]) if new else []
-        found = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(new, coded)}
-        if len(self.known) > KNOWN_WORDS:
-            found.update((w, self.known[w]) for words in split for w in words if w in self.known)
-            self.known = {}
-        passing = {w: found.pop(w) for w in new if len(w) > KNOWN_BYTES}
-        self.known.update(found)
-        look = {**self.known, **passing}.__getitem__ if passing else self.known.__getitem__
-        return [b"".join(map(look, words)) + self.end for words in split]
+        flat = list(chain.from_iterable(split))
+        coded = list(map(self.known.get, flat))
+        new = {w for w, ids in zip(flat, coded) if ids is None}
+        if new:
+            found = self._words(list(new))
+            coded = [found[w] if ids is None else ids for w, ids in zip(flat, coded)]
+            if len(self.known) > KNOWN_WORDS:
+                self.known = {}
+            self.known.update((w, ids) for w, ids in found.items() if len(w) <= KNOWN_BYTES)
+        out, at = [], 0
+        for words in split:
+            out.append(b"".join(coded[at : at + len(words)]) + self.end)
+            at += len(words)
+        return out
 
 
 def word_coder(path: str, end: int = 1) -> WordCoder:
@@ -68,7 +92,11 @@ def word_coder(path: str, end: int = 1) -> WordCoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return WordCoder(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)], max(tokenizer.get_vocab_size(), end + 1), end)
+
+    def encode(texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        return [(e.ids, [begin for begin, _ in e.offsets]) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return WordCoder(encode, max(tokenizer.get_vocab_size(), end + 1), end)
 
 
 def projection(size: int, axes: int = AXES, buckets: int = BUCKETS) -> np.ndarray:
@@ -86,9 +114,10 @@ def projection(size: int, axes: int = AXES, buckets: int = BUCKETS) -> np.ndarra
 
 def coordinates(ids: np.ndarray, sizes: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Cell of every document along each axis, from its distinct tokens; evened out by a logistic curve."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    own = np.unique(row * np.int64(len(table)) + ids)
-    of, token = own // len(table), own % len(table)
+    wide = np.uint32 if len(sizes) * len(table) < 1 << 32 else np.uint64
+    own = np.sort(np.repeat(np.arange(len(sizes), dtype=wide) * wide(len(table)), sizes) + ids.astype(wide))
+    own = own[np.append(True, own[1:] != own[:-1])]
+    of, token = (x.astype(np.int64) for x in np.divmod(own, wide(len(table))))
     distinct = np.bincount(of, minlength=len(sizes))
     sums = np.add.reduceat(table[token], np.cumsum(distinct) - distinct)  # every document has its end token
     spread = sums / (_UNIT * np.sqrt(distinct)[:, None])
@@ -131,8 +160,9 @@ def _tokens(open_coder: Callable[[], WordCoder]):
                 end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + BATCH_BYTES, "right")) - 1)
                 texts = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in range(start, end)]
                 coded = coder.ids(texts)
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                place = hilbert(coordinates(np.frombuffer(b"".join(coded), "<u4").astype(np.int64), sizes, table))
+                flat = np.frombuffer(b"".join(coded), coder.kind)
+                sizes = np.array([len(x) for x in coded], np.int64) // flat.itemsize
+                place = hilbert(coordinates(flat, sizes, table))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place), batch["id"].slice(start, end - start), pa.array(np.arange(turn, turn + end - start)), pa.array(sizes), pa.array(coded, pa.binary())],
                     ["curve", "id", "turn", "n", "ids"],
@@ -142,16 +172,6 @@ def _tokens(open_coder: Callable[[], WordCoder]):
     return run
 
 
-def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of the part before each of its rows; the part's rows come in order."""
-    part, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch["n"].to_numpy()
-        upto = before + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], batch["ids"], pa.array(np.full(len(n), part, np.int64)), pa.array(upto - n)], ["id", "n", "ids", "part", "before"])
-        before = int(upto[-1]) if len(n) else before
-
-
 def starts_of(total: int, sequence: int) -> np.ndarray:
     """First tokens of the sequences behind the last full one, and the end: the rest in falling powers of two."""
     full, rest = total // sequence, total % sequence
@@ -159,38 +179,36 @@ def starts_of(total: int, sequence: int) -> np.ndarray:
     return np.cumsum([full * sequence, *sizes])
 
 
-def _cut(total: int, sequence: int):
-    tail, full = starts_of(total, sequence), total // sequence
+def _pieces(placed: DataFrame, total: int, sequence: int, width: int) -> DataFrame:
+    """Pieces of documents at their places ``at`` in the stream of all ``total`` tokens; ids of ``width`` bytes."""
+    tail, full = [int(x) for x in starts_of(total, sequence)], total // sequence
+    behind = F.array(*[F.lit(x) for x in tail])
 
-    def of(position: np.ndarray) -> np.ndarray:
-        return np.where(position < full * sequence, position // sequence, full + np.searchsorted(tail, position, "right") - 1)
+    def number(position: Column) -> Column:
+        late = F.size(F.filter(behind, lambda x: x <= position)) - 1 + F.lit(full)
+        return F.when(position < full * sequence, F.floor(position / sequence)).otherwise(late).cast("long")
 
-    def first(number: np.ndarray) -> np.ndarray:
-        return np.where(number < full, number * sequence, tail[np.clip(number - full, 0, len(tail) - 1)])
+    def first(at: Column) -> Column:
+        late = F.get(behind, F.least(at - full, F.lit(len(tail) - 1)).cast("int"))
+        return F.when(at < full, at * sequence).otherwise(late)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, n = batch["at"].to_numpy(), batch["n"].to_numpy()
-            low = of(at)
-            many = of(at + n - 1) - low + 1
-            row = np.repeat(np.arange(len(n)), many)
-            number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
-            begin = np.maximum(at[row], first(number))
-            end = np.minimum(at[row] + n[row], first(number + 1))
-            ids, start = batch["ids"], begin - at[row]
-            whole = [None if k == 1 else ids[i].as_py() for i, k in enumerate(many.tolist())]
-            pieces = [
-                ids[i].as_py() if whole[i] is None else whole[i][4 * s : 4 * e]
-                for i, s, e in zip(row.tolist(), start.tolist(), (end - at[row]).tolist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(pieces, pa.binary()), pa.array(n[row]), pa.array(number), pa.array(begin - first(number))],
-                ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return cut
+    span = F.sequence(number(F.col("at")), number(F.col("at") + F.col("n") - 1))
+    each = placed.withColumn("sequence_id", F.explode(span))
+    each = each.withColumn("opens", first(F.col("sequence_id"))).withColumn("closes", first(F.col("sequence_id") + 1))
+    each = each.withColumn("begin", F.greatest("at", "opens")).withColumn("length", F.least(F.col("at") + F.col("n"), F.col("closes")) - F.col("begin"))
+    start = F.col("begin") - F.col("at")
+    part = F.substring("ids", (start * width + 1).cast("int"), (F.col("length") * width).cast("int"))
+    return each.select("id", start.alias("start"), "length", part.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", (F.col("begin") - F.col("opens")).alias("offset"))
+
+
+def _widened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = None
+    for batch in batches:
+        at = batch.schema.get_field_index("ids") if at is None else at
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(k, SLICE_ROWS)
+            ids = pa.array([np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in some["ids"].to_pylist()], pa.binary())
+            yield some.set_column(at, "ids", ids)
 
 
 def pack(docs: DataFrame, open_coder: Callable[[], WordCoder], key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
@@ -207,12 +225,16 @@ def pack(docs: DataFrame, open_coder: Callable[[], WordCoder], key: str = "doc_i
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     coded = materialize(rows.mapInArrow(_tokens(open_coder), f"curve long, id {kind}, turn long, n long, ids binary"))
-    along = c.range_sorted(coded, ["curve", "id", "turn"])
-    placed = materialize(along.mapInArrow(_running, f"id {kind}, n long, ids binary, part long, before long"))
-    # one row a part: the parts are as many as the session's shuffles or a million documents each
-    sums = placed.groupBy("part").agg(F.sum("n").alias("tokens"))
+    # only places and sizes are sorted and summed; the ids move once, to meet their place
+    placed = c.ordered(coded.select("curve", "id", "turn", "n"), ["curve", "id", "turn"])
+    upto = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.select("turn", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    # one row a part: as many as the session's shuffles have, or one for a million documents
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("part").agg(F.sum("n").alias("tokens"))
     firsts = materialize(sums.select("part", "tokens", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("first")))
     total = firsts.agg(F.sum("tokens")).first()[0] or 0
-    met = placed.join(firsts.drop("tokens"), "part").select("id", "n", "ids", (F.col("first") + F.col("before")).alias("at"))
-    return met.mapInArrow(_cut(total, sequence), f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    at = within.join(firsts.select("part", "first"), "part").select("turn", (F.col("first") + F.col("before")).alias("at"))
+    width = 2 if open_coder().kind == "<u2" else 4
+    pieces = _pieces(coded.join(at, "turn").select("id", "n", "ids", "at"), total, sequence, width)
+    return pieces.mapInArrow(_widened, pieces.schema) if width == 2 else pieces

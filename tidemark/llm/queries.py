@@ -108,7 +108,7 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's groups and links between byte-level tokens and pieces, and how common its links are."""
-    open_a = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"))
+    open_a = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     open_b = partial(alignment.pieces, public_tokenizers.path("piece_bpe_32k.model"))
     found = alignment.align(_documents(spark, folder), open_a, open_b)
     return found.select(
