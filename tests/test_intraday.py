@@ -85,9 +85,11 @@ def test_variance_inflation(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=400), rng.normal(size=400)
     data = pd.DataFrame({"a": a, "b": b, "c": a + 0.5 * b + rng.normal(size=400)})
-    got = dict(research.variance_inflation(spark.createDataFrame(data), ["a", "b", "c"]))
+    data.loc[3, "a"] = np.nan  # an incomplete row
+    got = {r["feature"]: r["vif"] for r in research.variance_inflation(spark.createDataFrame(data).replace(float("nan"), None), ["a", "b", "c"]).collect()}
+    data = data.dropna()
     inverse = np.linalg.inv(np.corrcoef(data.to_numpy().T))
-    assert list(got.values()) == pytest.approx(list(np.diag(inverse)))
+    assert [got[c] for c in data.columns] == pytest.approx(list(np.diag(inverse)))
 
 
 def test_inversion_spells(spark):

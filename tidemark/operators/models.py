@@ -2,28 +2,28 @@
 
 Medians, means and deviations come from the train rows of a fold only. They and
 the coefficients are a few numbers per fold and feature and travel through the
-driver as plan constants; rows never do.
+driver as plan constants; rows never do. All ridge models come from one moment
+matrix a fold, gathered in one pass. All logistic models take their Newton steps
+together: a pass yields the gradient and Hessian of every fold and model.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import melt
+from tidemark.operators import linear
 from tidemark.operators.curve import bear_flattening
 from tidemark.operators.ordering import medians
 
-PARALLEL_FITS = 8
+#: Newton steps at most, and the largest change of a coefficient that ends them.
+NEWTON_STEPS, NEWTON_CHANGE = 12, 1e-10
 
 
 @dataclass
@@ -98,56 +98,99 @@ def fold_scalings(tagged: DataFrame, features: Sequence[str], target: str) -> di
     return out
 
 
-def _fit_all(
-    tagged: DataFrame, models: Mapping[str, Sequence[str]], scalings: Mapping[str, FoldScaling], target: str, fit_one
-) -> dict[tuple[str, str], LinearFit]:
-    """Fit every (fold, model); fits run side by side like a cross-validator's."""
-    wanted = all_features(models)
-    frames = {}
+def _train_rows(tagged: DataFrame, scalings: Mapping[str, FoldScaling], features: Sequence[str], target: str, made) -> DataFrame:
+    """Train rows of all folds: fold, y, one, a scaled column z0, z1, ... a feature, and ``made(fold)``.
+
+    Each fold is a scan of its own range; a feature without train values is all zero.
+    """
+    parts = []
     for fold, scaling in scalings.items():
         rows = tagged.filter((F.col("fold") == fold) & (F.col("role") == "train") & F.col(target).isNotNull())
-        usable = scaling.usable(wanted)
-        frames[fold] = rows.select(
-            F.col(target).cast("double").alias("label"), *[scaling.scaled(f).alias(f) for f in usable]
-        ).persist()
-
-    def job(item):
-        fold, model = item
-        usable = scalings[fold].usable(models[model])
-        vectors = VectorAssembler(inputCols=usable, outputCol="features").transform(frames[fold])
-        fitted = fit_one(vectors.select("label", "features"), scalings[fold])
-        return item, LinearFit(usable, float(fitted.intercept), [float(w) for w in fitted.coefficients])
-
-    items = [(fold, model) for fold in scalings for model in models]
-    try:
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            return dict(pool.map(job, items))
-    finally:
-        for frame in frames.values():
-            frame.unpersist()
-
-
-def fit_ridge(tagged, models, scalings, target: str = "forward_return_5", alpha: float = 1.0):
-    """Ridge on scaled features; the library's penalty is per row and per target deviation."""
-
-    def fit_one(data: DataFrame, scaling: FoldScaling):
-        penalty = alpha * scaling.target_deviation / scaling.rows
-        return LinearRegression(solver="normal", standardization=False, regParam=penalty, elasticNetParam=0.0).fit(data)
-
-    return _fit_all(tagged, models, scalings, target, fit_one)
-
-
-def fit_logistic(tagged, models, scalings, target: str = "target_up_5d", inverse_penalty: float = 1.0):
-    def fit_one(data: DataFrame, scaling: FoldScaling):
-        return LogisticRegression(
-            regParam=1.0 / (inverse_penalty * scaling.rows),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=1000,
-            tol=1e-9,
-        ).fit(data)
-
-    return _fit_all(tagged, models, scalings, target, fit_one)
+        scaled = [(scaling.scaled(f) if f in scaling.median else F.lit(0.0)).alias(f"z{i}") for i, f in enumerate(features)]
+        placed = rows.select("fold", F.col(target).cast("double").alias("y"), F.lit(1.0).alias("one"), *scaled)
+        parts.append(made(fold, placed))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _plans(models: Mapping[str, Sequence[str]], scalings: Mapping[str, FoldScaling], features: Sequence[str], first: int) -> list[tuple]:
+    """(fold, model, places of the model's usable features among the matrix columns)."""
+    return [(fold, m, [features.index(f) + first for f in scaling.usable(fs)]) for fold, scaling in scalings.items() for m, fs in models.items()]
+
+
+def fit_ridge(tagged, models, scalings, target: str = "forward_return_5", alpha: float = 1.0) -> dict[tuple[str, str], LinearFit]:
+    """Ridge on scaled features: one moment matrix a fold, an elimination of its sub-matrix a model.
+
+    Scaled columns have mean zero over the train rows, so the intercept is the target's mean.
+    """
+    features = all_features(models)
+    columns = [f"z{i}" for i in range(len(features))]
+
+    def made(fold: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("y", F.col("y") - F.lit(scalings[fold].target_mean))
+
+    rows = _train_rows(tagged, scalings, features, target, made)
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("by")) for i, c in enumerate(columns)])
+    moments = linear.gathered(linear.moment_rows(rows, ["fold"], entries, [*columns, "y"]), ["fold"], ["moments"])
+    plans = tagged.sparkSession.createDataFrame(_plans(models, scalings, features, 1), "fold string, model string, places array<int>")
+    right = F.transform("places", lambda p: F.element_at(F.element_at("moments", p), len(columns) + 1))
+    matrix = linear.picked(F.col("moments"), F.col("places"), F.transform("places", lambda p: F.lit(float(alpha))))
+    solved = plans.join(moments, "fold").select("fold", "model", linear.solution(matrix, right).alias("weights"))
+    return {
+        (r["fold"], r["model"]): LinearFit(scalings[r["fold"]].usable(models[r["model"]]), scalings[r["fold"]].target_mean, list(r["weights"]))
+        for r in solved.collect()
+    }
+
+
+def fit_logistic(tagged, models, scalings, target: str = "target_up_5d", inverse_penalty: float = 1.0) -> dict[tuple[str, str], LinearFit]:
+    """Penalised logistic models of all folds by joint Newton steps, the intercept without penalty.
+
+    Every pass over the train rows gives each model's gradient and Hessian; the steps are
+    solved in the same job and only coefficients reach the driver. Without convergence
+    after ``NEWTON_STEPS`` passes it raises.
+    """
+    features = all_features(models)
+    columns = ["one", *[f"z{i}" for i in range(len(features))]]
+    plans = [(fold, m, [1, *places]) for fold, m, places in _plans(models, scalings, features, 2)]
+    spark = tagged.sparkSession
+    weights = {(fold, m): [0.0] * len(places) for fold, m, places in plans}
+
+    def made(fold: str, rows: DataFrame) -> DataFrame:
+        mine = [(m, places) for f, m, places in plans if f == fold]
+        chance = {}
+        for m, places in mine:
+            level = reduce(lambda a, b: a + b, [F.lit(w) * F.col(columns[p - 1]) for w, p in zip(weights[fold, m], places, strict=True)])
+            chance[m] = F.lit(1.0) / (F.lit(1.0) + F.exp(-level))
+        # probabilities are a projection of their own: each is used once a coefficient
+        placed = rows.select("*", *[chance[m].alias(f"p{k}") for k, (m, _) in enumerate(mine)])
+        entries = []
+        for k, (m, places) in enumerate(mine):
+            p = F.col(f"p{k}")
+            for i, place in enumerate(places):
+                x = F.col(columns[place - 1])
+                entries.append(F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), (p * (1 - p) * x).alias("by"), ((F.col("y") - p) * x).alias("slope")))
+        return placed.select("fold", *columns, F.array(*entries).alias("_entries"))
+
+    for _ in range(NEWTON_STEPS):
+        rows = _train_rows(tagged, scalings, features, target, made)
+        sums = linear.gathered(
+            linear.moment_rows(rows, ["fold", "model"], F.col("_entries"), columns, ["slope"]), ["fold", "model"], ["moments", "slope"]
+        )
+        state = [(fold, m, places, weights[fold, m]) for fold, m, places in plans]
+        table = spark.createDataFrame(state, "fold string, model string, places array<int>, weights array<double>")
+        pull = F.transform("places", lambda p: F.when(p > 1, 1.0 / inverse_penalty).otherwise(0.0))
+        wide = F.transform("moments", lambda row: F.transform("places", lambda p: F.element_at(row, p)))
+        own = F.transform(wide, lambda row, i: F.transform(row, lambda x, j: x + F.when(i == j, F.element_at(pull, i + 1)).otherwise(0.0)))
+        right = F.zip_with("slope", F.zip_with(pull, "weights", lambda c, w: c * w), lambda g, w: g - w)
+        steps = table.join(sums, ["fold", "model"]).select("fold", "model", linear.solution(own, right).alias("step")).collect()
+        most = 0.0
+        for r in steps:
+            weights[r["fold"], r["model"]] = [w + d for w, d in zip(weights[r["fold"], r["model"]], r["step"], strict=True)]
+            most = max(most, *map(abs, r["step"]))
+        if most < NEWTON_CHANGE:
+            break
+    else:
+        raise ArithmeticError(f"logistic models still move by {most} after {NEWTON_STEPS} Newton steps")
+    return {(fold, m): LinearFit(scalings[fold].usable(models[m]), w[0], w[1:]) for (fold, m), w in weights.items()}
 
 
 def _scored(tagged: DataFrame, scalings: Mapping[str, FoldScaling], models, target: str, keep, cells) -> DataFrame:

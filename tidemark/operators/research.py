@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import change, ratio
+from tidemark.operators import linear
 
 
 def inversion_spells(curve: DataFrame, spread: str, order: str = "curve_date") -> DataFrame:
@@ -61,25 +61,25 @@ def growth_rates(series: DataFrame, by: Sequence[str] = ("series_name",), order:
     )
 
 
-def variance_inflation(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, float]]:
-    """VIF per column over complete rows: the diagonal of the inverse correlation matrix.
+def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, vif) over complete rows: the diagonal of the inverse correlation matrix.
 
-    One aggregate yields the means and the k x k moments; only those reach the
-    driver, where k is the number of columns asked for.
+    One aggregate yields counts, means and deviations, which centre and scale the columns;
+    a second yields their moment matrix, and the inverse is taken in the same job.
     """
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    cells = [
-        F.covar_pop(a, b).alias(f"c{i}_{j}")
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if j >= i
-    ]
-    row = complete.agg(*cells).first()
-    k = len(columns)
-    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    scale = np.sqrt(np.diag(cov))
-    inverse = np.linalg.inv(cov / np.outer(scale, scale))
-    return [(c, float(v)) for c, v in zip(columns, np.diag(inverse), strict=True)]
+    complete = df.select(*[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(columns)]).dropna()
+    names = [f"z{i}" for i in range(len(columns))]
+    facts = complete.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    scaled = complete.crossJoin(F.broadcast(facts)).select(  # one row
+        F.lit(0).alias("of"), *[((F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0))).alias(c) for c in names]
+    )
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("by")) for i, c in enumerate(names)])
+    moments = linear.gathered(linear.moment_rows(scaled, ["of"], entries, names), ["of"], ["moments"])
+    first = F.element_at(F.element_at("moments", 1), 1)  # the count of complete rows
+    correlations = F.transform("moments", lambda row: F.transform(row, lambda x: x / first))
+    labels = F.array(*[F.lit(c) for c in columns])
+    both = F.arrays_zip(labels.alias("feature"), linear.inverse_diagonal(correlations).alias("vif"))
+    return moments.select(F.explode(both).alias("one")).select("one.feature", "one.vif")
 
 
 def quintile_spread(summary: DataFrame, keys: Sequence[str] = ("model",), ret: str = "mean_forward_return_5") -> DataFrame:

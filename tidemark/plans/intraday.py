@@ -131,13 +131,11 @@ def e11_growth_rates(spark, d):
 
 def e12_variance_inflation(spark, d):
     names = [*SELECTED_TECHNICAL, "yield_10y", "yield_30y", "curve_10y_2y_bp"]
-    rows = research.variance_inflation(panels.features(spark, d), names)
-    return rounded(spark.createDataFrame(rows, "feature string, vif double"))
+    return rounded(research.variance_inflation(panels.features(spark, d), names))
 
 
 def e12_variance_inflation_yields(spark, d):
-    rows = research.variance_inflation(curve.complete_curves(views.yield_curve(spark, d)), ["yield_2y", "yield_10y", "yield_30y"])
-    return rounded(spark.createDataFrame(rows, "feature string, vif double"))
+    return rounded(research.variance_inflation(curve.complete_curves(views.yield_curve(spark, d)), ["yield_2y", "yield_10y", "yield_30y"]))
 
 
 def e13_quintile_spread(spark, d):

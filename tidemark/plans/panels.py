@@ -26,11 +26,12 @@ def _features(spark: SparkSession, folder: str) -> DataFrame:
     ahead = technical.forward_returns(bars).select("symbol", "market_date", *TARGETS)
     ends = folds.with_target_end(ahead, 5)
     curves = curve.all_curve_features(views.yield_curve(spark, folder))
-    return asof.attach_curve(technicals.join(ends, ["symbol", "market_date"]), curves)
+    joined = asof.attach_curve(technicals.join(ends, ["symbol", "market_date"]), curves)
+    return joined.withColumn(folds.YEAR, F.year("market_date"))
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    return _kept(spark, folder, "features", _features)
+    return _kept(spark, folder, "features", _features, folds.YEAR)
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,13 +63,9 @@ def development(spark: SparkSession, folder: str) -> DataFrame:
     return folds.development_rows(regimes(spark, folder), DEVELOPMENT_END)
 
 
-def _tagged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = models.with_targets(features(spark, folder))
-    return folds.assign_folds(rows, FOLDS)
-
-
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    return _kept(spark, folder, "tagged", _tagged)
+    """Rows of every (fold, role): date ranges of the feature panel."""
+    return folds.assign_folds(models.with_targets(features(spark, folder)), FOLDS)
 
 
 def rule_predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,11 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _kept(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+def _kept(spark: SparkSession, folder: str, name: str, build, partition: str | None = None) -> DataFrame:
     """A derived panel is written once per application: several plan branches read it."""
     key = f"{folder}#{state_of(spark, folder)}#{name}"
     known = materialized(spark, key)
-    return known if known is not None else materialize(build(spark, folder), key)
+    return known if known is not None else materialize(build(spark, folder), key, partition)
 
 
 def _bars_daily(spark: SparkSession, folder: str) -> DataFrame:

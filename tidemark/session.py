@@ -55,12 +55,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 _written: dict[tuple[str, str], str] = {}
 
 
-def materialize(df: DataFrame, key: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, key: str | None = None, partition: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage at a point several branches read, survives executor loss
     and keeps column pruning. With ``key`` the table is reused by later plans
-    of the same application.
+    of the same application. With ``partition`` the table is partitioned by that column.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
@@ -69,7 +69,11 @@ def materialize(df: DataFrame, key: str | None = None) -> DataFrame:
         if known and _exists(spark, f"{known}/_SUCCESS"):
             return spark.read.parquet(known)
     path = f"{shared_folder(spark)}/tidemark/{app}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    if partition is not None:
+        # adaptive execution merges small and splits large partitions of this exchange
+        df = df.select(*[c for c in df.columns if c != partition], partition).hint("rebalance", partition)
+    writer = df.write.mode("overwrite")
+    (writer if partition is None else writer.partitionBy(partition)).parquet(path)
     if key is not None:
         _written[(app, key)] = path
     return spark.read.schema(df.schema).parquet(path)
