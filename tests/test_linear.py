@@ -32,15 +32,17 @@ def test_picked(spark):
     assert got == [[m[2, 2] + 10, m[2, 0]], [m[0, 2], m[0, 0] + 0.5]]
 
 
-def test_moments_are_grouped_sums(spark):
+def test_moments_are_sums_of_a_group(spark):
     rng = np.random.default_rng(5)
     z, g = rng.normal(size=(200, 3)), rng.integers(0, 2, 200)
-    rows = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(g, z)], "of int, a double, b double, c double").repartition(7)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("by"), F.lit(1).alias("n")) for i, c in enumerate("abc")])
-    got = linear.gathered(linear.moment_rows(rows, ["of"], entries, list("abc"), ["n"]), ["of"], ["moments", "n"]).collect()
-    for r in got:
-        part = z[g == r["of"]]
-        assert np.allclose(r["moments"], part.T @ part) and r["n"] == [len(part)] * 3
+    rows = spark.createDataFrame([(f"g{k}", *map(float, v)) for k, v in zip(g, z)], "of string, a double, b double, c double").repartition(7)
+    got = {r["of"]: r["moments"] for r in linear.moments(rows, "of", ["a", "b", "c"]).collect()}
+    assert set(got) == {"g0", "g1"}
+    for k in (0, 1):
+        assert np.allclose(got[f"g{k}"], z[g == k].T @ z[g == k])
+    named = linear.moments(rows, "of", ["a"], lambda group, x: {"n": np.full((1, 2), len(x)), "s": x.T @ x})
+    assert {(r["of"], r["name"]): len(r["moments"][0]) for r in named.collect()} == {(f"g{k}", n): w for k in (0, 1) for n, w in (("n", 2), ("s", 1))}
+    assert linear.moments(rows.filter("a > 99"), "of", ["a", "b", "c"]).isEmpty()
 
 
 def test_newton_gives_up_with_an_error(spark, monkeypatch):

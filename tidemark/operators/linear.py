@@ -1,39 +1,60 @@
 """Moment matrices as mergeable aggregates, and elimination on them in DataFrame expressions.
 
-A row of a moment matrix is one group of an aggregate: every table row gives one entry
-a matrix row, with the number it multiplies all columns by. Sums are partial on the
-map side, so only the matrices are shuffled. They are as wide as the columns asked
-for, whatever the number of table rows.
+Tasks multiply whole Arrow batches and hand on one matrix each; the matrices are added up
+and solved by DataFrame functions. (Written as one built-in sum a matrix cell, the
+aggregate of some forty columns grows beyond what the JVM compiles.) What is shuffled is
+as wide as the columns asked for, whatever the number of table rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: From the columns of some rows of one group to named matrices, whose sums over all rows are wanted.
+Product = Callable[[str, np.ndarray], dict[str, np.ndarray]]
 
-def moment_rows(rows: DataFrame, keys: Sequence[str], entries: Column, columns: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
-    """(keys, i, moments, also...): sums of ``by * column`` over ``columns`` for each matrix row ``i``.
 
-    ``entries`` is an array of structs with ``i``, ``by`` and further fields; fields named in
-    ``keys`` take part in the grouping, those named in ``also`` are summed as they are.
+def gram(group: str, columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Products of all columns with all columns."""
+    return {"": columns.T @ columns}
+
+
+def _partial(group: str, columns: Sequence[str], product: Product):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        for batch in batches:
+            of = batch[group].to_numpy(zero_copy_only=False)
+            values = np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in columns]) if len(of) else np.zeros((0, len(columns)))
+            for key in dict.fromkeys(of.tolist()):
+                for name, matrix in product(key, values[of == key]).items():
+                    known = sums.get((key, name))
+                    sums[key, name] = matrix if known is None else known + matrix
+        rows = [(key, name, i, row.tolist()) for (key, name), matrix in sums.items() for i, row in enumerate(matrix)]
+        names, kinds = (group, "name", "i", "moments"), (pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
+def moments(rows: DataFrame, group: str, columns: Sequence[str], product: Product = gram) -> DataFrame:
+    """(group, name, moments): the sum of each named matrix over all rows of a group, as rows of numbers.
+
+    ``group`` is a text column of few values, the columns are doubles without NULL.
     """
-    own = [k for k in keys if k in rows.columns]
-    each = rows.select(*own, *columns, F.explode(entries).alias("_entry"))
-    inner = [F.col(f"_entry.{k}").alias(k) for k in keys if k not in own]
-    long = each.select(*own, *inner, F.col("_entry.i").alias("i"), F.col("_entry.by").alias("_by"), *[F.col(f"_entry.{a}").alias(a) for a in also], *columns)
-    sums = F.array(*[F.sum(F.col("_by") * F.col(c)) for c in columns])
-    return long.groupBy(*keys, "i").agg(sums.alias("moments"), *[F.sum(a).alias(a) for a in also])
-
-
-def gathered(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row a matrix: ``values`` of its rows as arrays in the order of ``i``."""
-    packed = F.sort_array(F.collect_list(F.struct("i", *values)))
-    return rows.groupBy(*keys).agg(packed.alias("_rows")).select(
-        *keys, *[F.col(f"_rows.{v}").alias(v) for v in values]
-    )
+    wanted = rows.select(group, *columns)
+    parts = wanted.mapInArrow(_partial(group, columns, product), f"{group} string, name string, i int, moments array<double>")
+    cells = parts.select(group, "name", "i", F.posexplode("moments").alias("j", "x")).groupBy(group, "name", "i", "j").agg(F.sum("x").alias("x"))
+
+    def in_order(place: str, value: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(place, value))), lambda cell: cell[value])
+
+    lines = cells.groupBy(group, "name", "i").agg(in_order("j", "x").alias("x"))
+    return lines.groupBy(group, "name").agg(in_order("i", "x").alias("moments"))
 
 
 def eliminated(matrix: Column, size: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +130,7 @@ def fit_ridge(tagged, models, scalings, target: str = "forward_return_5", alpha:
         return rows.withColumn("y", F.col("y") - F.lit(scalings[fold].target_mean))
 
     rows = _train_rows(tagged, scalings, features, target, made)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("by")) for i, c in enumerate(columns)])
-    moments = linear.gathered(linear.moment_rows(rows, ["fold"], entries, [*columns, "y"]), ["fold"], ["moments"])
+    moments = linear.moments(rows, "fold", [*columns, "y"]).drop("name")
     plans = tagged.sparkSession.createDataFrame(_plans(models, scalings, features, 1), "fold string, model string, places array<int>")
     right = F.transform("places", lambda p: F.element_at(F.element_at("moments", p), len(columns) + 1))
     matrix = linear.picked(F.col("moments"), F.col("places"), F.transform("places", lambda p: F.lit(float(alpha))))
@@ -141,6 +141,21 @@ def fit_ridge(tagged, models, scalings, target: str = "forward_return_5", alpha:
     }
 
 
+def _newton_sums(plans: list[tuple], weights: dict[tuple[str, str], list[float]]) -> linear.Product:
+    """Hessian and slope of every model of a fold over some rows: (one, z0, z1, ..., y)."""
+
+    def sums(fold: str, values: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for _, model, places in (p for p in plans if p[0] == fold):
+            x = values[:, places]
+            chance = 1.0 / (1.0 + np.exp(-(x @ np.array(weights[fold, model]))))
+            slope = x.T @ (values[:, -1] - chance)
+            out[model] = np.column_stack([x.T @ (x * (chance * (1.0 - chance))[:, None]), slope])
+        return out
+
+    return sums
+
+
 def fit_logistic(tagged, models, scalings, target: str = "target_up_5d", inverse_penalty: float = 1.0) -> dict[tuple[str, str], LinearFit]:
     """Penalised logistic models of all folds by joint Newton steps, the intercept without penalty.
 
@@ -149,39 +164,21 @@ def fit_logistic(tagged, models, scalings, target: str = "target_up_5d", inverse
     after ``NEWTON_STEPS`` passes it raises.
     """
     features = all_features(models)
-    columns = ["one", *[f"z{i}" for i in range(len(features))]]
-    plans = [(fold, m, [1, *places]) for fold, m, places in _plans(models, scalings, features, 2)]
+    columns = ["one", *[f"z{i}" for i in range(len(features))], "y"]
+    plans = [(fold, m, [0, *places]) for fold, m, places in _plans(models, scalings, features, 1)]
+    rows = _train_rows(tagged, scalings, features, target, lambda fold, rows: rows)
     spark = tagged.sparkSession
     weights = {(fold, m): [0.0] * len(places) for fold, m, places in plans}
-
-    def made(fold: str, rows: DataFrame) -> DataFrame:
-        mine = [(m, places) for f, m, places in plans if f == fold]
-        chance = {}
-        for m, places in mine:
-            level = reduce(lambda a, b: a + b, [F.lit(w) * F.col(columns[p - 1]) for w, p in zip(weights[fold, m], places, strict=True)])
-            chance[m] = F.lit(1.0) / (F.lit(1.0) + F.exp(-level))
-        # probabilities are a projection of their own: each is used once a coefficient
-        placed = rows.select("*", *[chance[m].alias(f"p{k}") for k, (m, _) in enumerate(mine)])
-        entries = []
-        for k, (m, places) in enumerate(mine):
-            p = F.col(f"p{k}")
-            for i, place in enumerate(places):
-                x = F.col(columns[place - 1])
-                entries.append(F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), (p * (1 - p) * x).alias("by"), ((F.col("y") - p) * x).alias("slope")))
-        return placed.select("fold", *columns, F.array(*entries).alias("_entries"))
-
     for _ in range(NEWTON_STEPS):
-        rows = _train_rows(tagged, scalings, features, target, made)
-        sums = linear.gathered(
-            linear.moment_rows(rows, ["fold", "model"], F.col("_entries"), columns, ["slope"]), ["fold", "model"], ["moments", "slope"]
+        sums = linear.moments(rows, "fold", columns, _newton_sums(plans, dict(weights)))
+        state = [(fold, m, [0.0 if p == 0 else 1.0 / inverse_penalty for p in places], weights[fold, m]) for fold, m, places in plans]
+        table = spark.createDataFrame(state, "fold string, name string, pull array<double>, weights array<double>")
+        # the Hessian and, behind it, the slope; both with the penalty
+        own = F.transform(
+            "moments", lambda row, i: F.transform(row, lambda x, j: x + F.when(i == j, F.element_at("pull", i + 1)).when(j == F.size("pull"), -F.element_at("pull", i + 1) * F.element_at("weights", i + 1)).otherwise(0.0))
         )
-        state = [(fold, m, places, weights[fold, m]) for fold, m, places in plans]
-        table = spark.createDataFrame(state, "fold string, model string, places array<int>, weights array<double>")
-        pull = F.transform("places", lambda p: F.when(p > 1, 1.0 / inverse_penalty).otherwise(0.0))
-        wide = F.transform("moments", lambda row: F.transform("places", lambda p: F.element_at(row, p)))
-        own = F.transform(wide, lambda row, i: F.transform(row, lambda x, j: x + F.when(i == j, F.element_at(pull, i + 1)).otherwise(0.0)))
-        right = F.zip_with("slope", F.zip_with(pull, "weights", lambda c, w: c * w), lambda g, w: g - w)
-        steps = table.join(sums, ["fold", "model"]).select("fold", "model", linear.solution(own, right).alias("step")).collect()
+        step = F.transform(linear.eliminated(own, F.size("pull")), lambda row: F.element_at(row, -1))
+        steps = table.join(sums, ["fold", "name"]).select("fold", F.col("name").alias("model"), step.alias("step")).collect()
         most = 0.0
         for r in steps:
             weights[r["fold"], r["model"]] = [w + d for w, d in zip(weights[r["fold"], r["model"]], r["step"], strict=True)]

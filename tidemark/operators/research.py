@@ -71,10 +71,9 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = [f"z{i}" for i in range(len(columns))]
     facts = complete.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     scaled = complete.crossJoin(F.broadcast(facts)).select(  # one row
-        F.lit(0).alias("of"), *[((F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0))).alias(c) for c in names]
-    )
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("by")) for i, c in enumerate(names)])
-    moments = linear.gathered(linear.moment_rows(scaled, ["of"], entries, names), ["of"], ["moments"])
+        F.lit("all").alias("of"), *[ratio(F.col(c) - F.col(f"{c}_mean"), f"{c}_sd").alias(c) for c in names]
+    ).dropna()  # a constant column leaves no row: no table
+    moments = linear.moments(scaled, "of", names)
     first = F.element_at(F.element_at("moments", 1), 1)  # the count of complete rows
     correlations = F.transform("moments", lambda row: F.transform(row, lambda x: x / first))
     labels = F.array(*[F.lit(c) for c in columns])

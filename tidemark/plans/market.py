@@ -333,15 +333,19 @@ def a20_average_metrics(spark, d):
     return rounded(stats.average_over_folds(metrics, columns, "roc_auc", descending=True))
 
 
+def _train_facts(spark, d):
+    """Train rows of every fold and how many of them rose: what each fit saw."""
+    rows = panels.tagged(spark, d).filter("role = 'train' and forward_return_5 is not null")
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("train_rows"), F.avg("target_up_5d").alias("train_up_rate"))
+
+
 def m04_ridge_walk_forward(spark, d):
-    return rounded(stats.regression_metrics(panels.ridge_predictions(spark, d)))
+    return rounded(stats.regression_metrics(panels.ridge_predictions(spark, d)).join(_train_facts(spark, d), "fold"))
 
 
 def m04_single_ridge_walk_forward(spark, d):
     """Walk-forward ridge of one feature each, with the train rows each fit saw."""
-    rows = panels.tagged(spark, d).filter("role = 'train' and forward_return_5 is not null")
-    train = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("train_rows"), F.avg("target_up_5d").alias("train_up_rate"))
-    return rounded(stats.regression_metrics(panels.single_ridge_predictions(spark, d)).join(train, "fold"))
+    return rounded(stats.regression_metrics(panels.single_ridge_predictions(spark, d)).join(_train_facts(spark, d), "fold"))
 
 
 def m05_logistic_predictions(spark, d):
@@ -362,7 +366,7 @@ def m06_baseline_forecasts(spark, d):
 
 def m07_logistic_walk_forward(spark, d):
     long = models.long_predictions(panels.logistic_predictions(spark, d), LOGISTIC_MODELS)
-    return rounded(stats.classification_metrics(long), 4)
+    return rounded(stats.classification_metrics(long).join(_train_facts(spark, d), "fold"), 4)
 
 
 def m08_model_quintiles(spark, d):
@@ -373,5 +377,5 @@ def m08_model_quintiles(spark, d):
 QUERIES = {
     name: f
     for name, f in list(globals().items())
-    if callable(f) and getattr(f, "__module__", "") == __name__
+    if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")
 }

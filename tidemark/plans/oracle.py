@@ -15,10 +15,12 @@ from tidemark.functions.catalog import (
     ESTABLISHMENT_SERIES,
     HORIZONS,
     LATE_RELEASE,
+    LOGISTIC_MODELS,
     MATURITIES,
     NS_FACTORS,
     PAYROLL_FEATURES,
     RESEARCH_TECHNICAL_FEATURES,
+    RIDGE_MODELS,
     TREASURY_FEATURES,
     YIELDS,
     series_registry,
@@ -1209,6 +1211,139 @@ ask(
     "single_ridge",
     "train",
 )
+# ------------------------------------------------ linear and logistic models
+_ALL = list(dict.fromkeys(f for fs in (*RIDGE_MODELS.values(), *LOGISTIC_MODELS.values()) for f in fs))
+
+
+def _eliminated(system: str, size: str) -> str:
+    """Gauss-Jordan elimination of the first ``size`` columns of a list of rows."""
+    row = "list_transform(a.m[b.k], lambda x: x / a.m[b.k][b.k])"
+    other = "list_transform(r, lambda x, j: x - r[b.k] * a.m[b.k][j] / a.m[b.k][b.k])"
+    return (
+        f"list_reduce(list_transform(range(1, {size} + 1), lambda i: {{'k': i, 'm': []::double[][]}}), "
+        f"lambda a, b: {{'k': b.k, 'm': list_transform(a.m, lambda r, i: case when i = b.k then {row} else {other} end)}}, {{'k': 0::bigint, 'm': {system}}}).m"
+    )
+
+
+def _models(models) -> str:
+    rows = ", ".join(f"('{m}', {[_ALL.index(f) + 1 for f in fs]})" for m, fs in models.items())
+    return f"(values {rows}) as models(model, places)"
+
+
+# every row of a fold as one list of scaled features; a feature without train values adds nothing
+cte(
+    "vectors",
+    f"with wide as materialized (select t.*, {', '.join('n.' + f for f in _ALL if f.startswith('ns_'))} from tagged t left join ns_feat n on n.curve_date = t.treasury_observation_date where forward_return_5 is not null), long as ("
+    + " union all ".join(f"select fold, role, symbol, market_date, {i} as i, {f}::double as x from wide" for i, f in enumerate(_ALL))
+    + """), middle as (select fold, i, median(x) as med from long where role = 'train' group by 1, 2),
+    spread as (select fold, i, med, avg(coalesce(x, med)) as mean, stddev_pop(coalesce(x, med)) as deviation from long join middle using (fold, i) where role = 'train' group by 1, 2, 3)
+    select fold, role, symbol, market_date, forward_return_5 as y, target_up_5d as up, v from (
+    select fold, role, symbol, market_date, list(coalesce((coalesce(x, med) - mean) / case when deviation = 0 then 1 else deviation end, 0) order by i) as v
+    from long join spread using (fold, i) group by 1, 2, 3, 4) join tagged using (fold, role, symbol, market_date)""",
+    "tagged",
+    "ns_feat",
+)
+cte(
+    "ridge_fits",
+    f"""with level as (select fold, avg(y) as mean from vectors where role = 'train' group by 1),
+    grams as (select fold, i, j, sum(v[i] * v[j]) as s from vectors, range(1, {len(_ALL) + 1}) a(i), range(1, {len(_ALL) + 1}) b(j) where role = 'train' group by 1, 2, 3),
+    pulls as (select fold, i, sum(v[i] * (y - mean)) as s from vectors join level using (fold), range(1, {len(_ALL) + 1}) a(i) where role = 'train' group by 1, 2),
+    cells as (
+      select fold, model, a.k as i, b.k as j, s + case when a.k = b.k then 1.0 else 0.0 end as s from (select *, unnest(range(1, len(places) + 1)) as k from {_models(RIDGE_MODELS)}) a
+      join (select model as other, places as p, unnest(range(1, len(places) + 1)) as k from {_models(RIDGE_MODELS)}) b on b.other = a.model
+      join grams g on g.i = a.places[a.k] and g.j = b.p[b.k]
+      union all
+      select fold, model, k, len(places) + 1, s from (select *, unnest(range(1, len(places) + 1)) as k from {_models(RIDGE_MODELS)}) a join pulls p on p.i = a.places[a.k]),
+    systems as (select fold, model, list(r order by i) as m from (select fold, model, i, list(s order by j) as r from cells group by 1, 2, 3) group by 1, 2)
+    select fold, model, places, mean, list_transform({_eliminated("m", "len(m)")}, lambda r: r[-1]) as w from systems join level using (fold) join {_models(RIDGE_MODELS)} using (model)""",
+    "vectors",
+)
+cte(
+    "ridge_preds",
+    """select fold, model, y, mean + list_inner_product(w, list_select(v, places)) as p from vectors join ridge_fits using (fold) where role = 'validation'
+    union all select fold, 'naive_mean', y, mean from vectors join (select distinct fold, mean from ridge_fits) using (fold) where role = 'validation'
+    union all select fold, 'zero_return', y, 0.0 from vectors where role = 'validation'""",
+    "vectors",
+    "ridge_fits",
+)
+_TRAINED = "(select fold, count(*) as train_rows, round(avg(up), 6) + 0.0 as train_up_rate from vectors where role = 'train' group by 1)"
+ask(
+    "m04_ridge_walk_forward",
+    f"""select * from {_TRAINED} join (select fold, model, count(*) as validation_rows, round(avg(abs(y - p)), 6) + 0.0 as mae, round(sqrt(avg((y - p) * (y - p))), 6) + 0.0 as rmse,
+    round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) + 0.0 as r2,
+    round(case when max(abs(p)) > 0 then avg(case when sign(y) = sign(p) then 1.0 else 0.0 end) end, 6) + 0.0 as directional_accuracy from ridge_preds group by 1, 2) using (fold)""",
+    "ridge_preds",
+    "vectors",
+)
+# Newton's method: cells of the Hessian and, in one more column, of the slope; the intercept is not penalised
+_STEPS = 10
+cte(
+    "newton",
+    f"""select 0 as step, fold, model, places, list_transform(range(0, len(places) + 1), lambda i: 0.0::double) as w
+    from (select distinct fold from vectors), {_models(LOGISTIC_MODELS)}
+    union all
+    select any_value(step) + 1, fold, model, places, list_transform(w, lambda x, i: x + moves[i]) from (
+      select step, fold, model, places, w, list_transform({_eliminated("list(r order by i)", "len(places) + 1")}, lambda r: r[-1]) as moves from (
+        select step, fold, model, places, w, i, list(s order by j) as r from (
+          select step, fold, model, places, w, i, j,
+            sum(case when j <= len(x) then p * (1 - p) * x[i] * x[j] else (up - p) * x[i] end)
+            + case when i = 1 then 0 when i = j then 1 when j = len(places) + 2 then -w[i] else 0 end as s
+          from (
+            select *, unnest(range(1, len(x) + 2)) as j from (
+              select *, unnest(range(1, len(x) + 1)) as i from (
+                select *, 1 / (1 + exp(-list_inner_product(w, x))) as p from (
+                  select step, n.fold, model, places, w, up, list_concat([1.0::double], list_select(v, places)) as x
+                  from newton n join vectors t on t.fold = n.fold where role = 'train' and step < {_STEPS}))))
+          group by step, fold, model, places, w, i, j)
+        group by step, fold, model, places, w, i)
+      group by step, fold, model, places, w)
+    group by fold, model, places, w, moves""",
+    "vectors",
+)
+cte(
+    "logistic_preds",
+    f"""select symbol, market_date, fold, up as actual_up, y as forward_return_5, model, 1 / (1 + exp(-list_inner_product(w, list_concat([1.0::double], list_select(v, places))))) as probability
+    from vectors join (select * from newton where step = {_STEPS}) using (fold) where role = 'validation'
+    union all select symbol, market_date, fold, up, y, 'base_rate', rate from vectors
+    join (select fold, avg(up) as rate from vectors where role = 'train' group by 1) using (fold) where role = 'validation'""",
+    "vectors",
+    "newton",
+)
+_SHOWN = {"base_rate": "base_probability", **{m: m.replace("_logistic", "_probability") for m in LOGISTIC_MODELS}}
+ask(
+    "m05_logistic_predictions",
+    f"""select symbol, market_date, fold, any_value(actual_up) as actual_up, round(any_value(forward_return_5), 4) + 0.0 as forward_return_5,
+    {", ".join(f"round(any_value(probability) filter (model = '{m}'), 4) + 0.0 as {c}" for m, c in _SHOWN.items())} from logistic_preds group by 1, 2, 3""",
+    "logistic_preds",
+)
+_METRICS = ("validation_up_rate", "brier_score", "log_loss", "accuracy", "balanced_accuracy", "roc_auc")
+ask(
+    "m07_logistic_walk_forward",
+    f"""select fold, model, validation_rows, {fl(*_METRICS, digits=4)}, train_rows, round(train_up_rate, 4) + 0.0 as train_up_rate
+    from ({_CLASS.replace("from preds)", "from logistic_preds)")}) join (select fold, count(*) as train_rows, avg(up) as train_up_rate from vectors where role = 'train' group by 1) using (fold)""",
+    "logistic_preds",
+    "vectors",
+)
+ask(
+    "m08_model_quintiles",
+    f"""select model, probability_bucket, count(*) as observations, {", ".join(f"round({e}, 4) + 0.0 as {c}" for c, e in (
+        ("mean_predicted_probability", "avg(probability)"), ("actual_positive_rate", "avg(actual_up)"),
+        ("mean_forward_return_5", "avg(forward_return_5)"), ("median_forward_return_5", "median(forward_return_5)")))}
+    from ({_quintiles("model").replace("from preds", "from logistic_preds")}) group by 1, 2""",
+    "logistic_preds",
+)
+_INFLATED = ["return_5d", "rsi_14", "volatility_20d", "relative_volume", "distance_from_20d_high", "yield_10y", "yield_30y", "curve_10y_2y_bp"]
+ask(
+    "e12_variance_inflation",
+    f"""select {_INFLATED}[i] as feature, round(m[i][{len(_INFLATED)} + i], 6) + 0.0 as vif from (
+    select {_eliminated("m", str(len(_INFLATED)))} as m from (select list(r order by i) as m from (
+    select i, list(c order by j) as r from (
+    select i, j, corr(v[i], v[j]) as c from (select [{", ".join(f"{f}::double" for f in _INFLATED)}] as v from panel_feat where {" and ".join(f"{f} is not null" for f in _INFLATED)}),
+    range(1, {len(_INFLATED) + 1}) a(i), range(1, {len(_INFLATED) + 1}) b(j) group by 1, 2
+    union all select i, {len(_INFLATED)} + j, case when i = j then 1.0 else 0.0 end from range(1, {len(_INFLATED) + 1}) a(i), range(1, {len(_INFLATED) + 1}) b(j))
+    group by 1))), range(1, {len(_INFLATED) + 1}) a(i)""",
+    "panel_feat",
+)
 # three columns: 1 / (1 - R2) with R2 from the three correlations
 ask(
     "e12_variance_inflation_yields",
