@@ -1282,9 +1282,10 @@ cte(
     f"""select 0 as step, fold, model, places, list_transform(range(0, len(places) + 1), lambda i: 0.0::double) as w
     from (select distinct fold from vectors), {_models(LOGISTIC_MODELS)}
     union all
-    select any_value(step) + 1, fold, model, places, list_transform(w, lambda x, i: x + moves[i]) from (
-      select step, fold, model, places, w, list_transform({_eliminated("list(r order by i)", "len(places) + 1")}, lambda r: r[-1]) as moves from (
-        select step, fold, model, places, w, i, list(s order by j) as r from (
+    select step + 1, fold, model, places, list_transform(w, lambda x, i: x + moves[i]) from (
+      select *, list_transform({_eliminated("m", "len(places) + 1")}, lambda r: r[-1]) as moves from (
+        select step, fold, model, places, w, list(r order by i) as m from (
+         select step, fold, model, places, w, i, list(s order by j) as r from (
           select step, fold, model, places, w, i, j,
             sum(case when j <= len(x) then p * (1 - p) * x[i] * x[j] else (up - p) * x[i] end)
             + case when i = 1 then 0 when i = j then 1 when j = len(places) + 2 then -w[i] else 0 end as s
@@ -1295,9 +1296,8 @@ cte(
                   select step, n.fold, model, places, w, up, list_concat([1.0::double], list_select(v, places)) as x
                   from newton n join vectors t on t.fold = n.fold where role = 'train' and step < {_STEPS}))))
           group by step, fold, model, places, w, i, j)
-        group by step, fold, model, places, w, i)
-      group by step, fold, model, places, w)
-    group by fold, model, places, w, moves""",
+         group by step, fold, model, places, w, i)
+        group by step, fold, model, places, w))""",
     "vectors",
 )
 cte(
