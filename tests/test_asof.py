@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from helpers import close_enough, curve_frame, day, days, pandas_sorted
 from pyspark.sql import functions as F
 
@@ -34,16 +35,16 @@ def macro(spark, rows):
 
 
 def test_same_day_release_keeps_newest_reference_and_skips_nulls(spark):
-    prepared = macro(spark, [("2025-11-01", 158449.0, "2025-12-16"), ("2025-10-01", 158300.0, "2025-12-16"),
-                             ("2025-12-01", None, "2025-12-17"), ("2025-09-01", 158000.0, "2025-11-20")])
-    bars = market(spark, "2025-11-19", "2025-11-20", "2025-12-15", "2025-12-16", "2025-12-18")
+    prepared = macro(spark, [("2014-05-01", 72.5, "2014-07-09"), ("2014-04-01", 71.0, "2014-07-09"),
+                             ("2014-06-01", None, "2014-07-10"), ("2014-03-01", 70.25, "2014-06-03")])
+    bars = market(spark, "2014-06-02", "2014-06-03", "2014-07-08", "2014-07-09", "2014-07-14")
     got = pandas_sorted(asof.attach_macro_series(bars, prepared, "payrolls"), "symbol", "market_date")[:5]
-    assert got.payrolls.fillna(-1).tolist() == [-1, 158000, 158000, 158449, 158449]
-    assert got.payrolls_reference_date[3] == day("2025-11-01")
-    assert got.payrolls_data_age_days[1:].tolist() == [0, 25, 0, 2]
+    assert got.payrolls.fillna(-1).tolist() == [-1, 70.25, 70.25, 72.5, 72.5]
+    assert got.payrolls_reference_date[3] == day("2014-05-01")
+    assert got.payrolls_data_age_days[1:].tolist() == [0, 35, 0, 5]
     family = pandas_sorted(asof.attach_macro_family(bars, prepared, ["payrolls", "absent"]), "symbol", "market_date")[:5]
     assert family.payrolls.fillna(-1).tolist() == got.payrolls.fillna(-1).tolist()
-    assert family.payrolls_data_age_days[1:].tolist() == [0, 25, 0, 2]
+    assert family.payrolls_data_age_days[1:].tolist() == [0, 35, 0, 5]
     assert family.absent.isna().all()
 
 
@@ -92,3 +93,24 @@ def test_keyed_ties_take_the_greatest(spark):
     left = spark.createDataFrame([("a", day("2024-01-05"))], "symbol string, market_date date")
     right = spark.createDataFrame([("a", day("2024-01-03"), 1, "old"), ("a", day("2024-01-03"), 2, "new")], "symbol string, at date, seq int, v string")
     assert asof.join_by_key(left, right, ["symbol"], "market_date", "at", ["v"], tie="seq").first().v == "new"
+
+
+def test_contracts_raise_in_the_plan_that_joins(spark):
+    """Duplicate curve, release and reference dates and late availability fail the query that would use them."""
+    bars = market(spark, "2014-06-02", "2014-06-09")
+    twice = spark.createDataFrame([(day("2014-06-01"), 1.0), (day("2014-06-01"), 1.0)], "curve_date date, yield_2y double")
+    with pytest.raises(Exception, match="the curve has several rows of one curve_date: 2014-06-01"):
+        asof.attach_curve(bars, twice).collect()
+    events = spark.createDataFrame([(day("2014-06-03"), 1.0), (day("2014-06-03"), 2.0)], "event_release_date date, payroll_level double")
+    with pytest.raises(Exception, match="the release events has several rows"):
+        asof.attach_events(bars, events).collect()
+    again = macro(spark, [("2014-04-01", 1.0, "2014-06-03"), ("2014-04-01", 2.0, "2014-06-05")])
+    early = macro(spark, [("2014-06-04", 1.0, "2014-06-03")])
+    for join in (lambda m: asof.attach_macro_series(bars, m, "payrolls"), lambda m: asof.attach_macro_family(bars, m, ["payrolls"])):
+        with pytest.raises(Exception, match="several rows of one key"):
+            join(again).collect()
+        with pytest.raises(Exception, match="available before its reference date: 2014-06-04 2014-06-03"):
+            join(early).collect()
+    # a null observation carries no information: neither rule looks at it
+    hollow = macro(spark, [("2014-04-01", 1.0, "2014-06-03"), ("2014-04-01", None, "2014-06-05"), ("2014-06-04", None, "2014-06-03")])
+    assert asof.attach_macro_series(bars, hollow, "payrolls").filter("payrolls = 1").count() > 0

@@ -126,13 +126,13 @@ def test_event_features_equal_brute_force(spark, folder):
 
 def test_prior_only_zscores(spark):
     rows = [("s", day(f"2022-0{i}-01"), c, r, b) for i, c, r, b in
-            [(1, 100.0, 10.0, 0), (2, 200.0, 20.0, 0), (3, 300.0, 1000.0, 1), (4, 400.0, 30.0, 0)]]
+            [(1, 35.0, -4.0, 0), (2, 62.0, 9.0, 0), (3, 41.0, 555.0, 1), (4, 80.0, 14.5, 0)]]
     data = spark.createDataFrame(rows, "series_name string, event_release_date date, payroll_change_1m double, payroll_revision_total double, payroll_broad_revision_event int")
     got = pandas_sorted(payroll.with_zscores(data, 2), "event_release_date")
     assert got.payroll_change_z[:2].isna().all()
-    assert got.payroll_change_z[2] == pytest.approx((300 - 150) / np.std([100, 200], ddof=1))
+    assert got.payroll_change_z[2] == pytest.approx((41 - 48.5) / np.std([35, 62], ddof=1))
     assert pd.isna(got.payroll_revision_z[2])
-    assert got.payroll_revision_z[3] == pytest.approx(2.1213203435596424)
+    assert got.payroll_revision_z[3] == pytest.approx((14.5 - 2.5) / np.std([-4, 9], ddof=1))
     with pytest.raises(checks.DataCheckError):
         payroll.with_zscores(data, 1)
     flat = data.withColumn("payroll_change_1m", F.lit(5.0))

@@ -1,10 +1,15 @@
-"""Backward as-of joins: the latest right row at or before each left row."""
+"""Backward as-of joins: the latest right row at or before each left row.
+
+Joins of market, macro and event tables fail closed: rows that break the contract of
+the right side, or that would be seen before they were available, raise in the very
+plan that joins them, without a pass of their own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel
@@ -12,10 +17,34 @@ from tidemark.operators import panel
 HIT = "_hit"
 
 
-def _latest_per_date(right: DataFrame, by: list[str], right_on: str, payload: list[str], tie: str | None) -> DataFrame:
-    """One right row per (by, date): the one with the greatest ``tie``, then the greatest payload."""
+def _latest_per_date(
+    right: DataFrame, by: list[str], right_on: str, payload: list[str], tie: str | None, unique: str | None = None
+) -> DataFrame:
+    """One right row per (by, date): the one with the greatest ``tie``, then the greatest payload.
+
+    With ``unique``, the name of the table, a second row of one (by, date) raises.
+    """
     packed = F.struct(F.col(right_on), *[F.col(c) for c in payload if c != right_on])
-    return right.groupBy(*by, right_on).agg(F.max_by(packed, F.struct(F.col(tie or right_on), packed)).alias(HIT))
+    best = F.max_by(packed, F.struct(F.col(tie or right_on), packed))
+    if unique is None:
+        return right.groupBy(*by, right_on).agg(best.alias(HIT))
+    grouped = right.groupBy(*by, right_on).agg(best.alias("_best"), F.count(F.lit(1)).alias("_copies"))
+    hit = raised_where(F.col("_copies") > 1, F.col("_best"), f"{unique} has several rows of one {right_on}:", *by, right_on)
+    return grouped.select(*by, right_on, hit.alias(HIT))
+
+
+def raised_where(broken: Column, value: Column, message: str, *shown: str) -> Column:
+    """``value``, but an error naming ``shown`` where ``broken`` holds."""
+    text = F.concat_ws(" ", F.lit(message), *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in shown])
+    return F.when(broken, F.raise_error(text)).otherwise(value)
+
+
+def unique_keys(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, raising on a key that occurs twice; the count is a window over the key, in the same plan."""
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    counted = df.withColumn("_copies", copies)
+    first = raised_where(F.col("_copies") > 1, F.col(keys[-1]), f"{what} has several rows of one key:", *keys)
+    return counted.withColumn(keys[-1], first).drop("_copies")
 
 
 def dates_asof(
@@ -26,6 +55,7 @@ def dates_asof(
     payload: Sequence[str],
     by: Sequence[str] = (),
     tie: str | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
     """For every date of ``days`` the latest right row, packed in ``_hit``.
 
@@ -36,7 +66,7 @@ def dates_asof(
     wanted = days.select(day).distinct()
     if by:
         wanted = wanted.crossJoin(F.broadcast(right.select(*by).distinct()))
-    latest = _latest_per_date(right.filter(F.col(right_on).isNotNull()), by, right_on, list(payload), tie)
+    latest = _latest_per_date(right.filter(F.col(right_on).isNotNull()), by, right_on, list(payload), tie, unique)
     none = F.lit(None).cast(latest.schema[HIT].dataType)
     marks = wanted.select(*by, day, none.alias(HIT), F.lit(1).alias("_side")).unionByName(
         latest.select(*by, F.col(right_on).alias(day), HIT, F.lit(0).alias("_side"))
@@ -56,18 +86,19 @@ def join_by_calendar(
     right_on: str,
     payload: Sequence[str],
     tie: str | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
     """As-of join of a date-keyed table without a further key onto every left row.
 
     The as-of question is answered once per distinct date; left rows then meet
-    the answer in an equi-join on the date, whose right side has one row per
-    calendar date.
+    calendar date. A row that sees a later date than its own raises; with ``unique``,
+    the right table's name, so does a date of several right rows.
     """
-    answers = dates_asof(left.select(left_on), left_on, right, right_on, payload, tie=tie)
-    names = [right_on, *[c for c in payload if c != right_on]]
-    return left.join(answers, left_on, "left").select(
-        *left.columns, *[F.col(f"{HIT}.{c}").alias(c) for c in names]
-    )
+    answers = dates_asof(left.select(left_on), left_on, right, right_on, payload, tie=tie, unique=unique)
+    names = [c for c in payload if c != right_on]
+    met = left.join(answers, left_on, "left").select(*left.columns, F.col(f"{HIT}.{right_on}").alias(right_on), *[F.col(f"{HIT}.{c}").alias(c) for c in names])
+    early = raised_where(F.col(right_on) > F.col(left_on), F.col(right_on), "information from the future:", left_on, right_on)
+    return met.withColumn(right_on, early)
 
 
 def join_by_key(
@@ -131,16 +162,22 @@ def join_by_key(
 
 
 def attach_curve(bars: DataFrame, features: DataFrame, day: str = "market_date", curve_day: str = "curve_date") -> DataFrame:
-    """Latest curve row at or before each bar date, with its date and age in days."""
+    """Latest curve row at or before each bar date, with its date and age in days.
+
+    The curve has one row a date: a second one raises when the result is read.
+    """
     payload = [c for c in features.columns if c not in bars.columns]
-    joined = join_by_calendar(bars, features, day, curve_day, payload)
+    joined = join_by_calendar(bars, features, day, curve_day, payload, unique="the curve")
     return joined.withColumnRenamed(curve_day, "treasury_observation_date").withColumn(
         "treasury_data_age_days", F.datediff(day, "treasury_observation_date")
     )
 
 
 def macro_columns(series: str, prepared: DataFrame) -> DataFrame:
-    """Merge-safe names for one prepared series; null observations carry no information."""
+    """Merge-safe names for one prepared series; null observations carry no information.
+
+    A value available before its own reference date raises when it is read.
+    """
     renames = {
         "value": series,
         "reference_date": f"{series}_reference_date",
@@ -149,14 +186,22 @@ def macro_columns(series: str, prepared: DataFrame) -> DataFrame:
         "release_timezone": f"{series}_release_timezone",
         "market_date_available": f"{series}_market_date_available",
     }
-    return prepared.filter(F.col("value").isNotNull()).select(
-        *[F.col(c).alias(renames[c]) for c in renames if c in prepared.columns]
-    )
+    known = _available_in_order(prepared.filter(F.col("value").isNotNull()))
+    return known.select(*[F.col(c).alias(renames[c]) for c in renames if c in prepared.columns])
+
+
+def _available_in_order(prepared: DataFrame) -> DataFrame:
+    broken = F.col("market_date_available") < F.col("reference_date")
+    available = raised_where(broken, F.col("market_date_available"), "available before its reference date:", "reference_date", "market_date_available")
+    return prepared.withColumn("market_date_available", available)
 
 
 def attach_macro_series(market: DataFrame, prepared: DataFrame, series: str, day: str = "market_date") -> DataFrame:
-    """One macro series as known on each market date; same-day ties keep the newest reference."""
-    named = macro_columns(series, prepared)
+    """One macro series as known on each market date; same-day ties keep the newest reference.
+
+    Two observations of one reference date raise when the result is read.
+    """
+    named = macro_columns(series, unique_keys(prepared.filter(F.col("value").isNotNull()), ["reference_date"], series))
     available = f"{series}_market_date_available"
     joined = join_by_calendar(market, named, day, available, named.columns, tie=f"{series}_reference_date")
     return joined.withColumn(f"{series}_data_age_days", F.datediff(day, available))
@@ -165,13 +210,17 @@ def attach_macro_series(market: DataFrame, prepared: DataFrame, series: str, day
 def attach_macro_family(
     market: DataFrame, prepared: DataFrame, series: Sequence[str], day: str = "market_date"
 ) -> DataFrame:
-    """Many series at once: one as-of pass over (series, date), one pivot, one join."""
+    """Many series at once: one as-of pass over (series, date), one pivot, one join.
+
+    Two observations of one series and reference date raise when the result is read.
+    """
     fields = [
         c
         for c in ("value", "reference_date", "release_date", "release_time", "release_timezone")
         if c in prepared.columns
     ]
-    known = prepared.filter(F.col("value").isNotNull() & F.col("series_name").isin(list(series)))
+    wanted = prepared.filter(F.col("value").isNotNull() & F.col("series_name").isin(list(series)))
+    known = _available_in_order(unique_keys(wanted, ["series_name", "reference_date"], "a macro table"))
     answers = dates_asof(
         market.select(day), day, known, "market_date_available", fields, by=["series_name"], tie="reference_date"
     )
@@ -193,9 +242,12 @@ def attach_macro_family(
 
 
 def attach_events(market: DataFrame, events: DataFrame, day: str = "market_date", release: str = "event_release_date") -> DataFrame:
-    """Latest release event at or before each market date, days since it, release-day flag."""
+    """Latest release event at or before each market date, days since it, release-day flag.
+
+    A release date has one event: a second one raises when the result is read.
+    """
     payload = [c for c in events.columns if c not in market.columns]
-    joined = join_by_calendar(market, events, day, release, payload)
+    joined = join_by_calendar(market, events, day, release, payload, unique="the release events")
     return joined.select(
         "*",
         F.datediff(day, release).alias("days_since_payroll_release"),

@@ -1276,28 +1276,28 @@ ask(
     "vectors",
 )
 # Newton's method: cells of the Hessian and, in one more column, of the slope; the intercept is not penalised
-_STEPS = 10
+_STEPS = 8
 cte(
     "newton",
     f"""select 0 as step, fold, model, places, list_transform(range(0, len(places) + 1), lambda i: 0.0::double) as w
     from (select distinct fold from vectors), {_models(LOGISTIC_MODELS)}
     union all
     select step + 1, fold, model, places, list_transform(w, lambda x, i: x + moves[i]) from (
-      select *, list_transform({_eliminated("m", "len(places) + 1")}, lambda r: r[-1]) as moves from (
-        select step, fold, model, places, w, list(r order by i) as m from (
-         select step, fold, model, places, w, i, list(s order by j) as r from (
-          select step, fold, model, places, w, i, j,
-            sum(case when j <= len(x) then p * (1 - p) * x[i] * x[j] else (up - p) * x[i] end)
-            + case when i = 1 then 0 when i = j then 1 when j = len(places) + 2 then -w[i] else 0 end as s
-          from (
-            select *, unnest(range(1, len(x) + 2)) as j from (
-              select *, unnest(range(1, len(x) + 1)) as i from (
-                select *, 1 / (1 + exp(-list_inner_product(w, x))) as p from (
-                  select step, n.fold, model, places, w, up, list_concat([1.0::double], list_select(v, places)) as x
-                  from newton n join vectors t on t.fold = n.fold where role = 'train' and step < {_STEPS}))))
-          group by step, fold, model, places, w, i, j)
-         group by step, fold, model, places, w, i)
-        group by step, fold, model, places, w))""",
+      select step, fold, model, places, w, list_transform({_eliminated("m", "len(places) + 1")}, lambda r: r[-1]) as moves from (
+        select step, fold, model, places, w, list_transform(sums, lambda r, i: list_transform(r, lambda x, j:
+          x + case when i = 1 then 0 when i = j then 1 when j = len(places) + 2 then -w[i] else 0 end)) as m
+        from newton join (
+          select fold, model, list(r order by i) as sums from (
+            select fold, model, i, list(s order by j) as r from (
+              select fold, model, i, j, sum(case when j <= n then s * x_i * x[j] else d * x_i end) as s from (
+                select fold, model, i, n, s, d, x, x[i] as x_i, unnest(range(1, n + 2)) as j from (
+                  select fold, model, len(x) as n, p * (1 - p) as s, up - p as d, x, unnest(range(1, len(x) + 1)) as i from (
+                    select *, 1 / (1 + exp(-list_inner_product(w, x))) as p from (
+                      select n.fold, model, w, up, list_concat([1.0::double], list_select(v, places)) as x
+                      from newton n join vectors t on t.fold = n.fold where role = 'train' and step < {_STEPS}))))
+              group by fold, model, i, j)
+            group by fold, model, i)
+          group by fold, model) using (fold, model)))""",
     "vectors",
 )
 cte(

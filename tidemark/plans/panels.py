@@ -96,13 +96,13 @@ def rule_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def canonical(spark: SparkSession, folder: str) -> DataFrame:
     return vintage.attach_release_calendar(
-        views.vintages(spark, folder), views.release_calendar(spark, folder), enforce=False
+        views.vintages(spark, folder), views.release_calendar(spark, folder), enforce=True
     )
 
 
 def _event_history(spark: SparkSession, folder: str) -> DataFrame:
     return payroll.event_history(
-        views.vintages(spark, folder), views.event_calendar(spark, folder), enforce=False
+        views.vintages(spark, folder), views.event_calendar(spark, folder), enforce=True
     )
 
 
