@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from text_tables import prose, table
 from tokenizers import Tokenizer
 
-from tidemark.llm import alignment
+from tidemark.llm import alignment, common
 
 OPEN_A = partial(alignment.byte_level, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 OPEN_B = partial(alignment.pieces, public_tokenizers.path("piece_bpe_32k.model"))
@@ -29,7 +29,7 @@ def plain(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    names = alignment.byte_characters()
+    names = common.byte_characters()
     rows = []
     for text in texts:
         if not text:

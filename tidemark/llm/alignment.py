@@ -42,13 +42,6 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def byte_characters() -> dict[str, int]:
-    """The character a byte-level vocabulary writes for each byte: printable ones as they are, the rest from U+0100 on."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Coder:
     """A tokenizer as a function from texts to ids, and the bytes of each id.
 
@@ -70,7 +63,7 @@ def byte_level(path: str, pattern: str) -> Coder:
 
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
-    of = byte_characters()
+    of = c.byte_characters()
     ranks = {bytes(of[ch] for ch in token): number for token, number in model["vocab"].items()}
     made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if any(x >= y for x, y in zip(made, made[1:])) or sorted(ranks.values()) != list(range(len(ranks))):

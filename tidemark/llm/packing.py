@@ -11,7 +11,9 @@ within the parts and one sum a part place every token.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -46,18 +48,24 @@ class WordCoder:
 
     Words are cut at ASCII white space and each distinct one is encoded once: the
     vocabulary's own normaliser and patterns look at no character beyond it. ``encode``
-    gives, for each text, its ids and the character each of them begins at.
+    gives, for each text, its ids and the character each of them begins at; ``plain``
+    gives the ids of one word, or None where the word is not for it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[list[int], list[int]]]], size: int, end: int):
-        self.encode, self.size = encode, size
+    def __init__(self, encode: Callable[[list[str]], list[tuple[list[int], list[int]]]], size: int, end: int, plain: Callable[[str], list[int] | None] = lambda w: None):
+        self.encode, self.size, self.plain = encode, size, plain
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
 
     def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word; many words are encoded as one text and told apart by where the ids begin."""
-        found = {}
+        found, coded = {}, [self.plain(w.decode()) for w in new]
+        sizes = np.cumsum([len(ids) if ids else 0 for ids in coded]) * np.dtype(self.kind).itemsize
+        raw = np.fromiter(chain.from_iterable(ids for ids in coded if ids), self.kind).tobytes()
+        ends = sizes.tolist()
+        found = {w: raw[i:j] for w, ids, i, j in zip(new, coded, [0, *ends], ends) if ids is not None}
+        new = [w for w, ids in zip(new, coded) if ids is None]
         groups = [new[i : i + CALL_WORDS] for i in range(0, len(new), CALL_WORDS)]
         texts = [[w.decode() for w in group] for group in groups]
         for group, words, (ids, begins) in zip(groups, texts, self.encode([" ".join(words) for words in texts])):
@@ -86,17 +94,48 @@ class WordCoder:
         return out
 
 
+#: Latin words without combining characters: composing them changes nothing, and lower case is letter by letter.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+
 def word_coder(path: str, end: int = 1) -> WordCoder:
-    """Coder of a ``tokenizers`` file with word ends; strings of its special tokens are those tokens, as by default."""
+    """Coder of a ``tokenizers`` file with word ends; strings of its special tokens are those tokens, as by default.
+
+    Latin words are encoded by ranks with the faster library: the file's merges make ids in
+    ascending order, and a byte that no text has marks the end of a word. All other
+    words, and those with a special token in them, go to the file's own library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
+    import tiktoken
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    vocabulary, suffix = known["model"]["vocab"], known["model"]["end_of_word_suffix"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in known["model"]["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        raise ValueError(f"the merges of {path} don't make ids in ascending order")
+    of, mark = c.byte_characters(), b"\xff"
+    ranks = {bytes(of[ch] for ch in t.removesuffix(suffix)) + (mark if t.endswith(suffix) else b""): number for t, number in vocabulary.items()}
+    by_rank = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    split = regex.compile(known["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+    special = [t["content"] for t in known["added_tokens"]]
+
+    def plain(word: str) -> list[int] | None:
+        if not _LATIN.fullmatch(word) or "<" in word and any(t in word for t in special):
+            return None
+        word = word.lower()
+        if word.isalpha():
+            return by_rank(word.encode() + mark)
+        return [i for part in split(word) for i in by_rank(part.encode() + mark)]
+
     tokenizer = Tokenizer.from_file(path)
 
     def encode(texts: list[str]) -> list[tuple[list[int], list[int]]]:
         return [(e.ids, [begin for begin, _ in e.offsets]) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    return WordCoder(encode, max(tokenizer.get_vocab_size(), end + 1), end)
+    return WordCoder(encode, max(tokenizer.get_vocab_size(), end + 1), end, plain)
 
 
 def projection(size: int, axes: int = AXES, buckets: int = BUCKETS) -> np.ndarray:
