@@ -55,12 +55,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 _written: dict[tuple[str, str], str] = {}
 
 
-def materialize(df: DataFrame, key: str | None = None, partition: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, key: str | None = None, partition: str | None = None, files: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage at a point several branches read, survives executor loss
     and keeps column pruning. With ``key`` the table is reused by later plans
-    of the same application. With ``partition`` the table is partitioned by that column.
+    of the same application. With ``partition`` the table is partitioned by that column. ``files`` bounds
+    the files of a small table, so that what reads it has no more tasks than that.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
@@ -69,6 +70,8 @@ def materialize(df: DataFrame, key: str | None = None, partition: str | None = N
         if known and _exists(spark, f"{known}/_SUCCESS"):
             return spark.read.parquet(known)
     path = f"{shared_folder(spark)}/tidemark/{app}/{uuid.uuid4().hex}"
+    if files is not None:
+        df = df.coalesce(files)
     if partition is not None:
         # adaptive execution merges small and splits large partitions of this exchange
         df = df.select(*[c for c in df.columns if c != partition], partition).hint("rebalance", partition)
