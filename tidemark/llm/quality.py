@@ -181,7 +181,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     middle = _quantile(cells, ["group", "stat"], 0.5, "middle")
     centre = materialize(middle.groupBy("group").pivot("stat", list(range(len(_STATS)))).agg(F.first("middle")).select(
         "group", *[((F.col(str(i)) + 0.5) * 50 / UNIT).alias(f"m{i}") for i in range(len(_STATS))]
-    ))
+    ), files=1)
     met = rows.join(centre, "group")
     spread = met.select("group", F.posexplode(F.array(*[F.floor(F.abs(F.col(x) - F.col(f"m{i}") * UNIT) / 25) for i, x in enumerate(_STATS)])).alias("stat", "cell"))
     mad = _quantile(spread, ["group", "stat"], 0.5, "middle").groupBy("group").pivot("stat", list(range(len(_STATS)))).agg(F.first("middle"))
@@ -193,16 +193,16 @@ def estimates(vectors: DataFrame) -> DataFrame:
             for i in k for j in range(i + 1)
         ],
     )
-    fit = materialize(start)
+    fit = materialize(start, files=1)
     for _ in range(STEPS):
         placed = rows.join(fit, "group").withColumn("d", _distance("m", "l"))
-        cut = materialize(_quantile(placed.select("group", _cell(F.col("d"))), ["group"], SUPPORT, "edge"))
+        cut = materialize(_quantile(placed.select("group", _cell(F.col("d"))), ["group"], SUPPORT, "edge"), files=1)
         near = placed.join(cut, "group").where(_cell(F.col("d")) <= F.col("edge"))
-        fit = materialize(_fit(near))
+        fit = materialize(_fit(near), files=1)
     placed = rows.join(fit, "group").select("group", _cell(_distance("m", "l")))
     middle = _quantile(placed, ["group"], 0.5, "edge").join(placed.groupBy("group").agg(F.count(F.lit(1)).alias("rows")), "group")
     scaled = middle.select(F.col("group").alias("of"), "rows", F.greatest(F.expm1((F.col("edge") + 0.5) / 200) / MEDIAN_CHI2, F.lit(1.0)).alias("scale"))
-    return materialize(fit.join(scaled, fit["group"] == scaled["of"]).drop("of"))
+    return materialize(fit.join(scaled, fit["group"] == scaled["of"]).drop("of"), files=1)
 
 
 def _inverse_column(s: int) -> list[Column]:
@@ -228,7 +228,7 @@ def _judged(counted: DataFrame, p: str, lang: str, source: str) -> DataFrame:
     """``counted`` with {p}base_failed, {p}distance and {p}kept."""
     failed = counted.withColumn(f"{p}base_failed", base_failed(p))
     good = failed.where(~F.col(f"{p}base_failed"))
-    fits = materialize(_noise_terms(estimates(good.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *_vector(p)))))
+    fits = materialize(_noise_terms(estimates(good.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *_vector(p)))), files=1)
     level = F.get_json_object("group", "$.level")
     table = {}
     for n in range(3):
