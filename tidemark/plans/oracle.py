@@ -25,9 +25,10 @@ from tidemark.functions.catalog import (
     YIELDS,
     series_registry,
 )
-from tidemark.operators.curve import SLOPE_LEGS, nelson_siegel_loadings
 
 TARGETS = [f"forward_return_{h}" for h in HORIZONS]
+# Written out here, not taken from the operators under test.
+SLOPE_LEGS = (("10y", "2y"), ("30y", "2y"), ("30y", "5y"), ("30y", "10y"))
 
 
 def fl(*names: str, digits: int = 6) -> str:
@@ -196,7 +197,10 @@ _vols = {
     "curve_curvature_volatility_20d": "curve_curvature_change_1d_bp",
 }
 cte("curve_feat", f"select *, {', '.join(f'{_croll(c)} as {o}' for o, c in _vols.items())} from curve_moves", "curve_moves")
-_L = nelson_siegel_loadings()
+# decay 0.0609 a month, maturities in years
+_Z = np.array([0.25, 0.5, 1, 2, 3, 5, 7, 10, 20, 30]) * 12 * 0.0609
+_HUMP = (1 - np.exp(-_Z)) / _Z
+_L = np.column_stack([np.ones(10), _HUMP, _HUMP - np.exp(-_Z)])
 _P = np.linalg.solve(_L.T @ _L, _L.T)
 _beta = [
     " + ".join(f"({float(_P[i, j])!r}::double) * {y}" for j, y in enumerate(YIELDS)) + f" as {NS_FACTORS[i]}" for i in range(3)
