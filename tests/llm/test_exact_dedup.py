@@ -41,6 +41,14 @@ def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(doc_id) for doc_id, _ in best)
 
 
+def test_drop_copies_carries_columns_named_like_its_own(spark):
+    rows = [(1, "a b", "x", 7), (1, "a  b", "y", 8), (1, "a  b", "y", 8), (2, "ab", "z", 9), (None, "c", "n", 1), (None, "c", "n", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, turn int")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a  b", "y", 8), (None, "c", "n", 1)]
+
+
 def test_empty(spark):
     docs = table(spark, [])
     assert exact_dedup.exact_groups(docs).count() == 0

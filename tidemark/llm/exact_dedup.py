@@ -69,16 +69,23 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return by_map.select(columns).unionByName(by_shuffle.select(columns))
 
 
+def _row_of(key: Column, digest: Column) -> Column:
+    """One string for an id and a digest, a null id included: joins and windows share its partitioning."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-")), F.lit(" "), digest)
+
+
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, with the columns of ``docs``.
 
-    A row repeated in full (same id, same text) stays once.
+    A row repeated in full (same id, same text) stays once; of rows that share an id
+    and differ in white space only, the longest, then the first by text. Whole rows are
+    shuffled once, with their columns in a struct, so that no name clashes.
     """
     groups = exact_groups(docs, key, text)
-    keep = groups.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    winners = groups.where(F.col("id").eqNullSafe(F.col("keep_id")))
+    keep = winners.select(_row_of(F.col("id"), F.col("digest")).alias("row"))
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("__mark", digest_of(text))
-    kept = marked.join(keep, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__digest")), "left_semi")
-    longest = kept.withColumn("__length", F.length(body))
-    turn = F.row_number().over(Window.partitionBy(key, "__mark").orderBy(F.desc("__length")))
-    return longest.withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
+    marked = docs.select(F.struct("*").alias("whole"), _row_of(F.col(key), digest_of(text)).alias("row"), F.length(body).alias("length"))
+    order = [F.desc("length"), F.col("whole").getField(text)]
+    turn = F.row_number().over(Window.partitionBy("row").orderBy(*order))
+    return marked.join(keep, "row", "left_semi").withColumn("turn", turn).where("turn = 1").select("whole.*")
