@@ -119,6 +119,47 @@ def with_realized_volatility(bars: DataFrame, minutes: Sequence[int] = (15, 30,
     return squared.select(*bars.columns, *cells, ratio(F.col("high") - F.col("low"), "close").alias("range_pct"))
 
 
+def session_grid(
+    bars: DataFrame, legs: dict[str, str], value: str = "close", max_age: int = 30, ts: str = "bar_start", minutes: int = BAR_MINUTES
+) -> DataFrame:
+    """Regular slots of each session with the last known ``value`` of every leg (name -> symbol).
+
+    The slots run from the session's first to its last bar of any leg. A value is
+    carried within its session for at most ``max_age`` minutes and is NULL beyond.
+    One row per slot of a session, whatever the number of legs.
+    """
+    wide = (
+        bars.filter(F.col("symbol").isin(*legs.values()))
+        .groupBy("session_date", ts)
+        .agg(*[F.max(F.when(F.col("symbol") == symbol, F.col(value))).alias(leg) for leg, symbol in legs.items()])
+    )
+    slots = wide.groupBy("session_date").agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+    step = F.expr(f"interval {int(minutes)} minutes")
+    grid = slots.select("session_date", F.explode(F.sequence("_from", "_to", step)).alias(ts))
+    past = Window.partitionBy("session_date").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+
+    def fresh(leg: str) -> Column:
+        at = F.last(F.when(F.col(leg).isNotNull(), F.col(ts)), ignorenulls=True).over(past)
+        age = F.unix_timestamp(ts) - F.unix_timestamp(at)
+        return F.when(age <= max_age * 60, F.last(leg, ignorenulls=True).over(past)).alias(leg)
+
+    return grid.join(wide, ["session_date", ts], "left").select("session_date", ts, *[fresh(leg) for leg in legs])
+
+
+def with_yield_changes(
+    grid: DataFrame, legs: Sequence[str], spreads: dict[str, tuple[str, str]], changes: Sequence[int] = (5, 15, 30, 60), ts: str = "bar_start", minutes: int = BAR_MINUTES
+) -> DataFrame:
+    """Changes of each leg and spread (name -> short, long leg) over past minutes, in basis points.
+
+    ``grid`` is a `session_grid` of yields in percent: a change needs both of its slots fresh.
+    """
+    slots = Window.partitionBy("session_date").orderBy(ts)
+    with_spreads = grid.select("*", *[((F.col(b) - F.col(a)) * 100).alias(f"{name}_bp") for name, (a, b) in spreads.items()])
+    moved = [((F.col(leg) - F.lag(leg, m // minutes).over(slots)) * 100).alias(f"{leg}_chg_{m}m") for leg in legs for m in changes]
+    moved += [(F.col(f"{s}_bp") - F.lag(f"{s}_bp", m // minutes).over(slots)).alias(f"{s}_chg_{m}m") for s in spreads for m in changes]
+    return with_spreads.select("*", *moved)
+
+
 def with_surprise(releases: DataFrame, by: Sequence[str], order: str, min_history: int = 12) -> DataFrame:
     """Actual minus expected, in deviations of earlier surprises of the same release."""
     past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import change, ratio
 from tidemark.operators import linear
+from tidemark.operators.asof import raised_where
 
 
 def inversion_spells(curve: DataFrame, spread: str, order: str = "curve_date") -> DataFrame:
@@ -110,3 +111,52 @@ def forecast_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:
         .withColumn("realized_return", change("realized_close", "origin_close"))
         .withColumn("forecast_error", F.col("realized_return") - F.col("forecast_return"))
     )
+
+
+def fresh_legs(
+    dates: DataFrame, observations: DataFrame, legs: dict[str, tuple[str, int]],
+    on: str = "market_date", series: str = "series_name", order: str = "reference_date", value: str = "value",
+) -> DataFrame:
+    """Last observation of every leg (name -> series, age limit in days) on or before each date.
+
+    A leg older than its own limit is NULL; two observations of a series on one
+    date are an error. One row per distinct date: the window is bounded by the calendar.
+    """
+    names = {of for of, _ in legs.values()}
+    single = (
+        observations.filter(F.col(series).isin(*names) & F.col(value).isNotNull())
+        .groupBy(series, order)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v"))
+        .withColumn("_v", raised_where(F.col("_n") > 1, F.col("_v"), "two observations of a date:", series, order))
+    )
+    wide = single.groupBy(F.col(order).alias(on)).agg(*[F.max(F.when(F.col(series) == of, F.col("_v"))).alias(leg) for leg, (of, _) in legs.items()])
+    asked = dates.select(on).filter(F.col(on).isNotNull()).distinct().withColumn("_asked", F.lit(True))
+    past = Window.partitionBy().orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+
+    def fresh(leg: str, limit: int):
+        age = F.datediff(on, F.last(F.when(F.col(leg).isNotNull(), F.col(on)), ignorenulls=True).over(past))
+        return F.when(age <= limit, F.last(leg, ignorenulls=True).over(past)).alias(leg)
+
+    merged = asked.join(wide, on, "full")
+    return merged.select(on, "_asked", *[fresh(leg, limit) for leg, (_, limit) in legs.items()]).filter("_asked").drop("_asked")
+
+
+def inflation_compensation(legs: DataFrame, maturities: Sequence[int] = (5, 10), forwards: Sequence[tuple[int, int]] = ((5, 10),), on: str = "market_date") -> DataFrame:
+    """Nominal minus real yield of equal maturity, in percent, its change over five dates, and forward rates between maturities.
+
+    ``legs`` has nominal_{m}y and real_{m}y, NULL where they are not fresh. A forward
+    rate compounds: ((1 + c_b)^b / (1 + c_a)^a)^(1 / (b - a)) - 1; it is NULL where a base is not positive.
+    """
+    dates = Window.partitionBy().orderBy(on)  # one row per date: bounded by the calendar
+    out = legs.select("*", *[(F.col(f"nominal_{m}y") - F.col(f"real_{m}y")).alias(f"inflation_compensation_{m}y") for m in maturities])
+
+    def forward(a: int, b: int):
+        near, far = (1 + F.col(f"inflation_compensation_{m}y") / 100 for m in (a, b))
+        rate = F.pow(far, F.lit(b / (b - a))) / F.pow(near, F.lit(a / (b - a))) - 1
+        return F.when((near > 0) & (far > 0), rate * 100).alias(f"forward_{a}y{b - a}y")
+
+    moved = [
+        ((F.col(f"inflation_compensation_{m}y") - F.lag(f"inflation_compensation_{m}y", 5).over(dates)) * 100).alias(f"inflation_compensation_{m}y_change_5d_bp")
+        for m in maturities
+    ]
+    return out.select("*", *[forward(a, b) for a, b in forwards], *moved)

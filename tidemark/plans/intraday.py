@@ -79,6 +79,13 @@ def e06_realized_volatility(spark, d):
     return rounded(out.select(*BAR, "vol_15m", "vol_30m", "vol_60m", "range_pct"))
 
 
+def e06_yield_changes(spark, d):
+    """Two instruments of the ticks, read as yields on one grid of each session."""
+    legs = {"ust10y": "view", "ust30y": "signup"}
+    grid = intraday.session_grid(_session_bars(spark, d), legs, max_age=10)
+    return rounded(intraday.with_yield_changes(grid, list(legs), {"curve_10s30s": ("ust10y", "ust30y")}))
+
+
 def e07_macro_surprise(spark, d):
     """Published values against the event before as naive expectation."""
     events = panels.event_history(spark, d).select(
@@ -129,6 +136,15 @@ def e11_growth_rates(spark, d):
     return rounded(research.growth_rates(panels.observations(spark, d)))
 
 
+def e11_inflation_compensation(spark, d):
+    """Large ticks as sparsely published yields: the last of a day, each leg with its own age limit."""
+    day = F.to_date(F.col("ts").cast("timestamp"))
+    ticks = views.table(spark, d, "events").select(F.col("event_type").alias("series_name"), day.alias("reference_date"), "ts", "event_id", "value")
+    daily = ticks.filter("value > 200").groupBy("series_name", "reference_date").agg((F.max_by("value", F.struct("ts", "event_id")) / 100).alias("value"))
+    legs = {"nominal_5y": ("view", 2), "real_5y": ("click", 1), "nominal_10y": ("signup", 2), "real_10y": ("purchase", 1)}
+    return rounded(research.inflation_compensation(research.fresh_legs(ticks.select(F.col("reference_date").alias("market_date")), daily, legs)))
+
+
 def e12_variance_inflation(spark, d):
     names = [*SELECTED_TECHNICAL, "yield_10y", "yield_30y", "curve_10y_2y_bp"]
     return rounded(research.variance_inflation(panels.features(spark, d), names))

@@ -1145,6 +1145,28 @@ ask(
     + ")",
     "sess",
 )
+_YIELDS = {"ust10y": "view", "ust30y": "signup"}
+_MOVES = (5, 15, 30, 60)
+ask(
+    "e06_yield_changes",
+    "select * from (with slots as (select session_date, unnest(generate_series(min(bar_start), max(bar_start), interval 5 minutes)) as bar_start from sess where symbol in ('view', 'signup') group by 1), "
+    "filled as (select g.session_date, g.bar_start, "
+    + ", ".join(f"case when epoch(g.bar_start - {leg}.bar_start) <= 600 then {leg}.close end as {leg}" for leg in _YIELDS)
+    + " from slots g "
+    + " ".join(
+        f"asof left join (select * from sess where symbol = '{s}' and close is not null) {leg} on {leg}.session_date = g.session_date and g.bar_start >= {leg}.bar_start"
+        for leg, s in _YIELDS.items()
+    )
+    + "), spread as (select *, (ust30y - ust10y) * 100 as curve_10s30s_bp from filled) "
+    "select n.session_date, n.bar_start, round(n.ust10y, 6) + 0.0 as ust10y, round(n.ust30y, 6) + 0.0 as ust30y, round(n.curve_10s30s_bp, 6) + 0.0 as curve_10s30s_bp, "
+    + ", ".join(f"round((n.{leg} - b{m}.{leg}) * 100, 6) + 0.0 as {leg}_chg_{m}m" for leg in _YIELDS for m in _MOVES)
+    + ", "
+    + ", ".join(f"round(n.curve_10s30s_bp - b{m}.curve_10s30s_bp, 6) + 0.0 as curve_10s30s_chg_{m}m" for m in _MOVES)
+    + " from spread n "
+    + " ".join(f"left join spread b{m} on b{m}.session_date = n.session_date and b{m}.bar_start = n.bar_start - interval {m} minutes" for m in _MOVES)
+    + ")",
+    "sess",
+)
 _PAST = "(partition by series_name order by event_date rows between unbounded preceding and 1 preceding)"
 ask(
     "e07_macro_surprise",
@@ -1378,6 +1400,22 @@ ask(
     left join obs q on q.series_name = a.series_name and q.reference_date = a.reference_date - interval 3 months""",
     "obs",
 )
+_LEGS = {"nominal_5y": ("view", 2), "real_5y": ("click", 1), "nominal_10y": ("signup", 2), "real_10y": ("purchase", 1)}
+ask(
+    "e11_inflation_compensation",
+    "with daily as (select event_type, cast(ts as date) as day, arg_max(value, (ts, event_id)) / 100 as v from events where value > 200 group by 1, 2), "
+    "days as (select distinct cast(ts as date) as market_date from events), "
+    "legs as (select d.market_date, "
+    + ", ".join(f"case when d.market_date - {leg}.day <= {limit} then {leg}.v end as {leg}" for leg, (_, limit) in _LEGS.items())
+    + " from days d "
+    + " ".join(f"asof left join (select * from daily where event_type = '{of}') {leg} on d.market_date >= {leg}.day" for leg, (of, _) in _LEGS.items())
+    + """), c as (select *, nominal_5y - real_5y as c5, nominal_10y - real_10y as c10 from legs)
+    select market_date, round(nominal_5y, 6) + 0.0 as nominal_5y, round(real_5y, 6) + 0.0 as real_5y, round(nominal_10y, 6) + 0.0 as nominal_10y, round(real_10y, 6) + 0.0 as real_10y,
+    round(c5, 6) + 0.0 as inflation_compensation_5y, round(c10, 6) + 0.0 as inflation_compensation_10y,
+    round(100 * (power(1 + c10 / 100, 2) / (1 + c5 / 100) - 1), 6) + 0.0 as forward_5y5y,
+    round(100 * (c5 - lag(c5, 5) over (order by market_date)), 6) + 0.0 as inflation_compensation_5y_change_5d_bp,
+    round(100 * (c10 - lag(c10, 5) over (order by market_date)), 6) + 0.0 as inflation_compensation_10y_change_5d_bp from c""",
+)
 ask(
     "e13_quintile_spread",
     f"""select model, round(avg(forward_return_5) filter (probability_bucket = 'Q5_highest') - avg(forward_return_5) filter (probability_bucket = 'Q1_lowest'), 6) + 0.0 as q5_minus_q1
