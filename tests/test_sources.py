@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import day, pandas_sorted
 
@@ -98,10 +99,36 @@ def test_forecast_scan_and_latest_file(spark, tmp_path):
     assert got.first().probability_positive_return == 0.55
     sha = readers.fingerprints(spark, newest).first().sha256
     assert sha == hashlib.sha256((tmp_path / "F_20260710.json").read_bytes()).hexdigest()
+    assert got.first().source_sha256 == sha
     with pytest.raises(checks.DataCheckError):
         readers.latest_file(spark, str(tmp_path), "none*.json")
 
 
+def test_each_forecast_carries_the_hash_of_its_own_file(spark, tmp_path):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    for n in (5, 10):
+        (folder / f"f{n}.json").write_text(json.dumps({**FORECAST, "horizon_trading_days": n}))
+    got = {r.horizon_trading_days: r.source_sha256 for r in readers.read_forecasts(spark, str(folder)).collect()}
+    assert got == {n: hashlib.sha256((folder / f"f{n}.json").read_bytes()).hexdigest() for n in (5, 10)}
+
+
+def test_ordered_sink_keeps_the_key_order_over_sixteen_files(spark, tmp_path):
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        rows = spark.range(2000).selectExpr("if(id % 50 = 0, null, concat('s', pmod(hash(id), 7))) as symbol", "pmod(hash(id, 1), 500) as n", "id")
+        sinks.write_ordered(rows.repartition(5), str(tmp_path / "o"), ["symbol", "n", "id"])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    files = sorted((tmp_path / "o").glob("*.parquet"))
+    back = [(r["symbol"] is not None, r["symbol"] or "", r["n"], r["id"]) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) == 16 and len(back) == 2000 and back == sorted(back)
+
+
 @pytest.mark.parametrize(
     "change, rule",
     [

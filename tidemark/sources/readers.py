@@ -133,9 +133,11 @@ FORECAST_SCHEMA = (
 
 
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
-    """Forecast objects, one per file, with the hash of their source."""
+    """Forecast objects, one per file, with path and SHA-256 of their source file."""
     raw = spark.read.schema(FORECAST_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return raw.withColumn("source", F.col("_metadata.file_path")).select(
+    files = spark.read.format("binaryFile").load(path)
+    hashes = files.select(F.col("_metadata.file_path").alias("source"), F.sha2("content", 256).alias("source_sha256"))
+    return raw.withColumn("source", F.col("_metadata.file_path")).join(hashes, "source", "left").select(
         "model",
         F.to_date("forecast_origin").alias("forecast_origin"),
         F.to_date("forecast_target_date").alias("forecast_target_date"),
@@ -146,6 +148,7 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
         "tmf_close",
         "training_base_rate",
         "source",
+        "source_sha256",
     )
 
 

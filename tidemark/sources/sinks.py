@@ -13,6 +13,15 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Parquet in the order of ``keys``: files, by name, hold ranges of the keys, and rows are sorted within.
+
+    The sort partitions by sampled ranges, so no task holds the whole; NULL keys come first. Rows
+    that agree on all keys may come in any order.
+    """
+    df.orderBy(*keys).write.mode("overwrite").parquet(path)
+
+
 def write_series_table(df: DataFrame, path: str) -> None:
     """Calendars and raw observations: one partition per series."""
     write_table(df, path, ["series_name"])
