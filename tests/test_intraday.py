@@ -69,6 +69,12 @@ def test_quality_flags(spark):
     assert got.stale_value.sum() == 2 and got.invalid_price[20] == 1 and got.missing_interval.sum() == 1
     twice = pd.concat([frame, frame[:1]])
     assert intraday.quality_flags(bars(spark, twice)).filter("duplicate_timestamp = 1").count() == 2
+    doubled = pd.concat([frame, frame[5:8].assign(close=500.0)])
+    flags = [
+        sorted(map(tuple, intraday.quality_flags(bars(spark, part)).drop("open", "high", "low", "volume").collect()), key=str)
+        for part in (doubled, doubled[::-1])
+    ]
+    assert flags[0] == flags[1]
     flagged = intraday.missing_indicators(bars(spark, frame).withColumn("x", F.lit(None).cast("double")), ["x"])
     assert flagged.filter("missing_x = 1").count() == 30
 

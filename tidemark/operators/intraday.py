@@ -206,12 +206,13 @@ def quality_flags(
 
     duplicate: several rows share (symbol, time); invalid: price not positive;
     gap: more than ``gap_days`` since the row before; stale: close unchanged for
-    ``stale_rows`` rows; outlier: absolute return above ``outlier``.
+    ``stale_rows`` rows; outlier: absolute return above ``outlier``. Rows of one
+    time go by close, all else the flags look at, so reruns agree.
     """
     copies = Window.partitionBy("symbol", order)
     counted = bars.withColumn("_copies", F.count(F.lit(1)).over(copies))
     w = panel.window()
-    frame = panel.spread(panel.index_rows(counted, order=order), back=stale_rows)
+    frame = panel.spread(panel.index_rows(counted, order=order, tie=["close"]), back=stale_rows)
     last = F.lag("close", 1).over(w)
     unchanged = F.when(
         F.count("close").over(w.rowsBetween(-stale_rows, 0)) == stale_rows + 1,

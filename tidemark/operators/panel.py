@@ -20,14 +20,14 @@ BLOCK_ROWS = 1024
 
 
 def index_rows(
-    df: DataFrame, by: Sequence[str] = ("symbol",), order: str = "market_date", span: str = "year"
+    df: DataFrame, by: Sequence[str] = ("symbol",), order: str = "market_date", span: str = "year", tie: Sequence[str] = ()
 ) -> DataFrame:
     """Add the 0-based position of each row within its key.
 
     Positions come from counts per (key, calendar span) plus the position inside
     the span, so no task sorts more than one span of one key. Choose a finer
     ``span`` for intraday data. Rows with a NULL key form a key of their own; rows
-    with a NULL time come first in theirs.
+    with a NULL time come first in theirs. ``tie`` orders the rows of one time.
     """
     by = list(by)
     spanned = df.withColumn("_span", F.date_trunc(span, F.col(order)))
@@ -37,7 +37,7 @@ def index_rows(
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     )
-    inside = Window.partitionBy(*by, "_span").orderBy(order)
+    inside = Window.partitionBy(*by, "_span").orderBy(order, *tie)
     return (
         join_null_safe(spanned.withColumn("_place", F.row_number().over(inside)), starts.drop("_size"), [*by, "_span"])
         .withColumn(ROW, F.col("_start") + F.col("_place") - 1)
