@@ -106,6 +106,60 @@ def with_ranks(df: DataFrame, keys: Sequence[str], ranks: dict[str, str], salt:
     return out.select(*keep)
 
 
+def masked_ranks(
+    long: DataFrame, key: str, value: str, seen: str, partners: int, weight: str, out: str = "ranks"
+) -> DataFrame:
+    """Average rank of every row among the rows of its key that a partner sees, for all partners at once.
+
+    ``seen`` is an array of ``partners`` booleans, ``weight`` the number of equal rows a row stands for.
+    Each key is ordered once; running counts per partner take the place of one ordering a pair. Ranks
+    are centred on their mean, (rows + 1) / 2, and NULL where the partner does not see the row;
+    ``value`` is centred on its weighted mean over all rows of the key. Rows that hold a cut point's own value know
+    their rank from the counts of the pieces and take part in no window. The table of pieces, one row
+    of two arrays for each key and piece, is bounded by the call and broadcast.
+    """
+    piece = f"_piece_{value}"
+    split = with_pieces(long, [key], [value])
+    at = range(partners)
+    here = [F.when(F.col(seen)[i], F.col(weight)) for i in at]
+    before = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
+
+    def known(count: Column) -> Column:
+        return F.coalesce(count, F.lit(0))
+
+    sizes = (
+        split.groupBy(key, piece)
+        .agg(
+            F.sum(F.col(weight) * F.col(value)).alias("_total"),
+            F.sum(weight).alias("_rows"),
+            *[F.sum(h).alias(f"_n{i}") for i, h in enumerate(here)],
+        )
+        .select(
+            key,
+            piece,
+            (F.sum("_total").over(whole) / F.sum("_rows").over(whole)).alias("_centre"),
+            F.array(*[known(F.col(f"_n{i}")) for i in at]).alias("_in_piece"),
+            F.array(
+                *[known(F.sum(f"_n{i}").over(before)) - (known(F.sum(f"_n{i}").over(whole)) + 1) / 2 for i in at]
+            ).alias("_start"),
+        )
+    )
+    met = _meet(split, materialize(sizes, files=1), [key, piece])
+    order = Window.partitionBy(key, piece).orderBy(value)
+    upto, same = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(0, 0)
+    inside = [F.sum(h).over(upto) - (F.sum(h).over(same) - 1) / 2 for h in here]
+    shared = [(F.col("_in_piece")[i] + 1) / 2 for i in at]
+    rest = [c for c in long.columns if c != value]
+
+    def placed(rows: DataFrame, ranks: list[Column]) -> DataFrame:
+        ranked = F.array(*[F.when(F.col(seen)[i], F.col("_start")[i] + r) for i, r in enumerate(ranks)])
+        return rows.select(*rest, (F.col(value) - F.col("_centre")).alias(value), ranked.alias(out))
+
+    odd = F.col(piece) % 2 == 1
+    return placed(met.filter(~odd), inside).unionByName(placed(met.filter(odd), shared))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key: columns keys, ``q``, ``quantile``.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.catalog import HORIZONS
 from tidemark.functions.scalars import correlation, melt, ratio, share, two_sided_normal_p
 from tidemark.operators import panel
-from tidemark.operators.ordering import medians, ordinals, quantiles, with_ranks
+from tidemark.operators.ordering import masked_ranks, medians, ordinals, quantiles, with_ranks
+from tidemark.session import materialize
 
 QUINTILE_LABELS = ("Q1_lowest", "Q2", "Q3", "Q4", "Q5_highest")
 
@@ -164,23 +165,66 @@ def pearson_table(df: DataFrame, features: Sequence[str], targets: Sequence[str]
     return _named(table, features, targets)
 
 
+def _weighted_correlation(x: str, y: str, n: str) -> Column:
+    """Pearson correlation of rows that stand for ``n`` rows each; NULL for a constant input.
+
+    Meant for columns centred near their mean, whose raw moments lose no digits.
+    """
+    rows, a, b = F.sum(n), F.sum(F.col(n) * F.col(x)), F.sum(F.col(n) * F.col(y))
+    aa = F.sum(F.col(n) * F.col(x) * F.col(x)) - a * a / rows
+    bb = F.sum(F.col(n) * F.col(y) * F.col(y)) - b * b / rows
+    ab = F.sum(F.col(n) * F.col(x) * F.col(y)) - a * b / rows
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    zero = F.lit(0.0)
+    return F.when(varies, F.try_divide(ab, F.sqrt(F.greatest(aa, zero)) * F.sqrt(F.greatest(bb, zero))))
+
+
 def _pair_correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Pearson on the values and Spearman on average ranks, ranked inside each complete pair."""
-    pair = ["feature", "target"]
-    ranked = with_ranks(pair_rows(df, features, targets), pair, {"x": "_rank_x", "y": "_rank_y"}, salt="_row_hash")
-    table = ranked.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("observations"),
-        correlation("x", "y").alias("pearson"),
-        correlation("_rank_x", "_rank_y").alias("spearman"),
+    """Pearson on the values and Spearman on average ranks, ranked inside each complete pair.
+
+    Equal rows are one row with its count. A row is copied once a feature and once a target, not once a
+    pair: each column is ordered once and carries a rank for every partner, counted over the rows in
+    which that partner is there. Both sides then meet on the row, at most features x targets pairs each.
+    """
+    columns = [
+        *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
+        *[F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)],
+    ]
+    names = [f"_x{i}" for i in range(len(features))], [f"_y{i}" for i in range(len(targets))]
+    counted = df.select(*columns).groupBy(*names[0], *names[1]).agg(F.count(F.lit(1)).alias("_n"))
+    # the ids are written with their rows, so all branches see the same ones
+    rows = materialize(
+        counted.select(
+            F.monotonically_increasing_id().alias("_row"), "_n", F.array(*names[0]).alias("_xs"), F.array(*names[1]).alias("_ys")
+        )
+    )
+
+    def side(own: str, other: str, position: str, value: str, partners: int) -> DataFrame:
+        seen = F.transform(other, lambda cell: cell.isNotNull()).alias("_seen")
+        long = rows.select("_row", "_n", seen, F.posexplode(own).alias(position, value)).filter(F.col(value).isNotNull())
+        return masked_ranks(long, position, value, "_seen", partners, "_n", f"_ranks_{value}").drop("_seen")
+
+    xs = side("_xs", "_ys", "feature", "x", len(targets))
+    ys = side("_ys", "_xs", "target", "y", len(features)).drop("_n")
+    pairs = xs.join(ys, "_row").select(
+        "feature",
+        "target",
+        "_n",
+        "x",
+        "y",
+        F.get("_ranks_x", F.col("target")).alias("_rank_x"),
+        F.get("_ranks_y", F.col("feature")).alias("_rank_y"),
+    )
+    table = pairs.groupBy("feature", "target").agg(
+        F.sum("_n").alias("observations"),
+        _weighted_correlation("x", "y", "_n").alias("pearson"),
+        _weighted_correlation("_rank_x", "_rank_y", "_n").alias("spearman"),
     )
     return _named(table, features, targets)
 
 
 def relationships(df: DataFrame, features: Sequence[str], targets: Sequence[str], least: int = 3) -> DataFrame:
-    """Every feature against every target, pairs with fewer than ``least`` rows left out.
-
-    Several passes read ``df``: give it a table, not a long lineage.
-    """
+    """Every feature against every target, pairs with fewer than ``least`` rows left out."""
     return (
         _pair_correlations(df, features, targets)
         .filter(F.col("observations") >= least)
@@ -271,7 +315,8 @@ def quintile_summary(
     predictions: DataFrame, keys: Sequence[str] = ("model",), ret: str = "forward_return_5"
 ) -> DataFrame:
     group = [*keys, "probability_bucket"]
-    bucketed = with_quintile(predictions, keys)
+    # read for the counts and again for the medians
+    bucketed = materialize(with_quintile(predictions, keys).select(*group, "probability", "actual_up", ret))
     base = bucketed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("observations"),
         F.avg("probability").alias("mean_predicted_probability"),
