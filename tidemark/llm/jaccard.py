@@ -171,7 +171,9 @@ def leaders(nodes: DataFrame) -> DataFrame:
         counts = met.groupBy("meet").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         parts = F.ceil(F.col("size") / GROUP)
         grouped = met.join(counts, "meet").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), parts))
-        follows = materialize(grouped.select("meet", "part", "node", "n", "shared").groupBy("meet", "part").applyInArrow(_follow, "node binary, leader binary"))
+        # dealt by both: the join's partitioning by meet alone would leave all parts of a large group in one task
+        dealt = grouped.select("meet", "part", "node", "n", "shared").repartition("meet", "part")
+        follows = materialize(dealt.groupBy("meet", "part").applyInArrow(_follow, "node binary, leader binary"))
         step = follows.select(F.col("node").alias("root"), "leader")
         roots = materialize(roots.join(step, "root", "left").select("node", F.coalesce("leader", "root").alias("root")))
         left = left.join(follows.select("node"), "node", "left_anti")
