@@ -182,3 +182,22 @@ def test_sign_means_and_counts(spark):
     row = stats.sign_conditional_means(data, "x", "y").first()
     assert (row.positive_events, row.negative_events) == (2, 1)
     assert row.mean_after_positive == pytest.approx(0.2) and row.mean_after_negative == -0.2
+
+
+def test_relationships_with_partial_masks_and_repeated_rows(spark):
+    rng = np.random.default_rng(12)
+    data = pd.DataFrame({c: np.round(rng.normal(size=240), 1) for c in ("f", "g", "t", "u")})
+    data.loc[::5, "f"] = None
+    data.loc[::7, "t"] = None
+    data.loc[::3, "u"] = None
+    data.loc[:60, "g"] = 2.5  # one value holds a quarter of the rows
+    data = pd.concat([data, data[:80], data[:80]], ignore_index=True)
+    frame = spark.createDataFrame(data.astype(object).where(data.notna(), None), "f double, g double, t double, u double")
+    got = {(r.feature, r.target): r for r in stats.relationships(frame, ["f", "g"], ["t", "u"]).collect()}
+    for f in ("f", "g"):
+        for t in ("t", "u"):
+            both, r = data[[f, t]].dropna(), got[f, t]
+            ranks = both.rank()
+            assert r.observations == len(both)
+            assert r.pearson == pytest.approx(both[f].corr(both[t])) and r.spearman == pytest.approx(ranks[f].corr(ranks[t]))
+    assert stats.relationships(frame.limit(0), ["f"], ["t"]).count() == 0

@@ -164,3 +164,66 @@ def holdout_rows(df: DataFrame, year: int, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         hit = hit | F.coalesce(F.year(c) == year, F.lit(False))
     return df.filter(hit)
+
+
+def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys whose rows differ between two tables of the same columns, as multisets in any order.
+
+    Columns: keys, ``left_rows``, ``right_rows`` and ``difference``: ``missing_right``, ``missing_left``,
+    ``row_count``, or ``values`` (as many rows, other contents). NULL is a key and a value like any other; equal
+    tables give no row. Each side adds up, per key, its number of rows and two 64-bit hashes of each row with
+    the sign of its side: equal multisets cancel to zero whatever their order, and map-side sums leave
+    one row a key and task, so a key that holds a large share of the rows shuffles no more than others.
+    """
+    columns = list(left.columns)
+    require_columns(right, columns, "right side")
+    unknown = sorted(set(right.columns) - set(columns))
+    if unknown:
+        raise DataCheckError(f"right side has other columns: {unknown}")
+    # a hash passes over NULL, so which cells are NULL is hashed with the cells
+    cells = [cell for c in columns for cell in (F.isnull(c), F.col(c))]
+
+    def marked(rows: DataFrame, side: int) -> DataFrame:
+        hashes = [F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)]
+        signed = [(h.cast("decimal(20,0)") * F.lit(side)).cast("decimal(20,0)") for h in hashes]
+        return rows.select(*keys, F.lit(side).alias("_side"), *[h.alias(f"_h{i}") for i, h in enumerate(signed)])
+
+    met = (
+        marked(left, 1)
+        .unionByName(marked(right.select(*columns), -1))
+        .groupBy(*keys)
+        .agg(
+            F.count_if(F.col("_side") > 0).alias("left_rows"),
+            F.count_if(F.col("_side") < 0).alias("right_rows"),
+            F.sum("_h0").alias("_first"),
+            F.sum("_h1").alias("_second"),
+        )
+    )
+    difference = (
+        F.when(F.col("right_rows") == 0, "missing_right")
+        .when(F.col("left_rows") == 0, "missing_left")
+        .when(F.col("left_rows") != F.col("right_rows"), "row_count")
+        .when((F.col("_first") != 0) | (F.col("_second") != 0), "values")
+    )
+    return met.withColumn("difference", difference).filter("difference is not null").drop("_first", "_second")
+
+
+def coverage_disagreements(coverage: DataFrame, problems: DataFrame, by: str = "series_name") -> DataFrame:
+    """Series whose summary contradicts itself or the detail rows; must be empty.
+
+    A summary is whole when matched and unmatched observations add up to all non-NULL ones and the
+    detail holds one row for each unmatched one. A series in the detail alone is a contradiction as well.
+    """
+    detail = problems.groupBy(by).agg(F.count(F.lit(1)).alias("detail_rows"))
+    side = detail.select(F.col(by).alias("_by"), "detail_rows")
+    met = coverage.join(side, F.col(by).eqNullSafe(F.col("_by")), "full").select(
+        F.when(F.col("non_null_observations").isNull(), F.col("_by")).otherwise(F.col(by)).alias(by),
+        "non_null_observations",
+        "matched_release_events",
+        "unmatched_observations",
+        F.coalesce("detail_rows", F.lit(0)).alias("detail_rows"),
+    )
+    whole = (F.col("matched_release_events") + F.col("unmatched_observations") == F.col("non_null_observations")) & (
+        F.col("unmatched_observations") == F.col("detail_rows")
+    )
+    return met.filter(~F.coalesce(whole, F.lit(False)))

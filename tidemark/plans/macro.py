@@ -115,6 +115,34 @@ def v15_release_coverage(spark, d):
     return rounded(checks.release_coverage(aligned))
 
 
+def s03_raw_observations(spark, d):
+    """Raw observations by the checked scan: days and sums of what it reads."""
+    rows = readers.read_observations(spark, f"{d}/orders.parquet", "o_orderdate", "o_totalprice", form="parquet")
+    return rounded(
+        rows.groupBy("reference_date").agg(F.count("value").alias("observations"), F.max("value").alias("greatest"))
+    )
+
+
+def v15_reconciled_copies(spark, d):
+    """All line items against a copy with planted faults: lost, doubled, changed rows and changed NULLs."""
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    rows = views.table(spark, d, "lineitem").select(*columns)
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    copies = F.when((key % 97 == 0) | ((key % 89 == 0) & (line == 1)), 0).when((key % 83 == 0) & (line == 2), 2).otherwise(1)
+    faulty = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).filter(F.col("_copy") <= copies).drop("_copy")
+    faulty = faulty.withColumn("l_quantity", F.when(key % 79 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    faulty = faulty.withColumn("l_returnflag", F.when(key % 73 != 0, F.col("l_returnflag")))
+    known = rows.withColumn("l_returnflag", F.when(key % 71 != 0, F.when(key % 73 != 0, F.col("l_returnflag"))))
+    return checks.reconcile(known, faulty, ["l_orderkey"])
+
+
+def v15_coverage_disagreements(spark, d):
+    """The release coverage against problem rows of which one series' are planted as lost."""
+    aligned = calendars.attach_releases(panels.observations(spark, d), panels.partial_calendar(spark, d))
+    kept = checks.coverage_problems(aligned).filter(~F.col("series_name").startswith("1"))
+    return checks.coverage_disagreements(checks.release_coverage(aligned), kept)
+
+
 def v11_coverage_problems(spark, d):
     aligned = calendars.attach_releases(panels.observations(spark, d), panels.partial_calendar(spark, d))
     return rounded(checks.coverage_problems(aligned).select("series_name", "reference_date", "value"))

@@ -1435,3 +1435,36 @@ ask(
     from (select *, lead(market_date, 5) over w as target_date, lead(close, 5) over w as next_close from bars window w as (partition by symbol order by market_date))""",
     "bars",
 )
+
+# ------------------------------------------------- scans and reconciliation
+
+ask(
+    "s03_raw_observations",
+    "select cast(o_orderdate as date) as reference_date, count(o_totalprice) as observations, "
+    "round(max(o_totalprice::double), 6) + 0.0 as greatest from orders group by 1",
+)
+ask(
+    "v15_reconciled_copies",
+    """with known as (select l_orderkey, l_linenumber, l_quantity,
+        case when l_orderkey % 71 <> 0 and l_orderkey % 73 <> 0 then l_returnflag end as l_returnflag from lineitem),
+    faulty as (select l_orderkey, l_linenumber, case when l_orderkey % 79 = 0 then l_quantity + 1 else l_quantity end as l_quantity,
+        case when l_orderkey % 73 <> 0 then l_returnflag end as l_returnflag
+        from lineitem, (values (1), (2)) as copy(nth)
+        where nth <= case when l_orderkey % 97 = 0 or (l_orderkey % 89 = 0 and l_linenumber = 1) then 0
+            when l_orderkey % 83 = 0 and l_linenumber = 2 then 2 else 1 end),
+    met as (select l_orderkey, l_linenumber, l_quantity, l_returnflag, sum(a) as a, sum(b) as b
+        from (select *, 1 as a, 0 as b from known union all select *, 0, 1 from faulty) group by 1, 2, 3, 4),
+    sums as (select l_orderkey, sum(a)::bigint as left_rows, sum(b)::bigint as right_rows, max(case when a <> b then 1 else 0 end) as other
+        from met group by 1)
+    select l_orderkey, left_rows, right_rows, case when right_rows = 0 then 'missing_right' when left_rows = 0 then 'missing_left'
+        when left_rows <> right_rows then 'row_count' else 'values' end as difference from sums where other = 1""",
+)
+ask(
+    "v15_coverage_disagreements",
+    """select series_name, count(value) as non_null_observations, count(*) filter (value is not null and release_date is not null) as matched_release_events,
+    count(*) filter (value is not null and release_date is null) as unmatched_observations, 0::bigint as detail_rows
+    from obs left join part_cal using (series_name, reference_date) where series_name like '1%' group by 1
+    having count(*) filter (value is not null and release_date is null) > 0""",
+    "obs",
+    "part_cal",
+)

@@ -82,6 +82,14 @@ def normalize_observations(raw: DataFrame, date: str, value: str) -> DataFrame:
     )
 
 
+def read_observations(
+    spark: SparkSession, path: str, date: str, value: str, schema: str | None = None, form: str = "csv"
+) -> DataFrame:
+    """Scan of raw observations; a file without the date or value column is refused before any row is read."""
+    raw = read_table(spark, path, schema, form)
+    return normalize_observations(checks.require_columns(raw, [date, value], path), date, value)
+
+
 def stamp_registry(observations: DataFrame, registry: DataFrame) -> DataFrame:
     """Observations (series_name, reference_date, value) with their registry columns, in fixed order.
 
