@@ -114,3 +114,11 @@ def test_contracts_raise_in_the_plan_that_joins(spark):
     # a null observation carries no information: neither rule looks at it
     hollow = macro(spark, [("2014-04-01", 1.0, "2014-06-03"), ("2014-04-01", None, "2014-06-05"), ("2014-06-04", None, "2014-06-03")])
     assert asof.attach_macro_series(bars, hollow, "payrolls").filter("payrolls = 1").count() > 0
+
+
+def test_raw_observations_are_renamed(spark):
+    """Observations without a date of availability lose their nulls and nothing else."""
+    raw = spark.createDataFrame([("a", day("2024-01-01"), 1.5), ("a", day("2024-02-01"), None)], "series_name string, reference_date date, value double")
+    got = asof.macro_columns("macro", raw)
+    assert got.columns == ["macro", "macro_reference_date"]
+    assert [tuple(r) for r in got.collect()] == [(1.5, day("2024-01-01"))]

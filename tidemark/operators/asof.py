@@ -176,7 +176,8 @@ def attach_curve(bars: DataFrame, features: DataFrame, day: str = "market_date",
 def macro_columns(series: str, prepared: DataFrame) -> DataFrame:
     """Merge-safe names for one prepared series; null observations carry no information.
 
-    A value available before its own reference date raises when it is read.
+    A value available before its own reference date raises when it is read; raw
+    observations, which have no date of availability, are only renamed.
     """
     renames = {
         "value": series,
@@ -186,7 +187,9 @@ def macro_columns(series: str, prepared: DataFrame) -> DataFrame:
         "release_timezone": f"{series}_release_timezone",
         "market_date_available": f"{series}_market_date_available",
     }
-    known = _available_in_order(prepared.filter(F.col("value").isNotNull()))
+    known = prepared.filter(F.col("value").isNotNull())
+    if {"market_date_available", "reference_date"} <= set(prepared.columns):
+        known = _available_in_order(known)
     return known.select(*[F.col(c).alias(renames[c]) for c in renames if c in prepared.columns])
 
 
