@@ -3,12 +3,14 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import bars, day, days, pandas_sorted, walk
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import intraday, research
 from tidemark.streaming import bars as streaming
 
@@ -128,3 +130,16 @@ def test_streaming_outcomes(spark, tmp_path):
     streaming.run_to_table(joined, str(tmp_path / "out"), str(tmp_path / "state"))
     row = spark.read.schema(joined.schema).parquet(str(tmp_path / "out")).collect()
     assert len(row) == 1 and row[0].forecast_error == pytest.approx(0.1)
+
+
+def test_log_return_to_a_zero_close_is_minus_infinity(spark):
+    made = intraday.with_session(intraday.bars_from_ticks(ticks(spark, [(0, 10.0, 1), (300, 0.0, 1), (600, 5.0, 1)])))
+    got = [(r.ret_5m, r.ret_15m) for r in intraday.with_bar_returns(made).orderBy("bar_start").collect()]
+    assert got == [(None, None), (-math.inf, None), (None, None)]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    values = [16.4703125, -16.4703125, 33.0421875, 0.5e-6, -0.0, 1e300, math.inf, -math.inf, None]
+    got = [r.x for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").coalesce(1)).orderBy("i").collect()]
+    want = [duckdb.execute("select round(?::double, 6) + 0.0", [v]).fetchone()[0] for v in values]
+    assert got == want and got[0] == 16.470312

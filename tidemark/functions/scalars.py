@@ -30,6 +30,12 @@ def change(now: Column | str, before: Column | str) -> Column:
     return ratio(now, before) - F.lit(1.0)
 
 
+def log_ratio(now: Column | str, before: Column | str) -> Column:
+    """Natural logarithm of a quotient: of zero it is minus infinity, as in SQL, of less NULL."""
+    quotient = ratio(now, before)
+    return F.when(quotient == 0.0, F.lit(-math.inf)).otherwise(F.ln(quotient))
+
+
 def flag(condition: Column) -> Column:
     """1/0 where an unknown condition counts as false."""
     return F.coalesce(condition, F.lit(False)).cast("int")
@@ -83,11 +89,22 @@ def two_sided_normal_p(t: Column, terms: int = 200) -> Column:
     return F.when(t.isNotNull(), F.when(F.abs(t) < 3.0, F.greatest(F.lit(0.0), F.lit(1.0) - F.exp(-small * small) * series)).otherwise(tail))
 
 
+def _round(value: Column, digits: int) -> Column:
+    """Round as the SQL does: the scaled double to a whole number, half away from zero, and back.
+
+    Spark's ``round`` takes the shortest decimal that denotes the double instead, and
+    so turns 16.4703125, a double just below that, into 16.470313.
+    """
+    unit = F.lit(10.0**digits)
+    scaled = F.round(value * unit) / unit
+    return F.when(F.abs(scaled) < math.inf, scaled).otherwise(value)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column, folding −0.0 into 0.0."""
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            (_round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f.name)
             for f in df.schema.fields

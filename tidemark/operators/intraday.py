@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import change, ratio
+from tidemark.functions.scalars import change, log_ratio, ratio
 from tidemark.operators import panel
 from tidemark.operators.asof import join_by_key
 
@@ -80,10 +80,11 @@ def with_bar_returns(
 ) -> DataFrame:
     """Log returns over past minutes, simple returns and directions over coming minutes.
 
-    A return is NULL when the other bar is not there; gaps are never bridged.
+    A return is NULL when the other bar is not there; gaps are never bridged. The log
+    return to a close of zero is minus infinity.
     """
     out = _seconds(bars)
-    cells = [F.ln(ratio("close", _exactly("close", -m))).alias(f"ret_{m}m") for m in trailing]
+    cells = [log_ratio("close", _exactly("close", -m)).alias(f"ret_{m}m") for m in trailing]
     cells += [change(_exactly("close", m), "close").alias(f"fwd_{m}m") for m in forward]
     return out.select(*bars.columns, *cells).select(
         "*",
