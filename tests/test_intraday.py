@@ -138,6 +138,12 @@ def test_log_return_to_a_zero_close_is_minus_infinity(spark):
     assert got == [(None, None), (-math.inf, None), (None, None)]
 
 
+def test_volatility_over_a_zero_close_is_infinite(spark):
+    made = intraday.with_session(intraday.bars_from_ticks(ticks(spark, [(0, 10.0, 1), (300, 5.0, 1), (600, 0.0, 1), (900, 5.0, 1)])))
+    got = [r.vol_15m for r in intraday.with_realized_volatility(made).orderBy("bar_start").collect()]
+    assert got == [None, pytest.approx(math.log(2)), math.inf, math.inf]
+
+
 def test_rounding_is_that_of_the_sql(spark):
     values = [16.4703125, -16.4703125, 33.0421875, 0.5e-6, -0.0, 1e300, math.inf, -math.inf, None]
     got = [r.x for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").coalesce(1)).orderBy("i").collect()]

@@ -111,8 +111,11 @@ def with_session_volume(bars: DataFrame, minutes: Sequence[int] = (15, 30, 60))
 
 
 def with_realized_volatility(bars: DataFrame, minutes: Sequence[int] = (15, 30, 60)) -> DataFrame:
-    """Root of summed squared bar returns over past minutes, and the bar's relative range."""
-    step = F.ln(ratio("close", _exactly("close", -BAR_MINUTES)))
+    """Root of summed squared bar returns over past minutes, and the bar's relative range.
+
+    A fall to zero within those minutes makes the root infinite.
+    """
+    step = log_ratio("close", _exactly("close", -BAR_MINUTES))
     squared = _seconds(bars).withColumn("_sq", step * step)
     cells = [
         F.sqrt(F.sum("_sq").over(_session().rangeBetween(-(m - BAR_MINUTES) * 60, 0))).alias(f"vol_{m}m") for m in minutes
