@@ -224,6 +224,38 @@ def _noise_terms(fits: DataFrame) -> DataFrame:
     return some.select("*", dot("a", "a"), dot("a", "b"), dot("b", "b"))
 
 
+def _reduced_distance(fit: Column, p: str) -> Column:
+    """Squared distance of a row from its ``fit``, less what its own shares may vary by.
+
+    Every step is bound to its value: as columns, a filter on the verdict would take
+    each step in place of its name, again and again, to more code than Java compiles.
+    """
+    vector = _vector(p)
+
+    def solved(y: list[Column]) -> Column:
+        i = len(y)
+        if i == len(_STATS):
+            return reduced(y)
+        rest = vector[i] / UNIT - fit[f"m{i}"]
+        for j in range(i):
+            rest = rest - fit[f"l{i}{j}"] * y[j]
+        return _let(rest / fit[f"l{i}{i}"], lambda v: solved([*y, v]))
+
+    def reduced(y: list[Column]) -> Column:
+        scale = fit["scale"]
+        plain = reduce(lambda a, b: a + b, [v * v for v in y]) / scale
+        # a square root or arc sine of a share of n has variance 1 / 4n: added to the covariance by Woodbury's formula
+        moved = lambda of: reduce(lambda a, b: a + b, [fit[f"{of}{i}"] * v for i, v in enumerate(y)]) / scale
+        uu = 4.0 * F.col(f"{p}n_lines") + fit["aa"] / scale
+        ww = 4.0 / LEAST_COVER * F.col(f"{p}n_words") + fit["bb"] / scale
+        return _let(
+            F.struct(moved("a").alias("u"), moved("b").alias("w"), uu.alias("uu"), (fit["ab"] / scale).alias("uw"), ww.alias("ww")),
+            lambda t: plain - (t["ww"] * t["u"] * t["u"] - 2.0 * t["uw"] * t["u"] * t["w"] + t["uu"] * t["w"] * t["w"]) / (t["uu"] * t["ww"] - t["uw"] * t["uw"]),
+        )
+
+    return solved([])
+
+
 def _judged(counted: DataFrame, p: str, lang: str, source: str) -> DataFrame:
     """``counted`` with {p}base_failed, {p}distance and {p}kept."""
     failed = counted.withColumn(f"{p}base_failed", base_failed(p))
@@ -241,30 +273,9 @@ def _judged(counted: DataFrame, p: str, lang: str, source: str) -> DataFrame:
     last = F.lit(None) if whole is None else F.struct(*[F.lit(v).alias(f) for f, v in whole[f"{p}fit2"].asDict().items()])
     fit = F.coalesce(f"{p}fit0", f"{p}fit1", last) if whole is not None else F.col(f"{p}fit0")
     out = out.withColumn(f"{p}fit", fit)
-    vector = {x: f"{p}v{i}" for i, x in enumerate(_STATS)}
-    for x, value in zip(_STATS, _vector(p)):
-        out = out.withColumn(vector[x], F.when(~F.col(f"{p}base_failed"), value))
-    y: list[Column] = []
-    for i, x in enumerate(_STATS):
-        rest = F.col(vector[x]) / UNIT - F.col(f"{p}fit.m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"{p}fit.l{i}{j}") * y[j]
-        name = f"{p}y{i}"
-        out = out.withColumn(name, rest / F.col(f"{p}fit.l{i}{i}"))
-        y.append(F.col(name))
-    scale = F.col(f"{p}fit.scale")
-    plain = reduce(lambda a, b: a + b, [v * v for v in y]) / scale
-    # a square root or arc sine of a share of n has variance 1 / 4n: added to the covariance by Woodbury's formula
-    for name, of in (("u", "a"), ("w", "b")):
-        out = out.withColumn(f"{p}{name}", reduce(lambda a, b: a + b, [F.col(f"{p}fit.{of}{i}") * v for i, v in enumerate(y)]) / scale)
-    u, w = F.col(f"{p}u"), F.col(f"{p}w")
-    out = out.withColumn(f"{p}uu", 4.0 * F.col(f"{p}n_lines") + F.col(f"{p}fit.aa") / scale)
-    out = out.withColumn(f"{p}ww", 4.0 / LEAST_COVER * F.col(f"{p}n_words") + F.col(f"{p}fit.bb") / scale)
-    uu, uw, ww = F.col(f"{p}uu"), F.col(f"{p}fit.ab") / scale, F.col(f"{p}ww")
-    noise = (ww * u * u - 2.0 * uw * u * w + uu * w * w) / (uu * ww - uw * uw)
-    out = out.withColumn(f"{p}distance", F.when(~F.col(f"{p}base_failed"), plain - noise))
+    out = out.withColumn(f"{p}distance", F.when(~F.col(f"{p}base_failed"), _let(F.col(f"{p}fit"), lambda f: _reduced_distance(f, p))))
     out = out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.coalesce(F.col(f"{p}distance"), F.lit(0.0)) <= CUT))
-    helpers = [c for c in out.columns if c.startswith(p) and c[len(p):].rstrip("0123456789") in {"lang", "source", "fit", "v", "y", "u", "w", "uu", "ww"} and c not in counted.columns]
+    helpers = [c for c in out.columns if c.startswith(p) and c[len(p):].rstrip("0123456789") in {"lang", "source", "fit"} and c not in counted.columns]
     return out.drop(*helpers)
 
 
